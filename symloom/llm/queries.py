@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import bpe, mixture, repetition, terms
+from symloom.llm import bpe, mixture, repetition, syntax, terms
 from symloom.session import scratch, table
 
 VOCABULARY = f"{bpe.DEFAULT_TOKENIZERS}/byte_bpe_50k.tiktoken"
 SEED = 17
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose current content does not parse."""
+    return syntax.syntax_failures(table(spark, d, "source_files")).where(~F.col("ok")).select("file_id")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of such files per repository and language."""
+    return syntax.failure_rates(syntax.syntax_failures(table(spark, d, "source_files")), table(spark, d, "worktrees"))
+
+
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct term with its counts and mark."""
     return terms.term_frequencies(table(spark, d, "file_units"), table(spark, d, "symbols"))
@@ -58,7 +68,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_terms": p6_terms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_terms": p6_terms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 _TERMS = """
