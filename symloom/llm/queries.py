@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import bpe, mixture, repetition, syntax, terms
+from symloom.llm import bpe, docpairs, handwritten, mixture, repetition, syntax, terms
 from symloom.session import scratch, table
 
 VOCABULARY = f"{bpe.DEFAULT_TOKENIZERS}/byte_bpe_50k.tiktoken"
 SEED = 17
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are not hand-written source of their project."""
+    return handwritten.not_handwritten(table(spark, d, "source_files"), table(spark, d, "worktrees")).select("file_id")
+
+
+def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The same files and what shows it."""
+    return handwritten.not_handwritten(table(spark, d, "source_files"), table(spark, d, "worktrees"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods whose documentation tells something."""
+    return docpairs.documented_functions(table(spark, d, "symbols"), table(spark, d, "source_files")).select("file_id", "symbol_idx")
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each such function with its description and where it stands."""
+    return docpairs.documented_functions(table(spark, d, "symbols"), table(spark, d, "source_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Files whose current content does not parse."""
     return syntax.syntax_failures(table(spark, d, "source_files")).where(~F.col("ok")).select("file_id")
@@ -68,7 +88,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_terms": p6_terms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_terms": p6_terms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 _TERMS = """
