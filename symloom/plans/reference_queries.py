@@ -406,7 +406,7 @@ def local_definition_asof(spark, d):
 
 @query(
     _w(_S)
-    + """select a.file_id, a.symbol_idx, count(*) as depth, arg_max(b.name, (b.line, -b.scope_end_line, b.symbol_idx)) as container
+    + """select a.file_id, a.symbol_idx, count(*) as depth, arg_max({'n': b.name}, (b.line, -b.scope_end_line, b.symbol_idx)).n as container
 from s a join s b on a.file_id = b.file_id and b.scope_end_line is not null and b.line <= a.line and a.line <= b.scope_end_line group by all"""
 )
 def enclosing_scope(spark, d):
@@ -732,7 +732,7 @@ def subsume_parent(spark, d):
 
 @query(
     _w(_M, _DEEP)
-    + """select here_dir, rel_path, generation from (select here_dir, substring(rel_path, 5) as rel_path, generation, row_number() over (partition by here_dir, rel_path order by generation desc) as rn
+    + """select here_dir, rel_path, generation from (select here_dir, substring(rel_path, 5) as rel_path, generation, row_number() over (partition by here_key, rel_path order by generation desc) as rn
  from m join worktrees w using (worktree_key) join deep on here_dir = working_dir || '/lib' where starts_with(rel_path, 'lib/')) where rn = 1"""
 )
 def subsume_child(spark, d):
