@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from symloom import schema
 from symloom.functions import text
 from symloom.functions.paths import plain_path
-from symloom.operators import corpus, fuzzy, lookup, manifest
+from symloom.operators import corpus, fuzzy, lookup, manifest, parse
 from symloom.session import table
 
 QUERIES: dict = {}
@@ -847,6 +847,101 @@ def latency_stats(spark, d):
     )
 
 
+# ---------------------------------------------------------------- source code; what a lexer finds has no SQL
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return parse.parse_symbols(parse.distinct_contents(_files(spark, d)))
+
+
+@query()
+def parse_code(spark, d):
+    """Symbols of every distinct content of the corpus."""
+    return _parsed(spark, d).drop("doc_comment", "signature")
+
+
+@query()
+def doc_comments(spark, d):
+    """Documentation of the symbols at the top level."""
+    return _parsed(spark, d).where("doc_comment is not null").select("file_id", "symbol_idx", "name", "doc_comment")
+
+
+@query()
+def signatures(spark, d):
+    """Signatures of functions and methods, and their parameters."""
+    s = _parsed(spark, d).where(F.col("kind").isin("Function", "Method"))
+    return s.select("file_id", "symbol_idx", "name", "signature", text.parameters(F.col("signature")).alias("parameters"))
+
+
+@query()
+def code_occurrences(spark, d):
+    """Identifiers of code by role, comments and texts apart."""
+    o = parse.parse_occurrences(parse.distinct_contents(_files(spark, d)))
+    return o.groupBy("word", "word_hash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("role") == "Definition", 1).otherwise(0)).alias("definitions"))
+
+
+@query()
+def ident_context(spark, d):
+    """What the word under each asked cursor is: a field, a call, a type or plain."""
+    c = _cursors(spark, d).where("word is not null")
+    start = F.char_length(text.word_prefix(F.col("text"), F.col("col")))
+    return parse.contexts(c.select("file_id", F.col("symbol_idx").alias("line"), "text", "word", start.alias("col"))).withColumnRenamed("line", "symbol_idx")
+
+
+@query()
+def signature_help(spark, d):
+    """The callee, the active parameter and the best definition for the last call of each line of the asked files."""
+    files = _files(spark, d).where(F.col("file_id") % STEP == 0)
+    calls = parse.calls(corpus.lines(files, "file_id")).withColumn("query_id", F.struct("file_id", "line", "col"))
+    g = corpus.global_symbols(_symbols(spark, d)).where(F.col("kind").isin("Function", "Method")).select("file_id", "symbol_idx", "name", "line", "col", "container", "signature")
+    asked = calls.select("query_id", F.col("callee").alias("name"), "qualifier", "active", F.lit(None).cast("bigint").alias("current_file"))
+    # the qualifier only ranks: the best definition of each (callee, qualifier) is found once and joined to the calls
+    pairs = asked.select("name", "qualifier").distinct()
+    ranked = lookup.rank(pairs.join(g, "name").withColumn("query_id", F.struct("name", "qualifier")).withColumn("current_file", F.lit(None).cast("bigint"))).where("rank = 1")
+    best = ranked.select("name", F.coalesce("qualifier", F.lit("")).alias("_q"), F.col("file_id").alias("def_file"), "symbol_idx", "signature")
+    return asked.withColumn("_q", F.coalesce("qualifier", F.lit(""))).join(best, ["name", "_q"]).select("query_id.file_id", "query_id.line", F.col("name").alias("callee"), "qualifier", "active", "def_file", "symbol_idx", text.parameters(F.col("signature")).alias("parameters"))
+
+
+@query(_w(_F, _S, _G) + "select g.file_id, symbol_idx, concat_ws(chr(10) || chr(10), case when signature is not null then '```' || ext || chr(10) || signature || chr(10) || '```' end, case when coalesce(depth, 0) = 0 then doc_comment end) as markdown from g join f using (file_id)")
+def hover_markdown(spark, d):
+    """What a hover shows of each definition."""
+    code = F.when(F.col("signature").isNotNull(), F.concat(F.lit("```"), "ext", F.lit("\n"), "signature", F.lit("\n```")))
+    doc = F.when(F.coalesce("depth", F.lit(0)) == 0, F.col("doc_comment"))
+    g = corpus.global_symbols(_symbols(spark, d)).select("file_id", "symbol_idx", "signature", "doc_comment", "depth")
+    return g.join(_files(spark, d).select("file_id", "ext"), "file_id").select("file_id", "symbol_idx", F.concat_ws("\n\n", code, doc).alias("markdown"))
+
+
+_DEPS = "dep as (select file_id from f where contains('/' || rel_path, '/vendor/') or contains('/' || rel_path, '/third_party/') or contains('/' || rel_path, '/node_modules/'))"
+
+
+@query(_w(_F, _S, _G, _DEPS) + "select name, file_id, symbol_idx, 'dep' as origin from g where file_id in (select file_id from dep) and name not in (select name from g where file_id not in (select file_id from dep))")
+def dep_index(spark, d):
+    """Definitions that only dependencies give: these answer where the workspace does not."""
+    p = F.concat(F.lit("/"), "rel_path")
+    dep = _files(spark, d).select("file_id", (F.contains(p, F.lit("/vendor/")) | F.contains(p, F.lit("/third_party/")) | F.contains(p, F.lit("/node_modules/"))).alias("dep"))
+    g = corpus.global_symbols(_symbols(spark, d)).join(dep, "file_id")
+    own = g.where(~F.col("dep")).select("name").distinct()
+    return g.where("dep").join(own, "name", "left_anti").select("name", "file_id", "symbol_idx", F.lit("dep").alias("origin"))
+
+
+@query("select 'files' as what, count(*) as n from (select distinct file_id from symbols) union all select 'definitions', count(*) from (select distinct file_id, symbol_idx from symbols)")
+def dep_counts(spark, d):
+    """Files and definitions of an index."""
+    s = _symbols(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("definitions"))
+    return s.select(F.explode(F.create_map(F.lit("files"), "files", F.lit("definitions"), "definitions")).alias("what", "n"))
+
+
+@query(
+    "with b as (select worktree_key, unnest([1, 2]) as k, repo_id from worktrees) select worktree_key, 'pkg_' || substring(repo_id, 1, 8) || '_' || k as name, k || '.0.' || k as version from b"
+)
+def lockfile_packages(spark, d):
+    """Packages of a lock file made up for each worktree, read back by their fields."""
+    block = lambda k: F.concat(F.lit('[[package]]\nname = "pkg_'), F.substring("repo_id", 1, 8), F.lit(f'_{k}"\nversion = "{k}.0.{k}"\n\n'))
+    lock = table(spark, d, "worktrees").select("worktree_key", F.concat(block(1), block(2)).alias("t"))
+    blocks = lock.select("worktree_key", F.explode(F.regexp_extract_all("t", F.lit(r'\[\[package\]\]\s+name = "[^"]*"\s+version = "[^"]*"'), F.lit(0))).alias("b"))
+    return blocks.select("worktree_key", F.regexp_extract("b", 'name = "([^"]*)"', 1).alias("name"), F.regexp_extract("b", 'version = "([^"]*)"', 1).alias("version"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
