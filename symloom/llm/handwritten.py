@@ -158,30 +158,33 @@ def file_evidence(files: DataFrame, newest: str = "mtime_ns") -> DataFrame:
     return seen.groupBy("file_id").agg(top).select("file_id", "r.worktree_key", "r.rel_path", "r.sig", "r.weight", "r.why")
 
 
-def merkle_directories(files: DataFrame, levels: int) -> DataFrame:
+def merkle_directories(files: DataFrame, levels: int, place: str) -> DataFrame:
     """(worktree_key, dir, h1, h2, n): the hash of every directory, from the names and hashes of what it holds, bottom-up,
     and the number of files of some weight below it.
 
     A directory's hash combines its children's by exclusive or of hashes of (name, hash): names in a directory differ, so
     nothing cancels, no order is needed, and a directory of any size is summed before its shuffle. Each level is one
-    aggregation over the directories of that level alone. The root is no subtree.
+    aggregation over the directories of that level alone, written below `place` for the level above, so that no plan
+    repeats the levels beneath it. The root is no subtree.
     """
+    spark = files.sparkSession
     parts = F.split("rel_path", "/")
     leaf = files.select(
         "worktree_key", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.element_at(parts, -1).alias("name"), F.size(parts).alias("level"),
         F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2"), (F.col("weight") >= LEAST_WEIGHT).cast("long").alias("n"),
     )
-    out, below = None, None
+    below, done = None, []
     for level in range(levels, 1, -1):
         here = leaf.where(F.col("level") == level).drop("level")
         nodes = here if below is None else here.unionByName(below)
         dirs = nodes.groupBy("worktree_key", "dir").agg(
             F.bit_xor(F.xxhash64("name", "h1")).alias("h1"), F.bit_xor(F.xxhash64("h2", "name")).alias("h2"), F.sum("n").alias("n")
         )
-        out = dirs if out is None else out.unionAll(dirs)
-        up = F.split("dir", "/")
+        dirs.write.parquet(f"{place}/{level}")
+        done.append(f"{place}/{level}")
+        dirs, up = spark.read.parquet(done[-1]), F.split("dir", "/")
         below = dirs.where(F.size(up) == level - 1).select("worktree_key", F.array_join(F.slice(up, 1, F.size(up) - 1), "/").alias("dir"), F.element_at(up, -1).alias("name"), "h1", "h2", "n")
-    return out
+    return spark.read.parquet(*done)
 
 
 def shared_subtrees(dirs: DataFrame, worktrees: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ def not_handwritten(files: DataFrame, worktrees: DataFrame, path: Column | None
     own = nodes.where(F.col("why").isNotNull()).select("file_id", "why")
     marked = nodes.where(F.col("why").isNotNull()).select("sig", "weight")
     if levels > 1:
-        trees = shared_subtrees(merkle_directories(nodes, levels), worktrees)
+        trees = shared_subtrees(merkle_directories(nodes, levels, scratch(spark, "merkle")), worktrees)
         parts = F.split("rel_path", "/")
         above = nodes.where(F.size(parts) > 1).select("file_id", "sig", "weight", "worktree_key", "rel_path").select(
             "file_id", "sig", "weight", "worktree_key", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")
