@@ -34,7 +34,7 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Files whose current content does not parse."""
-    return syntax.syntax_failures(table(spark, d, "source_files")).where(~F.col("ok")).select("file_id")
+    return syntax.syntax_failures(table(spark, d, "source_files"), explain=False).where(~F.col("ok")).select("file_id")
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:

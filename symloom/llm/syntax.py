@@ -256,8 +256,8 @@ def language(name: str) -> Language:
 @dataclass
 class Failure:
     token: int
-    line: int
-    cause: str
+    line: int | None
+    cause: str | None
 
 
 def _cause(lang: Language, text: str, tokens: str, at: int) -> str:
@@ -273,8 +273,8 @@ def _cause(lang: Language, text: str, tokens: str, at: int) -> str:
     return "unexpected token"
 
 
-def failure(text: str, name: str) -> Failure | None:
-    """Where and why the text does not parse, or None. Texts without tokens parse."""
+def failure(text: str, name: str, explain: bool = True) -> Failure | None:
+    """Where and, if asked to `explain`, why the text does not parse, or None. Texts without tokens parse."""
     lang = language(name)
     if text.startswith("﻿"):
         text = text[1:]
@@ -284,7 +284,7 @@ def failure(text: str, name: str) -> Failure | None:
     at = lang.grammar.furthest(tokens)
     if at < 0:
         return None
-    return Failure(at, _line(lang, text, at), _cause(lang, text, tokens, at))
+    return Failure(at, _line(lang, text, at), _cause(lang, text, tokens, at)) if explain else Failure(at, None, None)
 
 
 def _line(lang: Language, text: str, at: int) -> int:
@@ -300,17 +300,17 @@ def _line(lang: Language, text: str, at: int) -> int:
     return lo
 
 
-def syntax_failures(files: DataFrame, newest: str = "mtime_ns") -> DataFrame:
+def syntax_failures(files: DataFrame, newest: str = "mtime_ns", explain: bool = True) -> DataFrame:
     """Current files that do not parse: (file_id, worktree_key, rel_path, language, fail_line, cause, ok).
 
     One row per file whose ending has a grammar, also those that parse (`ok`). Every delivered row is parsed where it
     is read, so contents are never shuffled; the newest row of a file then decides, and among rows of equal time the one
-    that parses. Null and empty contents and comments alone parse. Endings are compared without letter case.
+    that parses. Without `explain` line and cause stay null; they take a search and other languages' grammars. Null and empty contents and comments alone parse. Endings are compared without letter case.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [failure(t, name) if t else None for t, name in zip(b.column("content").to_pylist(), b.column("language").to_pylist(), strict=True)]
+            found = [failure(t, name, explain) if t else None for t, name in zip(b.column("content").to_pylist(), b.column("language").to_pylist(), strict=True)]
             out = {n: b.column(n) for n in b.schema.names if n != "content"}
             out["ok"] = pa.array([f is None for f in found], pa.bool_())
             out["fail_line"] = pa.array([f and f.line for f in found], pa.int32())
