@@ -31,8 +31,8 @@ InitD <- Declr (':' Tern)? ('=' (Expr / <Init>) / <Init> / <Args>)?
 Decl <- Head InitD (',' Ptr* InitD)* / Tag TName
 Bases <- ':' (TName / ',' / access)+
 Agg <- ('struct' / 'class' / 'union') Attr? <Args>? (TName !TName / id TName)? Bases? <Members> / 'enum' ('class' / 'struct')? TName? (':' TName id*)? <Enums>
-AggDecl <- (id !id)? id* Agg id* (Ptr* InitD (',' Ptr* InitD)*)? ';'
-Typedef <- 'typedef' (Agg id* Ptr* InitD (',' Ptr* InitD)* / Decl) ';'
+AggDecl <- (id !id)? id* Agg (id &(id / Ptr))* (Ptr* InitD (',' Ptr* InitD)*)? ';'
+Typedef <- 'typedef' (Agg (id &(id / Ptr))* Ptr* InitD (',' Ptr* InitD)* / Decl) ';'
 Using <- 'using' ('namespace' / TypeTok / Targs / Ptr)+ ';'
 CtorInit <- TName (<Args> / <Init>) '...'?
 FTail <- (id <Args>? / '&' / '&&' / '->' Tag? TName Ptr* / 'throw' <Params>?)* ('try'? ':' CtorInit (',' CtorInit)*)?
@@ -163,7 +163,7 @@ Arm <- Pats Guard? '=>' Expr
 Args <- (ArgE (',' ArgE)*)?
 ArgE <- (Id ':')? (('out' / 'ref' / 'in') (('var' / Type) Id / Expr) / Expr &(',' / End) / Type / Annot '='? / Id '=' <Init>)
 End <- !any
-Params1 <- (<Attr> / Annot / mod / 'this' / 'ref' / 'out' / 'in' / 'params')* Type ('...' / Annot)* (Id / 'this' / Id '.' 'this')? <Rank>* ('=' Tern)?
+Params1 <- (<Attr> / Annot / mod / 'this' / 'ref' / 'out' / 'in' / 'params')* Type (binop Type)* ('...' / Annot)* (Id / 'this' / Id '.' 'this')? <Rank>* ('=' Tern)?
 Params <- (Params1 (',' Params1)*)?
 Cast <- Type ('&' Type)*
 Tuple <- Type Id? (',' Type Id?)+
@@ -236,7 +236,7 @@ def csharp() -> Grammar:
 _JS_RULES = r"""
 Top <- Stmts
 Sep <- ';' / nl
-End <- Sep / !any
+End <- Sep / !any / &'else'
 Id <- id / soft
 TypeTok <- Id / str / num / '|' / '&' / ',' / '.' / '[' / <Args> / <Array> / <Object> / <TypeBody> / <Params> / '=>' / ':' / '?' / 'typeof' / 'extends' / '=' / 'void' / 'new' / 'in' / '-'
 TargsA <- '<' TypeTok* '>'
@@ -274,7 +274,7 @@ Export <- 'export' (('default' (Func / Class / 'abstract' Class / Val End)) / 't
 Item <- ('declare' / 'abstract')* (Func / FuncSig / Class / 'interface' Id Targs? ('extends' TypeE (',' TypeE)*)? (<TypeBody> / <Object>) / 'type' Id Targs? '=' nl* TypeE End / 'const'? 'enum' Id <EnumBody> / ('namespace' / 'module') (Id ('.' Id)* / str) <Stmts> / 'declare' VarDecl End)
 Prefix <- 'if' <Args> nl* / 'else' nl* / 'while' <Args> nl* / 'for' 'await'? <For> nl* / 'with' <Args> nl* / 'do' nl* / Id ':' nl*
 Body <- 'switch' <Args> <Cases> / 'try' <Stmts> / 'catch' <Params>? <Stmts> / 'finally' <Stmts> / Import / Export / Item / <Stmts> / (VarDecl / 'return' Comma? / 'throw' Comma / 'break' Id? / 'continue' Id? / 'debugger' / Comma) End / ';' / 'while' <Args> End
-Stmt <- Prefix* Body
+Stmt <- 'while' <Args> (Sep / !any) / Prefix* Body
 Stmts <- (Sep / Stmt)*
 Cases <- nl* (('case' Comma / 'default') ':' (Sep / Stmt)*)*
 Comma <- Expr (',' Expr)*
@@ -581,7 +581,7 @@ Top <- Stmts
 Sep <- nl / ';'
 Term <- Sep+ / !any
 Then <- 'then' / Sep+ 'then'? 
-Stmts <- Sep* (Stmt (Sep+ / !any))*
+Stmts <- Sep* (Stmt (Sep+ / !any / &('elsif' / 'else' / 'when' / 'rescue' / 'ensure')))*
 Stmt <- ('BEGIN' / 'END')? Logic (mod Logic / 'rescue' Logic)*
 Logic <- 'not'* Expr (('and' / 'or') 'not'* Expr)*
 Id <- id

@@ -189,7 +189,7 @@ class Grammar:
         """The token (its number) at which parsing could go no further; the number of tokens, at the end of the text;
         -1 if the whole input is consumed."""
         frames: list[tuple[str, list[tuple[str, int]]]] = [("", [])]
-        inside: dict[int, list[tuple[str, int]]] = {}
+        inside: dict[int, tuple[Bracket, list[tuple[str, int]]]] = {}
         for at, c in enumerate(tokens):
             if c in (BAD, CONFLICT):
                 return at
@@ -203,7 +203,7 @@ class Grammar:
                 g = self.group(opener + "".join(x[0] for x in items) + c, self.slow)
                 if g == BAD:
                     return self._stop(self.by_open[opener][0].kinds, items, at, inside)
-                inside[at] = items
+                inside[at] = (self.by_open[opener][0], items)
                 frames[-1][1].append((g, at))
             else:
                 frames[-1][1].append((c, at))
@@ -222,8 +222,12 @@ class Grammar:
         if at >= len(items):
             return end
         token = items[at][1]
-        if token in inside and inside[token]:  # a group of another kind than is wanted here: its first token
-            return inside[token][0][1]
+        if token in inside:  # a group of another kind than is wanted here: where it departs from that
+            bracket, held = inside[token]
+            text = "".join(x[0] for x in held)
+            wanted = [k for k in bracket.kinds if not self.slow.matches(k, text)]
+            if wanted and held:
+                return self._stop(wanted, held, token, inside)
         return token
 
 
