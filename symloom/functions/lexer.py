@@ -153,7 +153,7 @@ def _braced(source: str, family: str) -> list[Symbol]:
             if stack:
                 closed = stack.pop()
                 for s in out[closed.first :]:
-                    if s.end_at is None and s.depth > closed.depth:
+                    if s.end_at is None and s.depth >= closed.depth:
                         s.end_at = t.at
                 if closed.kind != "block" and closed.name is None and family == "clike":
                     statement = [Token("op", "}", t.at)]  # a declarator may follow

@@ -85,4 +85,4 @@ def parameters(signature: Column) -> Column:
         ),
         lambda a: a["t"],
     )
-    return F.filter(F.transform(F.split(fold, "\u0001"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(fold, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
