@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -174,13 +175,13 @@ class Language:
             words = "".join({g.chars[t] for t in ("def", "class", "module", "if", "unless", "while", "until", "for", "case", "begin", "do", "end")})
             self.member = re.compile(f"(?<=[{c('.', '&.', 'def')}])[{words}]")
 
+    def prepared(self, text: str) -> str:
+        """The text as the lexer takes it, with as many lines."""
+        return _no_branches(text) if self.name == "c" else _heredocs(text) if self.name == "ruby" else text
+
     def tokens(self, text: str) -> str:
         """One character per token; comments, and line ends that mean nothing, leave none."""
-        if self.name == "c":
-            text = _no_branches(text)
-        elif self.name == "ruby":
-            text = _heredocs(text)
-        found = self.lexer.findall(text)
+        found = self.lexer.findall(self.prepared(text))
         if self.name == "python":
             return self._indented(found)
         return self._finish("".join(map(self.classes.__getitem__, found)), found)
@@ -290,16 +291,26 @@ def failure(text: str, name: str, explain: bool = True) -> Failure | None:
 
 
 def _line(lang: Language, text: str, at: int) -> int:
-    """The line, from 0, of a token: the fewest lines from the start whose tokens reach it."""
-    ends = [m.end() for m in re.finditer(r"\r\n|\n|\r", text)]
+    """The line, from 0, of a token: the fewest lines from the start whose tokens reach it, of those that end no token."""
+    text = lang.prepared(text)
+    inside = [(m.start(), m.end()) for m in lang.lexer.finditer(text) if m.end() - m.start() > 2]
+    starts = [a for a, _ in inside]
+    ends = []
+    for n, m in enumerate(re.finditer(r"\r\n|\n|\r", text)):
+        k = bisect_right(starts, m.start()) - 1
+        if k < 0 or inside[k][1] <= m.start() or text[inside[k][0]] in "\r\n":
+            ends.append((m.end(), n))
+    close = lang.grammar.chars.get(grammars.DEDENT, "") + lang.grammar.chars.get("\n", "")
     lo, hi = 0, len(ends)
     while lo < hi:  # tokens of a longer start are at least as many
         mid = (lo + hi) // 2
-        if len(lang.tokens(text[: ends[mid]]).rstrip(lang.grammar.chars.get(grammars.DEDENT, "") + lang.grammar.chars.get("\n", ""))) > at:
+        if len(lang.tokens(text[: ends[mid][0]]).rstrip(close)) > at:
             hi = mid
         else:
             lo = mid + 1
-    return lo
+    if lo < len(ends):
+        return ends[lo][1]
+    return len(re.findall(r"\r\n|\n|\r", text))
 
 
 def syntax_failures(files: DataFrame, newest: str = "mtime_ns", explain: bool = True) -> DataFrame:
