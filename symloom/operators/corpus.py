@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from symloom.functions import text
 from symloom.schema import FAMILY_OF, LOCAL_KEYWORDS, SKIP_DIRS, lookup
-from symloom.sources.spread import spread
+from symloom.sources.spread import spread, tasks
 
 
 def current_files(files: DataFrame) -> DataFrame:
-    """The newest row of each file. Rows of equal time are ordered by content_hash, so repeated rows change nothing."""
+    """The newest row of each file. Rows of equal time are ordered by content_hash, so repeated rows change nothing.
+
+    Contents are shuffled once, to a number of partitions that is not merged again, as Python often follows.
+    """
     order = Window.partitionBy("file_id").orderBy(F.col("mtime_ns").desc(), "content_hash")
-    return files.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1).drop("_rn")
+    return files.repartition(tasks(files.sparkSession), "file_id").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def symbol_rows(symbols: DataFrame) -> DataFrame:

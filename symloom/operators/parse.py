@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from symloom.functions import enrich, lexer
 from symloom.schema import FAMILY_OF, OCCURRENCE, PARSED
-from symloom.sources.spread import spread
+from symloom.sources.spread import spread, tasks
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -90,8 +90,9 @@ def parse_occurrences(files: DataFrame) -> DataFrame:
 
 def distinct_contents(files: DataFrame) -> DataFrame:
     """One file for each (content, ending), the one of smallest file_id, so that equal contents are parsed once."""
-    w = Window.partitionBy(F.sha2("content", 256), "ext").orderBy("file_id")
-    return files.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    w = Window.partitionBy("_hash", "ext").orderBy("file_id")
+    hashed = files.withColumn("_hash", F.sha2("content", 256)).repartition(tasks(files.sparkSession), "_hash", "ext")
+    return hashed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_hash")
 
 
 def calls(lines: DataFrame) -> DataFrame:

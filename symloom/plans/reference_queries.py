@@ -365,16 +365,18 @@ def completion_top20(spark, d):
     q = s.where((F.col("file_id") % STEP == 0) & (F.char_length("name") >= 5)).select(F.col("file_id").alias("here"), F.substring("name", 1, 5).alias("query")).distinct()
     hits = fuzzy.completions(q.select("query").distinct(), g.select("name").distinct())
     score = F.when((F.col("file_id") == F.col("here")) & (F.col("visibility") == "Private"), 3).otherwise(lookup.visibility_rank(F.col("visibility")))
-    # a name needs one definition per cursor: its best elsewhere is found once, before cursors multiply it, and the
-    # cursor's own file is joined for itself
+    # a name needs one definition per cursor: its best elsewhere is found once, and the twenty best names of each query,
+    # before cursors multiply them; names of the cursor's own file, which may rank higher there, are joined for
+    # themselves. A name outside of the twenty could only come in for one that stays, so none is missed
     key = [F.col("score").desc(), F.col("file_id"), F.col("symbol_idx")]
     best = lookup.top(g.withColumn("score", lookup.visibility_rank(F.col("visibility"))), ["name"], key, 1).drop("rank")
-    far = q.join(hits, "query").join(best, "name")
+    last = [F.col("score").desc(), F.col("name"), F.col("file_id"), F.col("symbol_idx")]
+    far = q.join(lookup.top(hits.join(best, "name"), ["query"], last, 20).drop("rank"), "query")
     own = q.join(hits, "query").join(g.withColumnRenamed("file_id", "here"), ["name", "here"]).withColumn("file_id", F.col("here"))
     own = own.withColumn("score", score)
     rows = far.select("here", "query", "name", "file_id", "symbol_idx", "score").unionByName(own.select("here", "query", "name", "file_id", "symbol_idx", "score"))
     once = lookup.top(rows, ["here", "query", "name"], key, 1).drop("rank")
-    return lookup.top(once, ["here", "query"], [F.col("score").desc(), F.col("name"), F.col("file_id"), F.col("symbol_idx")], 20)
+    return lookup.top(once, ["here", "query"], last, 20)
 
 
 # ---------------------------------------------------------------- scopes
