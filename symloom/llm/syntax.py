@@ -29,17 +29,27 @@ _JS_STRING = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`(?:[^`\\]
 _JS_REGEX = r"(?:(?<=[=(,:\[!&|?{;+~\n])|(?<=[=(,:\[!&|?{;+~>] )|(?<=return )|(?<=typeof )|(?<=case ))/(?![*/])(?:[^/\\\[\n\r]|\\.|\[(?:[^\]\\\n\r]|\\.)*\])+/[a-z]*"
 _END = r"|\S"
 
-#: How each language writes its words, numbers, texts and comments.
-LEXERS = {
-    "c": rf"{_MARK}|{_SLASH}|R\"\([\s\S]*?\)\"|(?:u8|[uUL])?{_DQ}|(?:u8|[uUL])?'(?:[^'\\\n\r]|\\.[^'\n\r]*)+'|{_NAME}|{_NUM}|->\*|\.\*|<=>|{_STEP}{_END}",
-    "java": rf'{_MARK}|{_SLASH}|"""[\s\S]*?"""|[$@]{{0,2}}(?<=[$@])"(?:[^"\\\n\r]|\\.|"")*"|{_DQ}|{_SQ}|(?:@(?=interface\b)|@(?!interface\b)(?={_NAME}))|{_NAME}|{_NUM}|\?\.|\?\?=|\?\?|{_STEP}{_END}',
-    "javascript": rf"{_MARK}|{_SLASH}|\A#!.*|\r\n?|\n|{_DQ}|{_SQ}|{_JS_STRING}|{_JS_REGEX}|[\w$]*(?<!\d)(?:[^\W\d]|\$)[\w$]*|{_NUM}|===|!==|\*\*=|\*\*|&&=|\|\|=|\?\.(?!\d)|\?\?=|\?\?|{_STEP}{_END}",
-    "go": rf"{_MARK}|{_SLASH}|\r\n?|\n|{_DQ}|`[^`]*`|{_SQ}|{_NAME}|{_NUM}|&\^=|&\^|<-|:=|>>|{_STEP}{_END}",
-    "rust": rf"{_MARK}|//[^\n\r]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/)*\*/|/\*|\A#!(?!\[).*|(?:b|c|br|cr|r)?(?:r#\"[\s\S]*?\"#|r##\"[\s\S]*?\"##|r###\"[\s\S]*?\"###)|b?r\"[^\"]*\"|#\"[\s\S]*?\"#|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n\r]|\\(?:u\{{[^}}']*\}}|x\w\w|.))'|'{_NAME}|(?:r#)?{_NAME}|\d(?:[\w]|[eE][+-](?=\d))*(?:\.(?![.\w])|\.\d(?:\w|(?<=[eE])[+-](?=\d))*)?|\.\.=|{_MORE}{_END}",
-    "python": rf"{_MARK}|#[^\n\r]*|\\(?:\r\n?|\n)|(?:\r\n?|\n)[ \t\f]*|[rRbBuUfF]{{0,2}}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|{_DQ}|{_SQ})|{_NAME}|{_NUM}|//=|\*\*=|//|\*\*|:=|@=|>>|{_OPS}{_END}",
-    "ruby": rf"{_MARK}|(?ms:^=begin\b.*?^=end\b[^\n\r]*)|(?ms:^__END__$.*)|#[^\n\r]*|\\(?:\r\n?|\n)|\r\n?|\n|\"(?:[^\"\\#]|\\[\s\S]|#(?!\{{)|#\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\"|'(?:[^'\\]|\\[\s\S])*'|`(?:[^`\\]|\\.)*`|%[wWiIqQr]?(?:\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\)|\{{[^}}]*\}}|<[^>]*>|\|[^|]*\||![^!]*!)(?<=[\])}}>|!])|{_JS_REGEX.replace('(?<=return )', '(?<=when )|(?<=if )|(?<=unless )').replace('(?<=typeof )|(?<=case )', '(?<=and )')}|:\"(?:[^\"\\]|\\.)*\"|:(?<!::){_NAME}[?!=]?(?![=~>])|:(?<!::){_NAME}|{_NAME}[?!]?:(?!:)|@@?{_NAME}|\$(?:{_NAME}|\d+|[!@&~_;.,/\\*$?:\"<>])|{_NAME}|\d(?:[eE][+-](?=\d)|\w|\.(?=\d))*|===|=~|!~|\*\*=|\*\*|&&=|\|\|=|&\.|>>|<=>|{_MORE}{_END}",
+#: How each language writes its comments and texts, and then its words, numbers and operators.
+LITERALS = {
+    "c": rf"{_MARK}|{_SLASH}|R\"\([\s\S]*?\)\"|(?:u8|[uUL])?{_DQ}|(?:u8|[uUL])?'(?:[^'\\\n\r]|\\.[^'\n\r]*)+'",
+    "java": rf'{_MARK}|{_SLASH}|"""[\s\S]*?"""|[$@]{{0,2}}(?<=[$@])"(?:[^"\\\n\r]|\\.|"")*"|{_DQ}|{_SQ}',
+    "javascript": rf"{_MARK}|{_SLASH}|\A#!.*|\r\n?|\n|{_DQ}|{_SQ}|{_JS_STRING}|{_JS_REGEX}",
+    "go": rf"{_MARK}|{_SLASH}|\r\n?|\n|{_DQ}|`[^`]*`|{_SQ}",
+    "rust": rf"{_MARK}|//[^\n\r]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/)*\*/|/\*|\A#!(?!\[).*|(?:b|c|br|cr|r)?(?:r#\"[\s\S]*?\"#|r##\"[\s\S]*?\"##|r###\"[\s\S]*?\"###)|b?r\"[^\"]*\"|#\"[\s\S]*?\"#|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n\r]|\\(?:u\{{[^}}']*\}}|x\w\w|.))'",
+    "python": rf"{_MARK}|#[^\n\r]*|\\(?:\r\n?|\n)|(?:\r\n?|\n)[ \t\f]*|[rRbBuUfF]{{0,2}}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|{_DQ}|{_SQ})",
+    "ruby": rf"{_MARK}|(?ms:^=begin\b.*?^=end\b[^\n\r]*)|(?ms:^__END__$.*)|#[^\n\r]*|\\(?:\r\n?|\n)|\r\n?|\n|\"(?:[^\"\\#]|\\[\s\S]|#(?!\{{)|#\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\"|'(?:[^'\\]|\\[\s\S])*'|`(?:[^`\\]|\\.)*`|%[wWiIqQr]?(?:\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\)|\{{[^}}]*\}}|<[^>]*>|\|[^|]*\||![^!]*!)(?<=[\])}}>|!])|{_JS_REGEX.replace('(?<=return )', '(?<=when )|(?<=if )|(?<=unless )').replace('(?<=typeof )|(?<=case )', '(?<=and )')}",
 }
-LEXERS["csharp"] = LEXERS["java"]
+_WORDS = {
+    "c": rf"{_NAME}|{_NUM}|->\*|\.\*|<=>|{_STEP}{_END}",
+    "java": rf'(?:@(?=interface\b)|@(?!interface\b)(?={_NAME}))|{_NAME}|{_NUM}|\?\.|\?\?=|\?\?|{_STEP}{_END}',
+    "javascript": rf"[\w$]*(?<!\d)(?:[^\W\d]|\$)[\w$]*|{_NUM}|===|!==|\*\*=|\*\*|&&=|\|\|=|\?\.(?!\d)|\?\?=|\?\?|{_STEP}{_END}",
+    "go": rf"{_NAME}|{_NUM}|&\^=|&\^|<-|:=|>>|{_STEP}{_END}",
+    "rust": rf"'{_NAME}|(?:r#)?{_NAME}|\d(?:[\w]|[eE][+-](?=\d))*(?:\.(?![.\w])|\.\d(?:\w|(?<=[eE])[+-](?=\d))*)?|\.\.=|{_MORE}{_END}",
+    "python": rf"{_NAME}|{_NUM}|//=|\*\*=|//|\*\*|:=|@=|>>|{_OPS}{_END}",
+    "ruby": rf":\"(?:[^\"\\]|\\.)*\"|:(?<!::){_NAME}[?!=]?(?![=~>])|:(?<!::){_NAME}|{_NAME}[?!]?:(?!:)|@@?{_NAME}|\$(?:{_NAME}|\d+|[!@&~_;.,/\\*$?:\"<>])|{_NAME}|\d(?:[eE][+-](?=\d)|\w|\.(?=\d))*|===|=~|!~|\*\*=|\*\*|&&=|\|\|=|&\.|>>|<=>|{_MORE}{_END}",
+}
+LEXERS = {lang: f"{LITERALS[lang]}|{_WORDS[lang]}" for lang in LITERALS}
+LEXERS["csharp"], LITERALS["csharp"] = LEXERS["java"], LITERALS["java"]
 #: The language of each ending.
 ENDINGS = {
     **dict.fromkeys(["c", "h", "cpp", "cc"], "c"), "rs": "rust", "go": "go", **dict.fromkeys(["py", "pyi"], "python"),
