@@ -54,9 +54,9 @@ _HINT = re.compile(r"(?i)generated|written|produced|created\s|emitted|auto-?gen|
 
 LONG_LINE = 200
 #: Share of a file's code in long lines, and most of blanks in these, for a minified file.
-LONG_SHARE, BLANK_SHARE = 0.6, 0.12
+LONG_SHARE, BLANK_SHARE = 0.6, 0.16
 #: Least literals, and their share of all names and literals, for data.
-DATA_LITERALS, DATA_SHARE = 40, 0.85
+DATA_LITERALS, DATA_SHARE = 40, 0.91
 #: Contents with fewer characters than this are too common to show where they came from.
 LEAST_WEIGHT = 48
 _LINE_END = re.compile(r"[ \t]*(?:\r\n|\r|\n)")
