@@ -11,6 +11,7 @@ word lies in a sequence of NGRAM words that stood earlier, or in a whole line, s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,8 +31,10 @@ CANDIDATE_SHARE = 0.25
 
 # a character of a script without blanks is a word of its own; so is a number, whatever it is
 WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{N}]+|[\p{L}\p{M}_]+")
-BREAK = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
-SENTENCE_END = regex.compile(r"(?<=[.!?;:…])[\"'”’)\]]*\s+|(?<=[。！？；])")
+#: The same words where all characters are ASCII; texts are in lower case.
+ASCII_WORD = re.compile(r"[0-9]+|[a-z_]+")
+BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+SENTENCE_END = re.compile(r"(?<=[.!?;:…])[\"'”’)\]]*\s+|(?<=[。！？；])")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,15 +49,16 @@ class Segments:
         names: dict[str, int] = {"#": 0}
         self.starts: list[int] = []
         self.units: list[tuple[int, int]] = []  # lines, sentences and paragraphs, as ranges of words
-        paragraph = 0
+        paragraph, name = 0, names.setdefault
+        find = ASCII_WORD.findall if text.isascii() else WORD.findall
         for line in [*BREAK.split(text.lower()), ""]:
             begin = len(ids)
             for part in SENTENCE_END.split(line) if line else ():
                 sentence = len(ids)
-                for w in WORD.findall(part):
-                    ids.append(0 if w[0].isnumeric() else names.setdefault(w, len(names)))
-                    lengths.append(len(w))
-                n = len(ids) - sentence
+                words = find(part)
+                ids += [0 if w[0].isnumeric() else name(w, len(names)) for w in words]
+                lengths += map(len, words)
+                n = len(words)
                 if n:
                     self.starts.extend(range(sentence, len(ids) - (n % PIECE if n > PIECE and n % PIECE < NGRAM else 0), PIECE))
                     self.units.append((sentence, len(ids)))
