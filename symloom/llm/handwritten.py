@@ -28,29 +28,70 @@ _TOOL_NAME = re.compile(
     r"|[^/]+\.g(?:\.i)?\.(?:cs|dart)|[^/]+\.[Dd]esigner\.(?:cs|vb)|[^/]+\.generated\.\w+|[^/]+\.gen\.\w+|[^/]+[._-]autogen\.\w+|zz_generated\.[^/]+|moc_[^/]+\.(?:cpp|cc|cxx)|qrc_[^/]+\.(?:cpp|py)|ui_[^/]+\.(?:py|h)"
     r"|[^/]+_wrap\.(?:c|cc|cpp|cxx)|[^/]+_string\.go|[^/]+_bindings\.rs|[^/]+\.tab\.(?:c|cc|cpp|h)|lex\.[^/]+\.(?:c|cc|h)|[^/]+\.bundle\.m?js|(?:dist|build|out|bundles?|public|static|assets|www)/(?:[^/]+/)*(?:app|main|index|chunk|vendors?|runtime|polyfills|commons?)[-.][0-9a-z]{5,}\.m?js)$"
 )
-#: How tools and importers sign; each must begin a comment, or a line of one.
-_SIGNED = re.compile(
-    r"(?im)^[\s/*#;!<>\-\"'=]*(?:"
-    r"@generated\b(?!\s+(?:ids?|by\s+hand))"
-    r"|<auto-?generated\b"
-    r"|(?:this\s+(?:file|code|source|module|class)\s+(?:is|was|has\s+been)\s+|(?:file|code|source)\s+)?(?:automatically|auto-?|machine|mechanically)[\s-]*(?:generated|written|produced|created)\s+(?:file|code|source|by\b|from\b|with\b|using\b|using\b)"
-    r"|(?:this\s+(?:file|code|source)\s+(?:is|was|has\s+been)\s+|(?:file|code|source)\s+)?(?:generated|produced|created|written|emitted)\s+(?:\w+\s+)?(?:by|from|with|using)\b[^\n]*(?:do\s+not\s+(?:edit|modify|change|touch)|don'?t\s+(?:edit|modify)|overwrit|will\s+be\s+lost|hands\s+off|regenerate|instead\b|never\s+edit)"
-    r"|(?:generated|produced)\s+(?:code|file|source)\b[^\n]*(?:do\s+not|don'?t|instead|overwrit|will\s+be\s+lost|hands\s+off)"
-    r"|(?:produced|created)\s+by\s+running\b"
-    r"|this\s+(?:file|code|source)\s+(?:is|was|has\s+been)\s+(?:automatically\s+|auto-?)?(?:generated|produced)\b"
-    r"|(?:auto-?generated|machine[\s-]written)\s*[.!]?\s*(?:do\s+not|don'?t)\b"
-    r")"
+#: What a line of a comment says that a tool or an importer wrote; one word of these alone says nothing.
+_MADE = re.compile(
+    r"(?i)\b(?:(?:auto|machine)[\s-]?)?(?:generated|written|produced|created|emitted|rendered|synthesi[sz]ed|transpiled|compiled|built|made|output)\s+(?:\w+\s+){0,3}?(?:by|from|with|using|of|via)\b"
+    r"|\b(?:auto|machine|computer|tool)[\s-]*(?:generated|written|made|created|produced)\b|\bautogen(?:erated)?\b|^\W*generated\b|\bgenerated\s+(?:file|code|source|sources|module|class|bindings?|stubs?|parser|lexer)\b|\b(?:output|product)\s+of\b"
+    r"|\b(?:erzeugt|generiert|erstellt|g[ée]n[ée]r[ée]e?s?|produite?|cr[ée][ée]e?\s+par|generad[oa]|producid[oa]|cread[oa]\s+por|gerad[oa]|generato|prodotto)\b"
 )
-_IMPORTED = re.compile(
-    r"(?im)^[\s/*#;!<>\-\"'=]*(?:"
-    r"[\w.+-]+\s+v?\d+(?:\.\d+)+\S*[,:;]?\s[^\n]*\b(?:imported|copied|taken|vendored|included|bundled|verbatim)\b[^\n]*(?:unchanged|unmodified|verbatim|upstream|as[\s-]is)"
-    r"|(?:bundled|vendored|embedded|verbatim|unmodified|imported|local|private)\s+(?:copy|version|snapshot)\s+of\s+[\w.+-]+\s+v?\d"
-    r"|(?:imported|copied|taken|vendored)\s+(?:unchanged|unmodified|verbatim|as[\s-]is)?\s*from\s+(?:upstream|[\w.+-]+\s+v?\d+(?:\.\d+)+)"
-    r"|(?:this\s+file\s+is\s+)?(?:part\s+of\s+)?(?:a\s+)?third[\s-]party\s+(?:code|file|library|source)\b[^\n]*(?:do\s+not|don'?t|upstream|unchanged|unmodified)"
-    r"|\*?!?\s*[\w.+-]+\s+v\d+(?:\.\d+)+\s*[|(][^\n]*(?:licen[sc]ed?|\bMIT\b|\bBSD\b|Apache)"
-    r")"
+_WARNED = re.compile(
+    r"(?i)\b(?:do\s+not|don'?t|never|must\s+not)\s+(?:be\s+)?(?:hand[\s-]?)?(?:edit|modif|chang|touch|alter|patch)|\b(?:edits?|changes?|modifications?|patches)\b[^.]*\b(?:lost|overwritten|discarded|wiped|undone|reverted|clobbered)\b|\bhands\s+off\b|\bregenerat|\bread[\s-]?only\b|\brather\s+than\s+(?:edit|patch)|\binstead\b"
+    r"|\bnicht\s+(?:von\s+hand\s+)?(?:bearbeiten|[äa]e?ndern|anfassen|editieren)\b|\bne\s+pas\s+(?:modifier|[ée]diter|toucher|changer)\b|\bno\s+(?:editar|modificar|tocar|cambiar)\b|\bn[ãa]o\s+(?:editar|edite|modificar)\b|\bnon\s+modificare\b"
 )
-_HINT = re.compile(r"(?i)generated|written|produced|created\s|emitted|auto-?gen|upstream|bundled|vendored|third[\s-]party|copy\s+of|verbatim|unmodified|imported|\bv\d+\.\d+")
+_BY_ITSELF = re.compile(
+    r"(?i)\bauto(?:matically|matic|mated)?\b|\bauto-|\bautogen|\bmachine\b|\bmechanically\b|\bautomatisch|\bmaschinell|\bautomatique|\bautom[áa]tic|\bautomaticamente|\bthis\s+(?:file|code|source|module|class)\b|\bdiese[rs]?\s+(?:datei|code|quelltext)\b|\bce\s+(?:fichier|code)\b|\beste\s+(?:archivo|fichero|c[óo]digo|arquivo)\b|\bquesto\s+(?:file|codice)\b"
+    r"|\b[\w+-]+\s+\(?v?\d+(?:\.\d+)+|\(?\bv\d+(?:\.\d+)*\b|[\w/-]+\.(?:proto|idl|y|yy|l|ll|g4?|def|tmpl|tpl|template|schema|xml|ya?ml|json|ui|qrc|thrift|fbs|capnp|in|wsdl|xsd|graphql|gql|peg|ebnf|bnf|td|asn1?|erb|j2|mustache|csv|toml|sql|swagger|openapi|rl|re|lex|jison|mo|po|rc|i)\b"
+)
+#: Alone enough: marks that tools themselves look for.
+_MARK = re.compile(
+    r"(?im)^[\s/*#;!<>\-\"'=]*(?:@(?:auto-?)?generated\b(?!\s+(?:ids?|by\s+hand))|</?auto-?generated\b)|-\*-[^\n]*\bbuffer-read-only\s*:\s*t\b|(?-i:\bDO\s+NOT\s+(?:EDIT|MODIFY|CHANGE|TOUCH)\b)|\bgenerated\s+by\b[^\n]*\bdo\s+not\s+edit|^[\s/*#;!<>\-]*(?:do\s+not|never)\s+(?:edit|modify)(?:\s+(?:this\s+file|by\s+hand|manually|directly|me))*\s*[.!]*\s*(?:\*/)?\s*$"
+)
+_STUB = re.compile(r"(?i)\b(?:method|constructor|function|catch|getter|setter|property)\s+(?:stub|block|body)s?\b|\bgenerated\s+(?:ids?|names?|keys?|values?|numbers?|tokens?|code\s+(?:is|was|that))\b|\bgets?\s+generated\b|\bhelper\s+for\b")
+_LIBRARY = re.compile(r"(?i)\b[a-z][\w.+-]*\s*(?:@|\bversion\b|\bver\.?|\brelease\b|\brev(?:ision)?\b|\bv)?\s*v?\d+\.\d+(?:\.\d+)*|\b[a-z][\w.+-]*\s*@\s*[0-9a-f]{7,40}\b")
+_FOREIGN = re.compile(
+    r"(?i)\b(?:imported|bundled|vendored|embedded|copied|taken|pulled|lifted|mirrored|forked|synced|included|borrowed|downloaded|incorporated|adopted|shipped|redistributed)\b|\bupstream\b|\b(?:snapshot|copy|mirror|fork|import|clone|release|drop)\s+of\b|\bthird[\s-]party\b|\bunmodified\b|\bunchanged\b|\bverbatim\b|\bas[\s-]is\b|\b(?:own|original|its|their)\s+(?:authors?|maintainers?|project|repository)\b|\bthe\s+[\w.+-]+\s+(?:authors|contributors|developers|project)\b"
+    r"|\bmaintained\s+(?:elsewhere|upstream|by)\b|\blocal\s+(?:patches|changes|modifications|edits)\b|\bnext\s+(?:sync|import|update|upgrade)\b|\b(?:[üu]e?bernommen|unver[äa]e?ndert|kopie\s+von|fremdcode|mitgeliefert)\b|\b(?:copi[ée]e?|repris|import[ée]e?|tir[ée]e?)\s+d[eu']|\bcopie\s+de\b|\b(?:copiad[oa]|tomad[oa]|importad[oa]|tra[íi]d[oa])\s+de\b|\bcopia\s+de\b|\bsin\s+cambios\b|\bsans\s+modification"
+)
+#: Alone enough: what only the code of others says.
+_THEIRS = re.compile(
+    r"(?i)\bnot\s+part\s+of\s+(?:this|our|the)\s+(?:project|repository|code\s*base|tree|product)\b|\b(?:this\s+(?:file|code)\s+(?:is|was|comes|belongs|originates)\b[^.]*\b(?:upstream|third[\s-]party|another\s+project|external\s+project|vendored))|\bthird[\s-]party\s+(?:code|file|source|library)\b[^.]*(?:\bdo\s+not\b|\bdon'?t\b|\bupstream\b|\bunmodified\b|\bunchanged\b)"
+    r"|\b(?:vendored|imported|copied|taken|synced|pulled)\s+(?:verbatim\s+|unchanged\s+|unmodified\s+|as[\s-]is\s+|directly\s+)*from\s+(?:upstream|another\s+project|https?://|git@|github\.com)|\b(?:send|report|submit)\s+(?:\w+\s+){0,3}(?:upstream|to\s+(?:its|their)\s+own\s+authors)\b|\bteil\s+eines\s+anderen\s+projekts\b|\bd'un\s+autre\s+projet\b|\bde\s+otro\s+proyecto\b|\bnicht\s+teil\s+dieses\s+projekts\b|\bne\s+fait\s+pas\s+partie\s+de\s+ce\s+projet\b|\bno\s+(?:es|forma)\s+parte\s+de\s+este\s+proyecto\b"
+)
+#: One of these, in lower case, is in every line that counts: looked for before anything else.
+_HINTS = (
+    "generated", "autogen", "written by", "written with", "produced", "created", "emitted", "rendered", "made by", "made with", "built by", "built from", "compiled", "transpiled", "output of", "product of", "machine", "synthes",
+    "computer", "erzeugt", "generiert", "erstellt", "génér", "genere", "produit", "generad", "generato", "gerado", "gerada", "producid", "creado", "cree par", "créé", "prodotto", "buffer-read-only", "do not edit", "do not modify", "do not change", "do not touch",
+    "never edit", "never modify", "upstream", "bundled", "vendored", "third-party", "third party", "copied", "copy of", "copie", "copia", "snapshot of", "mirror", "fork", "clone of", "import of", "release of", "drop of", "part of this", "part of our", "part of the project",
+    "verbatim", "unmodified", "unchanged", "as-is", "as is", "unver", "imported", "importé", "importad", "taken", "tomad", "traíd", "repris", "tiré", "lifted", "pulled", "synced", "included", "borrowed", "downloaded", "incorporated", "adopted", "shipped",
+    "embedded", "mitgeliefert", "bernommen", "kopie", "fremdcode", "local patches", "local changes", "local modif", "local edits", "next sync", "next import", "next update", "next upgrade", "own authors", "authors", "contributors", "maintain", "redistributed",
+    "teil ", "autre projet", "ce projet", "otro proyecto", "este proyecto", "sin cambios", "sans modif", "another project", "external project", "| mit", "(mit", "| bsd", "(bsd", "| apache", "(apache", "| licen", "(licen",
+)
+
+
+def _hinted(lower: str) -> bool:
+    return any(h in lower for h in _HINTS)
+
+
+_BANNER = re.compile(r"(?im)^[\s/*#;!<>\-]*[\w.+-]+\s+v?\d+(?:\.\d+)+\s*[|(][^\n]*(?:licen[sc]ed?|\bMIT\b|\bBSD\b|Apache)")
+
+
+def signed(comment: str) -> str | None:
+    """`generated` or `vendored` if a line of a comment says so.
+
+    A line must say that something was made, and by itself, by a tool with its version, from a source, or with a
+    warning; or name a library with its version, and that it comes from elsewhere. To speak of making is not enough.
+    """
+    for line in re.split(r"\r\n|[\n\r]", comment):
+        if not _hinted(line.lower()):
+            continue
+        if _MARK.search(line):
+            return "generated"
+        if _MADE.search(line) and not _STUB.search(line) and (_WARNED.search(line) or _BY_ITSELF.search(line)):
+            return "generated"
+        if _THEIRS.search(line) or _LIBRARY.search(line) and _FOREIGN.search(line) or _BANNER.search(line):
+            return "vendored"
+    return None
+
 
 LONG_LINE = 200
 #: Share of a file's code in long lines, and most of blanks in these, for a minified file.
@@ -112,12 +153,10 @@ def evidence(path: str, text: str | None) -> str | None:
         return "minified" if ".min." in m[0] or "-min." in m[0] else "generated"
     if not text:
         return None
-    if _HINT.search(text):
+    if _hinted(text.lower()):
         for c in _comments(path, text):
-            if _SIGNED.search(c):
-                return "generated"
-            if _IMPORTED.search(c):
-                return "vendored"
+            if why := signed(c):
+                return why
     if len(text) > LONG_LINE:
         lines = _LINE_END.split(text)
         long = [x for x in lines if len(x) > LONG_LINE]

@@ -60,3 +60,21 @@ def test_merkle_hash_needs_names_and_contents(spark):
     dirs = H.merkle_directories(H.file_evidence(rows(spark, rs)), 3, scratch(spark, "m")).collect()
     h = {(r["worktree_key"], r["dir"]): (r["h1"], r["h2"], r["n"]) for r in dirs}
     assert h["a", "d"] == h["b", "f"] != h["c", "g"] and h["a", "d"][2] == 2 and len(h) == 6
+
+
+def test_many_ways_to_sign():
+    for line in (
+        "Diese Datei wurde automatisch erzeugt (tool 1.2).", "Ce fichier a été généré automatiquement par tool, ne pas modifier.", "Archivo generado por tool 2.1, no editar.", "-*- buffer-read-only: t -*- made by tool", "Machine written by tool. Hands off.",
+        "This file was created automatically by tool", "Produced by running tool over a.def, regenerate rather than patch", "GENERATED CODE, edit a.tmpl instead", "Built from a.proto by tool v3", "Autogenerated from a.schema; do not modify", "AUTO-GENERATED FILE -- changes will be lost",
+    ):
+        assert H.signed("// " + line) == "generated", line
+    for line in (
+        "libx version 1.2.3 - (c) the libx authors, not part of this project", "Snapshot of libx @ 1.2.3. Local patches get lost on the next sync.", "libx 1.2.3, imported unchanged from upstream", "Bundled copy of libx 1.2.3; report problems to its own authors",
+        "Vendored from https://example.org/x", "Kopie von libx 2.0.1, unverändert übernommen",
+    ):
+        assert H.signed("# " + line) == "vendored", line
+    for line in (
+        "generated ids start at 7", "Helper for code that gets generated by the loader.", "TODO Auto-generated method stub", "The vendor wants a lock here.", "Since build 1.2 the cache is read-only.", "The copy of the buffer is unchanged.", "do not edit the ring by hand, call this instead",
+        "Produced by the reader thread, consumed by the writer.", "Works with libx 1.2.3 or later.", "Rows 3 to 9 show the snapshot of a cache.", "Copyright (c) 2019 the team. All rights reserved.", "Part of the workspace tools. Licensed under MIT terms.",
+    ):
+        assert H.signed("// " + line) is None, line
