@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from symloom.sources.spread import spread
 
 NGRAM = 5
-PIECE = 12
+PIECE = 6
 FOUND_SHARE = 0.4
 #: The labels are coarser than words: documents whose labelled share reaches this much are counted exactly.
 CANDIDATE_SHARE = 0.25
@@ -168,19 +168,23 @@ class ChainField:
 
 
 def made_document(rng: np.random.Generator, vocabulary: list[str]) -> tuple[str, np.ndarray]:
-    """A text of made-up sentences, some of them said again in another dress, with the label of every segment."""
+    """A text of made-up sentences, some of them said again in whole or in part and in another dress, with the label of
+    every segment: boilerplate if more than half of its words were said before."""
     said: list[list[str]] = []
     lines, labels = [], []
     rate = rng.choice([0.0, 0.15, 0.5, 0.85])
     for _ in range(int(rng.integers(3, 40))):
         again = bool(said) and rng.random() < rate
-        if again:
-            words = said[int(rng.integers(len(said)))]
-        else:
-            words = [vocabulary[int(k)] for k in rng.integers(0, len(vocabulary), int(rng.integers(NGRAM + 1, PIECE)))]
-            if said and rng.random() < 0.3:  # alike, but not the same: four words of an earlier one
-                old = said[int(rng.integers(len(said)))]
-                words[1 : 1 + NGRAM - 1] = old[: NGRAM - 1]
+        words = [vocabulary[int(k)] for k in rng.integers(0, len(vocabulary), int(rng.integers(NGRAM + 1, PIECE + NGRAM)))]
+        if again:  # a beginning of five words or more of an earlier sentence, often all of it
+            old = said[int(rng.integers(len(said)))]
+            kept = len(old) if rng.random() < 0.6 else int(rng.integers(NGRAM, len(old) + 1))
+            words = old[:kept] + words[: max(PIECE - kept, int(rng.integers(0, PIECE + NGRAM - kept)))]
+            again = 2 * kept > len(words)
+        elif said and rng.random() < 0.3:  # alike, but not the same: four words of an earlier one
+            old = said[int(rng.integers(len(said)))]
+            words[1 : 1 + NGRAM - 1] = old[: NGRAM - 1]
+        if not again:
             said.append(words)
         line = " ".join(words)
         if again and rng.random() < 0.5:
