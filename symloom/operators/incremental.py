@@ -66,9 +66,12 @@ def process_runs(spark: SparkSession, manifest: DataFrame, runs: DataFrame, keys
 
     Every succeeded run is one item. All pending items are leased together and computed in one job, whose output is
     divided by run in a staging folder; each part is then moved to the item's own path under its fencing token. Called
-    again after a failure, or with further runs, it computes only the items that are not done.
+    again after a failure, or with further runs, it computes only the items that are not done. Without succeeded runs there
+    are no rows.
     """
     done = succeeded_runs(runs)
+    if not done:
+        return run_deltas(manifest, [], keys, content)
     ledger = WorkLedger(spark, root)
     names = {f"run_id={run_id}": run_id for _, run_id in done}
     ledger.add(list(names))

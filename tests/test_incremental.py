@@ -52,6 +52,8 @@ def test_process_is_restartable(spark):
 def test_no_runs(spark):
     m, r = tables(spark)
     assert run_deltas(m, [], KEYS, F.col("content_hash")).collect() == []
+    assert process_runs(spark, m, r.where("false"), KEYS, F.col("content_hash"), scratch(spark, "none")).collect() == []
+    assert process_runs(spark, m.where("false"), r, KEYS, F.col("content_hash"), scratch(spark, "none")).collect() == []
 
 
 def test_leases_expire_and_stale_writers_are_fenced(spark):
