@@ -506,7 +506,21 @@ def rank_definitions(spark, d):
 @query(_w(_F, _S, _G, _L, _RANKQ, _OPEN, *_RANK) + "select here, name, file_id, symbol_idx, line from ranked where rank = 1")
 def goto_definition(spark, d):
     """The first definition of each asked name."""
-    return _ranked(spark, d).where("rank = 1").select("here", "name", "file_id", "symbol_idx", "line")
+    g = corpus.global_symbols(_symbols(spark, d)).select("file_id", "symbol_idx", "name", "line", "col", "container")
+    q = g.where(F.col("file_id") % STEP == 0).groupBy(F.col("file_id").alias("here"), "name").agg(F.max("container").alias("qualifier"))
+    lines = corpus.lines(_files(spark, d), "file_id")
+
+    def best(defs: DataFrame) -> DataFrame:
+        return lookup.rank(defs, lookup.qualifier_in_source(defs, lines)).where("rank = 1").drop("rank", "score")
+
+    # the file only lifts its own definitions: the best of all is found once per name and qualifier, not per file, and
+    # competes with those of the asking file
+    pairs = q.select("name", "qualifier").distinct().join(g, "name").withColumn("query_id", F.struct("name", "qualifier")).withColumn("current_file", F.lit(None).cast("bigint"))
+    key = F.coalesce("qualifier", F.lit("")).alias("_q")
+    far = q.select("here", "name", "qualifier", key).join(best(pairs).select("name", key, "file_id", "symbol_idx", "line", "col", "container"), ["name", "_q"]).drop("_q")
+    own = q.join(g.withColumn("here", F.col("file_id")), ["name", "here"])
+    both = far.unionByName(own.select(far.columns)).distinct()
+    return best(both.withColumn("query_id", F.struct("here", "name")).withColumn("current_file", F.col("here"))).select("here", "name", "file_id", "symbol_idx", "line")
 
 
 _FAM = schema.sql_case(schema.FAMILY_OF, "ext")
