@@ -114,34 +114,168 @@ class Classes(dict):
         return BAD
 
 
-def _no_branches(text: str) -> str:
-    """C without directives, and with the first branch only of each conditional: the branches need not nest with the code."""
+_COMMENT_OR_TEXT = re.compile(LITERALS["c"])
+_DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(\w*)[ \t]*(.*)", re.S)
+_DEFINED = re.compile(r"defined\s*(?:\(\s*(\w+)\s*\)|(\w+))")
+
+
+@dataclass
+class Fault:
+    """A conflict marker or a directive that is wrong by itself, whatever branch is read."""
+
+    line: int
+    cause: str
+
+
+@dataclass
+class _Branch:
+    """A branch of a conditional: its condition as (what, whether it must hold), the branches before it, the one around."""
+
+    condition: tuple[str, bool] | None
+    before: list[int]
+    around: int | None
+    conditional: int
+
+
+def _condition(word: str, rest: str) -> tuple[str, bool] | None:
+    """What a branch asks, so that conditionals that ask the same are answered alike; None for #else and for numbers."""
+    rest, holds = " ".join(rest.replace("\\", " ").split()), not word.endswith("ndef")
+    if word.endswith("def"):
+        return f"defined {rest.split(' ')[0]}", holds
+    while m := re.fullmatch(r"!\s*(\w+|\([^()]*\)|defined\s*\(\s*\w+\s*\)|defined\s+\w+)|\(([^()]*)\)", rest):
+        rest, holds = (m[1] or m[2]).strip(), holds != bool(m[1])
+    if m := _DEFINED.fullmatch(rest):
+        return f"defined {m[1] or m[2]}", holds
+    return (rest, holds) if word != "else" and not rest.isdigit() else None
+
+
+def _readings(text: str) -> tuple[list[str], Fault | None]:
+    """C without directives, read as often as its conditionals need for each branch to be read: the branches need not
+    nest with the code. Each reading has as many lines as the text.
+
+    A reading answers equal conditions alike, up to a #define or #undef of their names, and takes of each conditional
+    the first branch not read yet that these answers allow; without any, a conditional without #else is left out.
+    Directives inside of comments and literals are none. With a `Fault` there are no readings.
+    """
     if "#" not in text:
-        return text
-    out, skip = [], []
-    lines = re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)
-    k = 0
+        return [text], None
+    inside: set[int] = set()  # starts of lines within literals
+    conflicts: list[int] = []
+
+    def plain(m: re.Match) -> str:
+        t = m[0]
+        if t[:2] == "//" or t[:2] == "/*" and len(t) > 2:
+            return re.sub(r"[^\r\n]", " ", t)
+        if t[0] in "<=>|":
+            conflicts.append(m.start())
+        elif "\n" in t or "\r" in t:
+            inside.update(m.start() + x.end() for x in re.finditer(r"\r\n?|\n", t))
+        return t
+
+    blanked = _COMMENT_OR_TEXT.sub(plain, text)
+    if conflicts:
+        return [], Fault(len(re.findall(r"\r\n|\n|\r", text[: conflicts[0]])), "merge conflict")
+    lines = re.split(r"(?<=\n)|(?<=\r)(?!\n)", blanked)
+    branches: list[_Branch] = []
+    events: dict[int, tuple[str, int | str]] = {}
+    choices: list[list[int]] = []  # the branches of each conditional
+    opened: list[tuple[int, bool]] = []  # conditional, and whether its #else was seen
+    k = at = 0
     while k < len(lines):
-        line = lines[k]
-        m = re.match(r"[ \t]*#[ \t]*(\w*)", line)
+        n, line = k, lines[k]
+        m = _DIRECTIVE.match(line) if "#" in line and at not in inside else None
+        at += len(line)
         if m:
-            word = m[1]
-            if word in ("if", "ifdef", "ifndef"):
-                skip.append(False)
-            elif word in ("else", "elif", "elifdef", "elifndef") and skip:
-                skip[-1] = True
-            elif word == "endif" and skip:
-                skip.pop()
+            lines[n], rest = "\n", m[2]
             while line.rstrip("\r\n").endswith("\\") and k + 1 < len(lines):
-                out.append("\n")
                 k += 1
-                line = lines[k]
-            # a comment that begins behind the directive goes on
-            at = line.find("/*")
-            out.append(line[at:] if at >= 0 and "*/" not in line[at:] and "//" not in line[:at] else "\n")
-        else:
-            out.append("\n" if any(skip) else line)
+                line, lines[k] = lines[k], "\n"
+                at += len(line)
+                rest += line
+            word = m[1]
+            if word in ("if", "ifdef", "ifndef"):
+                around = choices[opened[-1][0]][-1] if opened else None
+                opened.append((len(choices), False))
+                choices.append([len(branches)])
+                branches.append(_Branch(_condition(word, rest), [], around, len(choices) - 1))
+                events[n] = "if", len(choices) - 1
+            elif word in ("else", "elif", "elifdef", "elifndef"):
+                if not opened or opened[-1][1]:
+                    return [], Fault(n, "unexpected token")
+                c = opened[-1][0]
+                opened[-1] = c, word == "else"
+                branches.append(_Branch(_condition(word, rest), list(choices[c]), branches[choices[c][0]].around, c))
+                choices[c].append(len(branches) - 1)
+                events[n] = "branch", len(branches) - 1
+            elif word == "endif":
+                if not opened:
+                    return [], Fault(n, "unexpected token")
+                opened.pop()
+                events[n] = "endif", 0
+            elif word in ("define", "undef") and (name := re.match(r"\w+", rest)):
+                events[n] = word, name[0]
         k += 1
+    if opened:
+        return [], Fault(len(re.findall(r"\r\n|\n|\r", text)), "truncated")
+    read: set[int] = set()
+    first = _reading(lines, events, branches, choices, read, None)
+    out = [first]
+    for target in range(len(branches)):
+        if target not in read:
+            out.append(_reading(lines, events, branches, choices, read, target))
+    return list(dict.fromkeys(out)), None
+
+
+def _reading(lines: list[str], events: dict[int, tuple[str, int | str]], branches: list[_Branch], choices: list[list[int]], read: set[int], target: int | None) -> str:
+    """The lines with one branch of each conditional, among them the `target` and what stands around it; adds to `read`."""
+    known: dict[str, bool] = {}
+    forced: dict[int, int] = {}
+
+    def settle(b: int) -> None:
+        for x in branches[b].before:
+            if c := branches[x].condition:
+                known[c[0]] = not c[1]
+        if c := branches[b].condition:
+            known[c[0]] = c[1]
+
+    def choose(conditional: int) -> int | None:
+        free = []
+        for b in choices[conditional]:
+            c = branches[b].condition
+            holds = known[c[0]] == c[1] if c and c[0] in known else None
+            if holds is not False:
+                free.append(b)
+            if holds:
+                break
+        return next((b for b in free if b not in read), free[0] if free else None)
+
+    b = target
+    while b is not None:
+        forced[branches[b].conditional] = b
+        settle(b)
+        b = branches[b].around
+    out: list[str] = []
+    taken: list[tuple[int | None, bool]] = []  # the branch taken of each open conditional, and whether we are in it
+    live = True
+    for n, line in enumerate(lines):
+        if n in events:
+            what, x = events[n]
+            if what == "if":
+                b = (forced[x] if x in forced else choose(x)) if live else None
+                if b is not None:
+                    read.add(b)
+                    settle(b)
+                taken.append((b, b == choices[x][0]))
+            elif what == "branch":
+                taken[-1] = taken[-1][0], taken[-1][0] == x
+            elif what == "endif":
+                taken.pop()
+            elif live:
+                for known_text in [t for t in known if re.search(rf"\b{x}\b", t)]:
+                    del known[known_text]
+                known[f"defined {x}"] = what == "define"
+            live = all(here for _, here in taken)
+        out.append(line if live else "\n")
     return "".join(out)
 
 
@@ -186,8 +320,12 @@ class Language:
             self.member = re.compile(f"(?<=[{c('.', '&.', 'def')}])[{words}]")
 
     def prepared(self, text: str) -> str:
-        """The text as the lexer takes it, with as many lines."""
-        return _no_branches(text) if self.name == "c" else _heredocs(text) if self.name == "ruby" else text
+        """The text as the lexer takes it, with as many lines; of C, the first reading."""
+        return (_readings(text)[0] or [text])[0] if self.name == "c" else _heredocs(text) if self.name == "ruby" else text
+
+    def readings(self, text: str) -> tuple[list[str], Fault | None]:
+        """All texts that must parse for this one to parse, or what is wrong before any is read."""
+        return _readings(text) if self.name == "c" else ([text], None)
 
     def tokens(self, text: str) -> str:
         """One character per token; comments, and line ends that mean nothing, leave none."""
@@ -257,8 +395,12 @@ class Language:
         return "".join(out)
 
     def parses(self, text: str) -> bool:
-        tokens = self.tokens(text)
-        return self.grammar.accepts(tokens) or self.grammar.furthest(tokens) < 0
+        readings, fault = self.readings(text)
+        return fault is None and all(self.grammar.accepts(tokens) or self.grammar.furthest(tokens) < 0 for tokens in map(self.tokens, readings))
+
+    def accepts(self, text: str) -> bool:
+        readings, fault = self.readings(text)
+        return fault is None and all(map(self.grammar.accepts, map(self.tokens, readings)))
 
 
 @cache
@@ -268,7 +410,7 @@ def language(name: str) -> Language:
 
 @dataclass
 class Failure:
-    token: int
+    token: int | None  # None if it is no token but a directive or a conflict marker between branches
     line: int | None
     cause: str | None
 
@@ -277,7 +419,7 @@ def _cause(lang: Language, text: str, tokens: str, at: int) -> str:
     if CONFLICT in tokens:
         return "merge conflict"
     others = [n for n in GRAMMARS if n != lang.name and not {n, lang.name} <= {"java", "csharp"}]
-    if any(language(n).grammar.accepts(language(n).tokens(text)) for n in others if n != "ruby" or lang.name == "python"):
+    if any(language(n).accepts(text) for n in others if n != "ruby" or lang.name == "python"):
         return "other language"
     if at >= len(tokens.rstrip(lang.grammar.chars.get("\n", "") + lang.grammar.chars.get(grammars.DEDENT, ""))):
         return "truncated"
@@ -291,13 +433,17 @@ def failure(text: str, name: str, explain: bool = True) -> Failure | None:
     lang = language(name)
     if text.startswith("﻿"):
         text = text[1:]
-    tokens = lang.tokens(text)
-    if not tokens or lang.grammar.accepts(tokens):
-        return None
-    at = lang.grammar.furthest(tokens)
-    if at < 0:
-        return None
-    return Failure(at, _line(lang, text, at), _cause(lang, text, tokens, at)) if explain else Failure(at, None, None)
+    readings, fault = lang.readings(text)
+    if fault:
+        return Failure(None, fault.line, fault.cause) if explain else Failure(None, None, None)
+    for reading in readings:
+        tokens = lang.tokens(reading)
+        if not tokens or lang.grammar.accepts(tokens):
+            continue
+        at = lang.grammar.furthest(tokens)
+        if at >= 0:
+            return Failure(at, _line(lang, reading, at), _cause(lang, text, tokens, at)) if explain else Failure(at, None, None)
+    return None
 
 
 def _line(lang: Language, text: str, at: int) -> int:

@@ -80,3 +80,41 @@ def test_table(spark):
     rates = {(r["repo_id"], r["language"]): (r["files"], r["failed"]) for r in S.failure_rates(found, spark.createDataFrame([("r", "w"), ("r", "w")], "repo_id string, worktree_key string")).collect()}
     assert rates[("r", "python")] == (2, 1) and rates[(None, "rust")] == (1, 1)
     assert S.syntax_failures(df.where("false")).collect() == []
+
+
+C_CONDITIONALS_GOOD = [
+    "#ifndef A_H\n#define A_H\n#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(void);\n#ifdef __cplusplus\n}\n#endif\n#endif /* A_H */\n",
+    # the same condition is answered alike, so that the braces match in both readings
+    "int f(int a) {\n#ifdef A\n  if (a) {\n#endif\n  g();\n#if defined(A)\n  }\n#else\n  h();\n#endif\n  return 0;\n}\n",
+    "#ifdef A\nint f(void) {\n#else\nint f(int a) {\n#endif\n#ifndef A\n  a = 1; }\n#else\n  return 0; }\n#endif\n",
+    # no directives: in comments, in texts that go on, in raw texts
+    "/*\n#if x\n#else\n*/\n// a \\\n#endif\nchar *a = \"b\\\n#if c\\\n\";\nauto r = R\"(\n#endif\n)\";\n#define X \\\n#if\nint b;\n",
+    "/* c */ #if A\nint a;\n/* d\n*/ #endif\n",
+    "#if A\nint a;\n#elif B \\\n  && C\nint b;\n#elif D\nint c;\n#else\n#error no \"A\" here\n#endif\n",
+]
+C_CONDITIONALS_BAD = {
+    "int a;\n#ifdef A\nint b;\n#else\n<<<<<<< HEAD\nint c;\n=======\nint d;\n>>>>>>> x\n#endif\n": (4, "merge conflict"),
+    "#ifndef A_H\n#define A_H\nint f(void);\nint g(void);\n": (4, "truncated"),
+    "#if A\nint f(void) { return 0; }\n#else\nint f(void) {\n": (4, "truncated"),
+    "#if A\nint a;\n#else\nint f = ;\n#endif\n": (3, "unexpected token"),
+    "#if A\nint a;\n#elif B\nint b;\n#elif C\nint f = ;\n#endif\n": (5, "unexpected token"),
+    "#ifndef G\n#if A\nint a;\n#else\nint b;\n#endif\nint c;\n#if B\n#if C\nint d;\n#else\nint f = ;\n#endif\n#else\nint e;\n#endif\n#endif\n": (11, "unexpected token"),
+    "int a;\n#endif\n": (1, "unexpected token"),
+    "int a;\n#else\nint b;\n": (1, "unexpected token"),
+    "#if A\n#else\n#elif B\n#endif\n": (2, "unexpected token"),
+    # a branch that no answer of the conditions reaches is read too
+    "#ifdef A\n#ifndef A\nint f = ;\n#endif\n#endif\n": (2, "unexpected token"),
+}
+
+
+def test_every_branch_of_a_conditional_is_read():
+    for text in C_CONDITIONALS_GOOD:
+        for t in (text, text.replace("\n", "\r\n")):
+            assert S.failure(t, "c") is None, (t, S.failure(t, "c"), S.language("c").readings(t))
+    for text, (line, cause) in C_CONDITIONALS_BAD.items():
+        for t in (text, text.replace("\n", "\r\n")):
+            f = S.failure(t, "c")
+            assert f is not None and (f.line, f.cause) == (line, cause), (t, f)
+            assert S.failure(t, "c", explain=False) is not None and not S.language("c").parses(t)
+    many = "int a;\n" + "#if A\nint b;\n#elif B\nint c;\n#else\nint d;\n#endif\n" * 50
+    assert len(S.language("c").readings(many)[0]) == 3
