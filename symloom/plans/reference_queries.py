@@ -453,23 +453,35 @@ _CUR = (
 )
 
 
-def _cursors(spark: SparkSession, d: str) -> DataFrame:
-    """A cursor one character into the name of each asked symbol: (file_id, symbol_idx, text, col, word, qualifier)."""
-    s = _symbols(spark, d).where(F.col("file_id") % STEP == 0).select("file_id", "symbol_idx", "line", (F.col("col") + 1).alias("col"))
-    wanted = corpus.lines(_files(spark, d).where(F.col("file_id") % STEP == 0), "file_id")
+def _cursors(spark: SparkSession, d: str, step: int = 1) -> DataFrame:
+    """A cursor one character into the name of each symbol of each `step`-th file: (file_id, symbol_idx, text, col, word, qualifier)."""
+    s = _symbols(spark, d).where(F.col("file_id") % step == 0).select("file_id", "symbol_idx", "line", (F.col("col") + 1).alias("col"))
+    wanted = corpus.lines(_files(spark, d).where(F.col("file_id") % step == 0), "file_id")
     at = s.join(wanted, ["file_id", "line"])
     return at.select("file_id", "symbol_idx", "text", "col", text.word_at(F.col("text"), F.col("col")).alias("word"), text.qualifier_before(text.word_prefix(F.col("text"), F.col("col"))).alias("qualifier"))
 
 
 @query(_w(_F, _S, _L, *_CUR) + "select file_id, symbol_idx, nullif(word, '') as word from cw")
 def word_at_position(spark, d):
-    """The word under a cursor."""
-    return _cursors(spark, d).select("file_id", "symbol_idx", "word")
+    """The word under a cursor, in the files that the SQL asks."""
+    return _cursors(spark, d, STEP).select("file_id", "symbol_idx", "word")
 
 
 @query(_w(_F, _S, _L, *_CUR) + "select file_id, symbol_idx, nullif(q, '') as qualifier from cw where col <= length(text)")
 def qualifier_before(spark, d):
-    """What qualifies the word under a cursor."""
+    """What qualifies the word under a cursor, in the files that the SQL asks."""
+    return _cursors(spark, d, STEP).where(F.col("col") <= F.char_length("text")).select("file_id", "symbol_idx", "qualifier")
+
+
+@query()
+def word_at_position_all(spark, d):
+    """The word under a cursor, for the symbols of all files."""
+    return _cursors(spark, d).select("file_id", "symbol_idx", "word")
+
+
+@query()
+def qualifier_before_all(spark, d):
+    """What qualifies the word under a cursor, for the symbols of all files."""
     return _cursors(spark, d).where(F.col("col") <= F.char_length("text")).select("file_id", "symbol_idx", "qualifier")
 
 
@@ -898,7 +910,7 @@ def code_occurrences(spark, d):
 
 @query()
 def ident_context(spark, d):
-    """What the word under each asked cursor is: a field, a call, a type or plain."""
+    """What the word under the cursor of each symbol is: a field, a call, a type or plain."""
     c = _cursors(spark, d).where("word is not null")
     start = F.char_length(text.word_prefix(F.col("text"), F.col("col")))
     return parse.contexts(c.select("file_id", F.col("symbol_idx").alias("line"), "text", "word", start.alias("col"))).withColumnRenamed("line", "symbol_idx")

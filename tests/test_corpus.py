@@ -224,3 +224,19 @@ def test_latest_events(spark):
     t = dt.datetime(2026, 1, 1)
     e = spark.createDataFrame([(1, 1, t), (1, 2, t), (2, 3, None)], "u long, e long, ts timestamp")
     assert sorted((r["u"], r["e"]) for r in manifest.latest_events(e, "u", [F.col("ts").desc(), F.col("e").desc()]).collect()) == [(1, 2), (2, 3)]
+
+
+def test_words_and_contexts_of_all_symbols(spark, tmp_path):
+    from symloom.plans import reference_queries as Q
+
+    files = [(1, 1, "h1", "int a;\nx.foo;\n"), (20, 1, "h2", "old"), (20, 2, "h3", "b::bar\r\nint"), (23, 1, "h4", "baz")]
+    spark.createDataFrame(files, "file_id long, mtime_ns long, content_hash string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    symbols = [(1, 0, 1, 2), (20, 0, 0, 3), (20, 1, 9, 0), (23, 0, 0, 0), (23, 0, 0, 0), (23, 1, 0, 9)]
+    spark.createDataFrame(symbols, "file_id long, symbol_idx int, line int, col int").write.parquet(f"{tmp_path}/symbols.parquet")
+    q = Q.queries()
+    rows = lambda name: sorted(tuple(r) for r in q[name](spark, str(tmp_path)).collect())
+    assert rows("word_at_position_all") == [(1, 0, "foo"), (20, 0, "bar"), (23, 0, "baz"), (23, 1, None)]
+    assert rows("qualifier_before_all") == [(1, 0, "x"), (20, 0, "b"), (23, 0, None)]
+    assert rows("word_at_position") == [(20, 0, "bar")] and rows("qualifier_before") == [(20, 0, "b")]
+    contexts = {(r["file_id"], r["symbol_idx"]): r["context"] for r in q["ident_context"](spark, str(tmp_path)).collect()}
+    assert contexts[1, 0] == "FieldAccess" and set(contexts) == {(1, 0), (20, 0), (23, 0)}
