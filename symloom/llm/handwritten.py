@@ -57,19 +57,26 @@ _THEIRS = re.compile(
     r"(?i)\bnot\s+part\s+of\s+(?:this|our|the)\s+(?:project|repository|code\s*base|tree|product)\b|\b(?:this\s+(?:file|code)\s+(?:is|was|comes|belongs|originates)\b[^.]*\b(?:upstream|third[\s-]party|another\s+project|external\s+project|vendored))|\bthird[\s-]party\s+(?:code|file|source|library)\b[^.]*(?:\bdo\s+not\b|\bdon'?t\b|\bupstream\b|\bunmodified\b|\bunchanged\b)"
     r"|\b(?:vendored|imported|copied|taken|synced|pulled)\s+(?:verbatim\s+|unchanged\s+|unmodified\s+|as[\s-]is\s+|directly\s+)*from\s+(?:upstream|another\s+project|https?://|git@|github\.com)|\b(?:send|report|submit)\s+(?:\w+\s+){0,3}(?:upstream|to\s+(?:its|their)\s+own\s+authors)\b|\bteil\s+eines\s+anderen\s+projekts\b|\bd'un\s+autre\s+projet\b|\bde\s+otro\s+proyecto\b|\bnicht\s+teil\s+dieses\s+projekts\b|\bne\s+fait\s+pas\s+partie\s+de\s+ce\s+projet\b|\bno\s+(?:es|forma)\s+parte\s+de\s+este\s+proyecto\b"
 )
-#: One of these, in lower case, is in every line that counts: looked for before anything else.
+#: One of these words or phrases is in every line that counts, as each rule's alternatives need one: looked for before anything else.
 _HINTS = (
-    "generated", "autogen", "written by", "written with", "produced", "created", "emitted", "rendered", "made by", "made with", "built by", "built from", "compiled", "transpiled", "output of", "product of", "machine", "synthes",
-    "computer", "erzeugt", "generiert", "erstellt", "génér", "genere", "produit", "generad", "generato", "gerado", "gerada", "producid", "creado", "cree par", "créé", "prodotto", "buffer-read-only", "do not edit", "do not modify", "do not change", "do not touch",
-    "never edit", "never modify", "upstream", "bundled", "vendored", "third-party", "third party", "copied", "copy of", "copie", "copia", "snapshot of", "mirror", "fork", "clone of", "import of", "release of", "drop of", "part of this", "part of our", "part of the project",
-    "verbatim", "unmodified", "unchanged", "as-is", "as is", "unver", "imported", "importé", "importad", "taken", "tomad", "traíd", "repris", "tiré", "lifted", "pulled", "synced", "included", "borrowed", "downloaded", "incorporated", "adopted", "shipped",
-    "embedded", "mitgeliefert", "bernommen", "kopie", "fremdcode", "local patches", "local changes", "local modif", "local edits", "next sync", "next import", "next update", "next upgrade", "own authors", "authors", "contributors", "maintain", "redistributed",
-    "teil ", "autre projet", "ce projet", "otro proyecto", "este proyecto", "sin cambios", "sans modif", "another project", "external project", "| mit", "(mit", "| bsd", "(bsd", "| apache", "(apache", "| licen", "(licen",
+    "generated", "autogen", "erzeugt", "generiert", "erstellt", "géner", "génér", "genér", "genere", "generé", "produi", "producid", "generad", "generato", "gerado", "gerada", "prodotto", "buffer-read-only",
+    "imported", "bundled", "vendored", "embedded", "copied", "taken", "pulled", "lifted", "mirrored", "forked", "synced", "included", "borrowed", "downloaded", "incorporated", "adopted", "shipped", "redistributed",
+    "upstream", "unmodified", "unchanged", "verbatim", "bernommen", "unver", "fremdcode", "mitgeliefert",
 )
+_PHRASES = re.compile(
+    r"(?:written|produced|created|emitted|rendered|synthesi[sz]ed|transpiled|compiled|built|made|output)\s+(?:\w+\s+){0,3}?(?:by|from|with|using|of|via)\b|(?:auto|machine|computer|tool)[\s-]*(?:written|made|created|produced)|product\s+of\b"
+    r"|cr[ée][ée]e?\s+par|cread[oa]\s+por|not\s+(?:edit|modify|change|touch)|never\s+(?:edit|modify)|(?:snapshot|copy|mirror|fork|import|clone|release|drop)\s+of|third[\s-]party|as[\s-]is"
+    r"|(?:own|original|its|their)\s+(?:author|maintainer|project|repository)|the\s+[\w.+-]+\s+(?:authors|contributors|developers|project)|maintained\s+(?:elsewhere|by)|local\s+(?:patches|changes|modifications|edits)|next\s+(?:sync|import|update|upgrade)"
+    r"|kopie\s+von|(?:copi[ée]e?|repris|import[ée]e?|tir[ée]e?)\s+d[eu']|(?:copiad|tomad|importad|tra[íi]d)[oa]\s+de|copia\s+de|sin\s+cambios|sans\s+modification|part\s+of\s+(?:this|our|the)\b|(?:another|external)\s+project"
+    r"|teil\s+(?:eines|dieses)|autre\s+projet|otro\s+proyecto|ce\s+projet|este\s+proyecto|\.\d+\s*[|(][^\n]*(?:licen|mit|bsd|apache)"
+)
 
 
-def _hinted(lower: str) -> bool:
-    return any(h in lower for h in _HINTS)
+def _hinted(text: str) -> bool:
+    lower = text.lower()
+    if not lower.isascii():  # letters that rules without letter case take for others
+        lower = lower.replace("ſ", "s").replace("ı", "i").replace("i̇", "i")
+    return any(h in lower for h in _HINTS) or _PHRASES.search(lower) is not None
 
 
 _BANNER = re.compile(r"(?im)^[\s/*#;!<>\-]*[\w.+-]+\s+v?\d+(?:\.\d+)+\s*[|(][^\n]*(?:licen[sc]ed?|\bMIT\b|\bBSD\b|Apache)")
@@ -82,7 +89,7 @@ def signed(comment: str) -> str | None:
     warning; or name a library with its version, and that it comes from elsewhere. To speak of making is not enough.
     """
     for line in re.split(r"\r\n|[\n\r]", comment):
-        if not _hinted(line.lower()):
+        if not _hinted(line):
             continue
         if _MARK.search(line):
             return "generated"
@@ -153,7 +160,7 @@ def evidence(path: str, text: str | None) -> str | None:
         return "minified" if ".min." in m[0] or "-min." in m[0] else "generated"
     if not text:
         return None
-    if _hinted(text.lower()):
+    if _hinted(text):
         for c in _comments(path, text):
             if why := signed(c):
                 return why

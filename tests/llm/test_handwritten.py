@@ -1,3 +1,6 @@
+import random
+import re
+
 from symloom.llm import handwritten as H
 
 CODE = "int add(int a, int b)\n{\n    int total = a + b;\n    return total;\n}\n\nint sub(int a, int b)\n{\n    return a - b;\n}\n"
@@ -78,3 +81,50 @@ def test_many_ways_to_sign():
         "Produced by the reader thread, consumed by the writer.", "Works with libx 1.2.3 or later.", "Rows 3 to 9 show the snapshot of a cache.", "Copyright (c) 2019 the team. All rights reserved.", "Part of the workspace tools. Licensed under MIT terms.",
     ):
         assert H.signed("// " + line) is None, line
+
+
+def test_every_line_that_a_rule_accepts_is_hinted():
+    for line, why in (
+        ("# Built with bison 3.8.2 from parser.y; changes will be lost.", "generated"), ("// Automatically written out by protoc 3.21 - edits will be overwritten", "generated"),
+        ("/*! lodash 4.17.21 (https://lodash.com) released under the MIT license */", "vendored"), ("// zlib 1.3, from the original project", "vendored"), ("// foo 1.2 by the foo developers", "vendored"), ("// DO\tNOT EDIT", "generated"),
+    ):
+        assert H.signed(line) == why and H.evidence("src/a.js", line.replace("# ", "// ") + "\n" + CODE) == why, line
+    rng = random.Random(5)
+
+    def text_of(tree) -> str:
+        out = []
+        for op, x in tree:
+            match str(op):
+                case "LITERAL":
+                    out.append(rng.choice([chr(x), chr(x).upper()]) if rng.random() < 0.2 else chr(x))
+                case "NOT_LITERAL":
+                    out.append("x")
+                case "ANY":
+                    out.append("q")
+                case "IN":
+                    out.append(rng.choice([of_set(y) for y in x]) if str(x[0][0]) != "NEGATE" else " ")
+                case "BRANCH":
+                    out.append(text_of(rng.choice(x[1])))
+                case "SUBPATTERN":
+                    out.append(text_of(x[-1]))
+                case "MAX_REPEAT" | "MIN_REPEAT":
+                    low, high, y = x
+                    out.extend(text_of(y) for _ in range(rng.randint(low, min(int(high), low + 2))))
+        return "".join(out)
+
+    def of_set(item) -> str:
+        op, x = str(item[0]), item[1]
+        if op == "RANGE":
+            return chr(rng.randint(*x))
+        return chr(x) if op == "LITERAL" else {"CATEGORY_WORD": "w", "CATEGORY_DIGIT": "7", "CATEGORY_SPACE": rng.choice(" \t "), "CATEGORY_NOT_WORD": "*"}[str(x)]
+
+    for rule in (H._MARK, H._MADE, H._THEIRS, H._FOREIGN, H._BANNER):
+        tree, met = re._parser.parse(rule.pattern), 0
+        for _ in range(4000):
+            line = text_of(tree)
+            for text in (line, line.replace("s", "ſ").replace("i", "ı"), line.upper()):
+                for part in re.split(r"\r\n|[\n\r]", text):
+                    if rule.search(part):
+                        met += 1
+                        assert H._hinted(part), part
+        assert met > 1000
