@@ -81,7 +81,7 @@ def spans(path: str, text: str) -> Iterator[tuple[str, int, int, int, str | None
         name = next((g for g in m.groups() if g), None)
         functions.append(line)
         yield "f", line, line, before[line], name, None
-    heads = {}
+    heads, begun = {}, set(functions)
     for f in functions if lang == "python" else ():  # the line on which a Python header ends
         depth, k = 0, f
         while k < len(lines):
@@ -89,7 +89,7 @@ def spans(path: str, text: str) -> Iterator[tuple[str, int, int, int, str | None
             if depth <= 0 and lines[k].rstrip().endswith(":"):
                 heads[k] = f
                 break
-            if k - f > 200:
+            if depth <= 0 and not lines[k].rstrip().endswith("\\") or k + 1 in begun:  # a head of one line, or one never closed
                 break
             k += 1
     for what, a, b, t, own in found:
@@ -171,6 +171,12 @@ def _describe(doc: str, name: str | None) -> str:
     return description(doc, name)
 
 
+def _holds(comment: str | None, told: str, name: str | None) -> bool:
+    """Whether a comment of the source tells all that was told, apart from signs, blanks and letter case."""
+    plain = lambda t: re.sub(r"[\W_]+", "", t.lower())
+    return comment is not None and (plain(told) in plain(comment) or plain(told) in plain(_describe(comment, name)))
+
+
 _SIGNATURE_NAME = re.compile(r"(?:\b(?:fn|func|def|function)\s+(?:\([^)]*\)\s*)?(?:self\.)?|\b)(\w+)\s*[(<]")
 
 
@@ -204,13 +210,13 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
     The comments that stand at the functions in the source are extracted without regard to the symbols and attached by
     the as-of join; `doc_line` and `doc_last` tell where, and are null if nothing stands there now. `in_source` tells
-    whether that comment holds the symbol's description. A symbol keeps its pair though its file has changed since.
+    whether that comment holds the symbol's whole description. A symbol keeps its pair though its file has changed since.
     Null comments, empty tables and symbols without a file give defined results: no pair, no rows, a pair without lines.
     """
     pairs = described_functions(symbols)
     placed = attached_comments(newest_spans(extract_spans(files), files))
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    holds = F.udf(_holds, "boolean", useArrow=True)
     joined = pairs.join(placed.select("file_id", "line", "doc_line", "doc_last", F.col("text").alias("_t")), ["file_id", "line"], "left").select(
-        "file_id", "symbol_idx", "name", "kind", "signature", "description", "doc_line", "doc_last", F.coalesce(F.contains(plain(F.col("_t")), F.substring(plain(F.col("description")), 1, 40)), F.lit(False)).alias("in_source")
+        "file_id", "symbol_idx", "name", "kind", "signature", "description", "doc_line", "doc_last", holds("_t", "description", "name").alias("in_source")
     )
     return joined.where(F.col("in_source") | (F.col("description") != ""))

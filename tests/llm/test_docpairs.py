@@ -49,3 +49,14 @@ def test_pairs(spark):
     got = {(r["file_id"], r["symbol_idx"]): (r["doc_line"], r["in_source"]) for r in D.documented_functions(spark.createDataFrame(rows, s), files).collect()}
     assert got == {(1, 0): (3, True), (1, 2): (None, False), (1, 4): (None, False), (None, 7): (None, False), (9, 9): (None, False)}
     assert D.documented_functions(spark.createDataFrame(rows, s).where("false"), files.where("false")).collect() == []
+
+
+def test_in_source_compares_the_whole_description(spark):
+    start = "Takes the lock that guards the list of all the files and "
+    src = f"// {start}waits.\nint f(int a)\n{{\n}}\n// {start}waits.\n// TODO: less.\n// Then it returns.\nint g(int a)\n{{\n}}\n"
+    rows = [(1, 0, "f", "Function", 1, None, start + "fails.", "int f(int a)"), (1, 1, "g", "Function", 7, None, start + "waits.\nThen it returns.", "int g(int a)")]
+    symbols = spark.createDataFrame(rows, "file_id long, symbol_idx int, name string, kind string, line int, def_keyword string, doc_comment string, signature string")
+    files = spark.createDataFrame([(1, "a.c", 5, src)], "file_id long, rel_path string, mtime_ns long, content string")
+    assert {r["symbol_idx"]: (r["doc_line"], r["in_source"]) for r in D.documented_functions(symbols, files).collect()} == {0: (0, False), 1: (4, True)}
+    head = "def f(\n" + "".join(f"    a{k},\n" for k in range(250)) + '):\n    """Told below."""\n    return 1\n'
+    assert [x[1] for x in D.spans("a.py", head) if x[0] == "d"] == [252]
