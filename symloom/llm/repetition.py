@@ -193,12 +193,16 @@ class ChainField:
 
 def made_document(rng: np.random.Generator, vocabulary: list[str]) -> tuple[str, np.ndarray]:
     """A text of made-up sentences and the label of each word: 1 in a phrase of NGRAM words or more, or a whole
-    sentence, that was said before. Others repeat two to four words only, which is no repetition."""
+    sentence, that was said before. Others repeat two to four words only, which is no repetition. Numbers run."""
     said: list[list[str]] = []
     lines: list[str] = []
     labels: list[int] = []
     rate = rng.choice([0.0, 0.15, 0.5, 0.85])
-    fresh = lambda n: [vocabulary[int(len(vocabulary) * rng.random() ** 2)] for _ in range(n)]
+    numbers = rng.choice([0.0, 0.1, 0.4])
+
+    def fresh(n: int) -> list[str]:
+        return [str(rng.integers(1000)) if rng.random() < numbers else vocabulary[int(len(vocabulary) * rng.random() ** 2)] for _ in range(n)]
+
     for _ in range(int(rng.integers(3, 30))):
         words, marks = fresh(int(rng.integers(2, 16))), None
         if said and rng.random() < rate:
@@ -216,8 +220,9 @@ def made_document(rng: np.random.Generator, vocabulary: list[str]) -> tuple[str,
             size = min(len(old), int(rng.integers(2, NGRAM)))
             at = int(rng.integers(len(old) - size + 1))
             words = fresh(int(rng.integers(1, 5))) + old[at : at + size] + fresh(int(rng.integers(1, 5)))
-        if marks is None:
+        if marks is None or sum(m and not w.isdigit() for m, w in zip(marks, words, strict=True)) < 2:
             marks = [0] * len(words)
+        words = [str(rng.integers(1000)) if w.isdigit() else w for w in words]
         if not any(marks):
             said.append(words)
         line = " ".join(words)
