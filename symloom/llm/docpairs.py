@@ -136,8 +136,8 @@ def newest_spans(found: DataFrame, files: DataFrame, newest: str = "mtime_ns") -
 def attached_comments(found: DataFrame) -> DataFrame:
     """As-of interval join of functions and comments: (file_id, line, name, doc_line, doc_last, text), one row per function.
 
-    In the order of lines, a function takes the last comment that ended before it, or failing that, the next docstring
-    below it; either only if as many code lines stand before both, that is, if no statement intervenes.
+    In the order of lines, a function takes the next docstring below it, or failing that, the last comment that ended
+    before it; either only if as many code lines stand before both, that is, if no statement intervenes.
     """
     file = Window.partitionBy("file_id")
     order = file.orderBy("line", F.when(F.col("what") == "d", 2).when(F.col("what") == "f", 1).otherwise(0), "last", "at", "text")
@@ -150,7 +150,7 @@ def attached_comments(found: DataFrame) -> DataFrame:
         .where(F.col("what") == "f")
     )
     a, b = F.col("a"), F.col("b")
-    pick = F.when((a["code"] == F.col("code")) & (a["last"] < F.col("line")), a).when(b["code"] == F.col("code"), b)
+    pick = F.when(b["code"] == F.col("code"), b).when((a["code"] == F.col("code")) & (a["last"] < F.col("line")), a)
     return (
         placed.select("file_id", "line", "name", pick.alias("d"))
         .groupBy("file_id", "line").agg(F.max(F.struct("d", "name")).alias("r"))
@@ -171,52 +171,49 @@ def _describe(doc: str, name: str | None) -> str:
     return description(doc, name)
 
 
-def _holds(comment: str | None, told: str, name: str | None) -> bool:
-    """Whether a comment of the source tells all that was told, apart from signs, blanks and letter case."""
-    plain = lambda t: re.sub(r"[\W_]+", "", t.lower())
-    return comment is not None and (plain(told) in plain(comment) or plain(told) in plain(_describe(comment, name)))
-
-
 _SIGNATURE_NAME = re.compile(r"(?:\b(?:fn|func|def|function)\s+(?:\([^)]*\)\s*)?(?:self\.)?|\b)(\w+)\s*[(<]")
 
 
-def described_functions(symbols: DataFrame) -> DataFrame:
-    """Functions and methods whose comment tells something, with what it tells as `description`.
-
-    Each distinct (file_id, symbol_idx) gives one row, however often it is delivered. The name is that of the signature
-    where it is null.
-    """
+def function_symbols(symbols: DataFrame) -> DataFrame:
+    """Functions and methods that were delivered with a comment, one row per (file_id, symbol_idx): of differing
+    deliveries the one with the largest comment, line and so on, so that their order changes nothing."""
     wanted = symbols.where(F.col("doc_comment").isNotNull() & is_function(F.col("kind"), F.col("signature"), F.col("def_keyword")))
+    row = F.max(F.struct("doc_comment", "line", "kind", "name", "signature")).alias("r")
+    return wanted.groupBy("file_id", "symbol_idx").agg(row).select("file_id", "symbol_idx", "r.*")
+
+
+def with_description(pairs: DataFrame) -> DataFrame:
+    """`pairs` (name, signature, doc_comment, source_comment, ...) with `description`: what the comment attached in the source
+    tells; where none is attached, what the delivered comment tells. Rows that are told nothing are dropped. The name
+    is that of the signature where it is null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             told = []
-            for doc, name, signature in zip(*(b.column(n).to_pylist() for n in ("doc_comment", "name", "signature")), strict=True):
+            for comment, doc, name, signature in zip(*(b.column(n).to_pylist() for n in ("source_comment", "doc_comment", "name", "signature")), strict=True):
                 if name is None and signature and (m := _SIGNATURE_NAME.search(signature)):
                     name = m[1]
-                told.append(_describe(doc, name))
+                told.append(_describe(doc if comment is None else comment, name))
             keep = pa.array([bool(t) for t in told], pa.bool_())
             out = pa.RecordBatch.from_arrays([*b.columns, pa.array(told, pa.string())], names=[*b.schema.names, "description"])
             yield out.filter(keep)
 
-    slim = wanted.select("file_id", "symbol_idx", "line", "kind", "name", "signature", "doc_comment")
-    told = slim.mapInArrow(run, "file_id bigint, symbol_idx int, line int, kind string, name string, signature string, doc_comment string, description string")
-    row = F.max(F.struct("description", "line", "kind", "name", "signature")).alias("r")
-    return told.groupBy("file_id", "symbol_idx").agg(row).select("file_id", "symbol_idx", "r.*")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return pairs.mapInArrow(run, f"{schema}, description string")
 
 
 def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Pairs (file_id, symbol_idx, name, kind, signature, description, doc_line, doc_last, in_source).
+    """Pairs (file_id, symbol_idx, name, kind, signature, description, doc_line, doc_last, from_source).
 
-    The comments that stand at the functions in the source are extracted without regard to the symbols and attached by
-    the as-of join; `doc_line` and `doc_last` tell where, and are null if nothing stands there now. `in_source` tells
-    whether that comment holds the symbol's whole description. A symbol keeps its pair though its file has changed since.
+    Comments and functions of the source are extracted without regard to each other and attached by the as-of join;
+    a symbol takes the comment attached to the function on its line, and that comment decides: a symbol is dropped if it
+    tells nothing, whatever was delivered. Only for a function that the source does not show there, or shows without any
+    comment (a file that is cut off, or changed since), the delivered comment is judged, and `from_source` is false. A
+    symbol delivered without a comment is no pair, as what stands above it there may be about something else.
     Null comments, empty tables and symbols without a file give defined results: no pair, no rows, a pair without lines.
     """
-    pairs = described_functions(symbols)
-    placed = attached_comments(newest_spans(extract_spans(files), files))
-    holds = F.udf(_holds, "boolean", useArrow=True)
-    joined = pairs.join(placed.select("file_id", "line", "doc_line", "doc_last", F.col("text").alias("_t")), ["file_id", "line"], "left").select(
-        "file_id", "symbol_idx", "name", "kind", "signature", "description", "doc_line", "doc_last", holds("_t", "description", "name").alias("in_source")
+    placed = attached_comments(newest_spans(extract_spans(files), files)).select("file_id", "line", "doc_line", "doc_last", F.col("text").alias("source_comment"))
+    joined = function_symbols(symbols).join(placed, ["file_id", "line"], "left")
+    return with_description(joined).select(
+        "file_id", "symbol_idx", "name", "kind", "signature", "description", "doc_line", "doc_last", F.col("source_comment").isNotNull().alias("from_source")
     )
-    return joined.where(F.col("in_source") | (F.col("description") != ""))

@@ -42,21 +42,33 @@ def test_pairs(spark):
     s = "file_id long, symbol_idx int, name string, kind string, line int, col int, def_keyword string, doc_comment string, signature string"
     rows = [
         (1, 0, "f", "Function", 5, 4, "function", "Takes the lock.\nTwice.", "int f(int a)"), (1, 0, "f", "Function", 5, 4, "function", "Takes the lock.\nTwice.", "int f(int a)"), (1, 1, "stop", "Variable", 2, 4, "variable", "Takes the lock.", None),
-        (1, 2, None, "Unknown", 13, 4, "function", "Returns it.", "int h(int a)"), (1, 3, "S", "Unknown", 13, 4, "struct", "Holds it well.", "struct S"), (1, 4, "m", "Method", 90, 0, "def", "Told elsewhere.", None), (1, 5, "collect_it", "Function", 5, 0, "fn", "Collects it.", None),
-        (1, 6, None, "Function", 5, 0, "fn", "Collects it.", "fn collect_it()"), (None, 7, "g", "Function", None, None, None, "Told without a file.", None), (9, 8, "g", "Function", 1, 1, "fn", None, "fn g()"), (9, 9, "c", None, 1, 1, "fn", "Told by keyword.", None),
+        (1, 2, None, "Unknown", 13, 4, "function", "Returns it.", "int h(int a)"), (1, 3, "S", "Unknown", 13, 4, "struct", "Holds it well.", "struct S"), (1, 4, "m", "Method", 90, 0, "def", "Told elsewhere.", None), (1, 5, "collect_it", "Function", 90, 0, "fn", "Collects it.", None),
+        (1, 6, None, "Function", 90, 0, "fn", "Collects it.", "fn collect_it()"), (None, 7, "g", "Function", None, None, None, "Told without a file.", None), (9, 8, "g", "Function", 1, 1, "fn", None, "fn g()"), (9, 9, "c", None, 1, 1, "fn", "Told by keyword.", None),
     ]
     files = spark.createDataFrame([(1, "a.c", 5, SRC)], "file_id long, rel_path string, mtime_ns long, content string")
-    got = {(r["file_id"], r["symbol_idx"]): (r["doc_line"], r["in_source"]) for r in D.documented_functions(spark.createDataFrame(rows, s), files).collect()}
+    got = {(r["file_id"], r["symbol_idx"]): (r["doc_line"], r["from_source"]) for r in D.documented_functions(spark.createDataFrame(rows, s), files).collect()}
     assert got == {(1, 0): (3, True), (1, 2): (None, False), (1, 4): (None, False), (None, 7): (None, False), (9, 9): (None, False)}
     assert D.documented_functions(spark.createDataFrame(rows, s).where("false"), files.where("false")).collect() == []
 
 
-def test_in_source_compares_the_whole_description(spark):
-    start = "Takes the lock that guards the list of all the files and "
-    src = f"// {start}waits.\nint f(int a)\n{{\n}}\n// {start}waits.\n// TODO: less.\n// Then it returns.\nint g(int a)\n{{\n}}\n"
-    rows = [(1, 0, "f", "Function", 1, None, start + "fails.", "int f(int a)"), (1, 1, "g", "Function", 7, None, start + "waits.\nThen it returns.", "int g(int a)")]
+def test_the_attached_comment_decides(spark, monkeypatch):
+    src = "// TODO: say more.\nint f(int a)\n{\n}\n// Waits for the lock.\nint g(int a)\n{\n}\nint h(int a)\n{\n}\n"
+    rows = [(1, 0, "f", "Function", 1, None, "Takes the lock.", "int f(int a)"), (1, 1, "g", "Function", 5, None, "TODO", "int g(int a)"), (1, 2, "h", "Function", 8, None, "Told once.", "int h(int a)"), (1, 3, "k", "Function", 8, None, None, "int k()")]
     symbols = spark.createDataFrame(rows, "file_id long, symbol_idx int, name string, kind string, line int, def_keyword string, doc_comment string, signature string")
     files = spark.createDataFrame([(1, "a.c", 5, src)], "file_id long, rel_path string, mtime_ns long, content string")
-    assert {r["symbol_idx"]: (r["doc_line"], r["in_source"]) for r in D.documented_functions(symbols, files).collect()} == {0: (0, False), 1: (4, True)}
+    found = lambda: {r["symbol_idx"]: (r["description"], r["from_source"]) for r in D.documented_functions(symbols, files).collect()}
+    assert found() == {1: ("Waits for the lock.", True), 2: ("Told once.", False)}
+    # without the join, other rows come out
+    join = D.attached_comments
+    monkeypatch.setattr(D, "attached_comments", lambda f: join(f.where("false")))
+    assert found() == {0: ("Takes the lock.", False), 2: ("Told once.", False)}
+
+
+def test_a_docstring_comes_before_what_stands_above(spark):
+    files = spark.createDataFrame([(1, "a.py", 5, '# Above.\ndef f():\n    """Told below."""\n    return 1\n')], "file_id long, rel_path string, mtime_ns long, content string")
+    assert [r["text"] for r in D.attached_comments(D.newest_spans(D.extract_spans(files), files)).collect()] == ['"""Told below."""']
+
+
+def test_heads_of_any_length():
     head = "def f(\n" + "".join(f"    a{k},\n" for k in range(250)) + '):\n    """Told below."""\n    return 1\n'
     assert [x[1] for x in D.spans("a.py", head) if x[0] == "d"] == [252]
