@@ -18,10 +18,12 @@ from symloom.sources.spread import spread
 #: Directories that hold the code of others or what a tool wrote, as whole path segments.
 VENDOR_DIRS = (
     "vendor", "third_party", "third-party", "thirdparty", "3rdparty", "node_modules", "bower_components", "jspm_packages", "site-packages", "dist-packages",
-    "Godeps", "external", "extern", "externals", "deps", "_vendor", "Pods", "Carthage",
+    "Godeps", "_vendor", "Pods", "Carthage",
 )
+#: Names that own directories have too: they count at the top of a tree only, with a directory for each project below.
+VENDOR_ROOTS = ("external", "extern", "externals", "deps")
 VENDOR_PAIRS = ("contrib/bundled", "Godeps/_workspace", "third_party/src")
-_VENDOR_PATH = re.compile("(?:^|/)(?:" + "|".join(re.escape(d) for d in (*VENDOR_DIRS, *VENDOR_PAIRS)) + ")/")
+_VENDOR_PATH = re.compile("(?:^|/)(?:" + "|".join(re.escape(d) for d in (*VENDOR_DIRS, *VENDOR_PAIRS)) + ")/|^(?:" + "|".join(VENDOR_ROOTS) + ")/[^/]+/")
 #: Names that tools give to what they write.
 _TOOL_NAME = re.compile(
     r"(?:^|/)(?:[^/]+[.-]min\.(?:js|mjs|cjs|css|ts)|[^/]+\.pb\.(?:go|cc|cpp|h|rs|swift|dart)|[^/]+_pb\.(?:rs|rb|js|ts|py|d\.ts)|[^/]+_pb2(?:_grpc)?\.pyi?|[^/]+_grpc_pb\.js|[^/]+_grpc\.pb\.go|[^/]+Grpc\.(?:java|cs)|[^/]+OuterClass\.java"
@@ -208,25 +210,28 @@ def merkle_directories(files: DataFrame, levels: int, place: str) -> DataFrame:
     """(worktree_key, dir, h1, h2, n): the hash of every directory, from the names and hashes of what it holds, bottom-up,
     and the number of files of some weight below it.
 
-    A directory's hash combines its children's by exclusive or of hashes of (name, hash): names in a directory differ, so
-    nothing cancels, no order is needed, and a directory of any size is summed before its shuffle. Each level is one
-    aggregation over the directories of that level alone, written below `place` for the level above, so that no plan
-    repeats the levels beneath it. The root is no subtree.
+    One path of one worktree is one file, whatever the number of its ids. A directory's hash is that of the number of
+    its children and of the exclusive or of hashes of their (name, hash): names in a directory differ, so nothing
+    cancels, no order is needed, and a directory of any size is summed before its shuffle. The files are written by
+    level, and each level is one aggregation over what lies on it and the directories of the level below, written in
+    turn, so that nothing is read twice and no plan repeats another. There are as many steps as the deepest path has
+    segments. The root is no subtree.
     """
     spark = files.sparkSession
     parts = F.split("rel_path", "/")
-    leaf = files.select(
+    one = files.groupBy("worktree_key", "rel_path").agg(F.max(F.struct("weight", "sig")).alias("r")).select("worktree_key", "rel_path", "r.*")
+    leaf = one.select(
         "worktree_key", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.element_at(parts, -1).alias("name"), F.size(parts).alias("level"),
         F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2"), (F.col("weight") >= LEAST_WEIGHT).cast("long").alias("n"),
     )
-    below, done = None, []
+    leaf.where("level > 1").hint("rebalance", "level").write.partitionBy("level").parquet(f"{place}/files")
+    leaves, below, done = spark.read.parquet(f"{place}/files"), None, []
+    combined = lambda *of: F.bit_xor(F.xxhash64(*of))
     for level in range(levels, 1, -1):
-        here = leaf.where(F.col("level") == level).drop("level")
+        here = leaves.where(F.col("level") == level).drop("level")
         nodes = here if below is None else here.unionByName(below)
-        dirs = nodes.groupBy("worktree_key", "dir").agg(
-            F.bit_xor(F.xxhash64("name", "h1")).alias("h1"), F.bit_xor(F.xxhash64("h2", "name")).alias("h2"), F.sum("n").alias("n")
-        )
-        dirs.write.parquet(f"{place}/{level}")
+        dirs = nodes.groupBy("worktree_key", "dir").agg(combined("name", "h1").alias("h1"), combined("h2", "name").alias("h2"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+        dirs.select("worktree_key", "dir", F.xxhash64("h1", "c").alias("h1"), F.xxhash64("c", "h2").alias("h2"), "n").write.parquet(f"{place}/{level}")
         done.append(f"{place}/{level}")
         dirs, up = spark.read.parquet(done[-1]), F.split("dir", "/")
         below = dirs.where(F.size(up) == level - 1).select("worktree_key", F.array_join(F.slice(up, 1, F.size(up) - 1), "/").alias("dir"), F.element_at(up, -1).alias("name"), "h1", "h2", "n")

@@ -13,14 +13,14 @@ def test_evidence_and_what_only_looks_like_it():
     assert H.evidence("src/a.py", '"""This file was automatically generated by x from y.idl"""\nx = 1\n') == "generated"
     assert H.evidence("src/a.c", "/* libfoo 1.2.3, imported unchanged from upstream */\n" + CODE) == "vendored"
     assert H.evidence("src/a.rb", "# Bundled copy of libfoo 1.2.3; report problems to its own authors\nx = 1\n") == "vendored"
-    for p in ("vendor/x/a.c", "src/third-party/b.rs", "contrib/bundled/l/c.go", "a/node_modules/b/d.js"):
+    for p in ("vendor/x/a.c", "deps/libx/a.c", "external/libx-1.2/src/b.rs", "src/third-party/b.rs", "contrib/bundled/l/c.go", "a/node_modules/b/d.js"):
         assert H.evidence(p, CODE) == "vendored"
     for p in ("a/b.pb.go", "x_pb2.py", "zz_generated.a.go", "FooGrpc.java", "web/out/main-3ab4c.js"):
         assert H.evidence(p, "") == "generated"
     assert H.evidence("a/x.min.js", "") == "minified"
     plain = [
         ("src/a.c", 'static const char *banner = "/* Code generated by us. DO NOT EDIT. */";\n' + CODE), ("src/a.c", "// generated ids start at 3\n" + CODE), ("src/a.c", "// do not edit the ring by hand, call this instead\n" + CODE),
-        ("src/a.c", "// Helper for code that gets generated by the loader.\n" + CODE), ("src/a.java", "class A {\n  // TODO Auto-generated method stub\n  int x;\n}\n"), ("vendors/a.c", CODE), ("lib/external_auth/a.c", CODE), ("dist_lock/a.c", CODE),
+        ("src/a.c", "// Helper for code that gets generated by the loader.\n" + CODE), ("src/a.java", "class A {\n  // TODO Auto-generated method stub\n  int x;\n}\n"), ("vendors/a.c", CODE), ("lib/external_auth/a.c", CODE), ("dist_lock/a.c", CODE), ("src/deps/graph.py", CODE), ("src/external/client.py", CODE), ("deps/graph.py", CODE), ("src/external/http/client.py", CODE),
         ("src/bundle_store/a.c", CODE), ("a/b.c", ""), ("a/b.c", None), ("a/b.weird", CODE), ("src/a.py", "TABLE = [" + ", ".join(str(k) for k in range(20)) + "]\n" + "def f(alpha, beta):\n    return alpha + beta\n" * 9),
         ("src/a.js", 'const HELP = "' + "some words that explain at length what to do " * 12 + '";\nfunction f(a) { return a; }\n'),
     ]
@@ -65,6 +65,19 @@ def test_merkle_hash_needs_names_and_contents(spark):
     assert h["a", "d"] == h["b", "f"] != h["c", "g"] and h["a", "d"][2] == 2 and len(h) == 6
 
 
+def test_a_path_with_two_ids_is_one_file(spark):
+    wt = spark.createDataFrame([("w1", "r1"), ("w2", "r2")], "worktree_key string, repo_id string")
+    texts = [CODE.replace("add", name) for name in ("one", "two", "three")]
+    rs = [(10 * w + k, f"w{w}", f"{'lib' if w == 1 else 'src/own'}/x/{'abc'[k]}.c", 1, t) for w in (1, 2) for k, t in enumerate(texts)]
+    found = lambda r: {x["file_id"] for x in H.not_handwritten(rows(spark, r), wt).collect()}
+    assert found(rs) == {10, 11, 12, 20, 21, 22}
+    # given again under other ids, once or twice, the tree stays what it is
+    assert found([*rs, (99, *rs[0][1:])]) == {10, 11, 12, 20, 21, 22, 99}
+    assert found([*rs, (98, *rs[0][1:]), (99, *rs[0][1:])]) == {10, 11, 12, 20, 21, 22, 98, 99}
+    # another file in one of the trees: they are not the same any more, and no file says anything by itself
+    assert found([*rs, (97, "w1", "lib/x/d.c", 1, CODE)]) == set()
+
+
 def test_many_ways_to_sign():
     for line in (
         "Diese Datei wurde automatisch erzeugt (tool 1.2).", "Ce fichier a été généré automatiquement par tool, ne pas modifier.", "Archivo generado por tool 2.1, no editar.", "-*- buffer-read-only: t -*- made by tool", "Machine written by tool. Hands off.",
