@@ -11,6 +11,7 @@ from symloom.session import scratch, table
 
 KEYS = ["worktree_key", "rel_path"]
 HEAVY_SHARE = 0.01
+RUNS_AT_A_TIME = 16
 
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -30,9 +31,12 @@ def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The files each succeeded run must process, by way of a ledger in the shared folder."""
+    """The files each succeeded run must process, by way of a ledger in the shared folder.
+
+    Runs are taken some at a time, as when they come in day by day: each batch reads the rows loaded since the one before.
+    """
     manifest = table(spark, d, "manifest").withColumn("rel_path", plain_path(F.col("rel_path")))
-    return incremental.process_runs(spark, manifest, table(spark, d, "scan_runs"), KEYS, F.lower("content_hash"), scratch(spark, "ledger"))
+    return incremental.process_runs(spark, manifest, table(spark, d, "scan_runs"), KEYS, F.lower("content_hash"), scratch(spark, "ledger"), batch=RUNS_AT_A_TIME)
 
 
 def p7_words(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +46,14 @@ def p7_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """The word_hash that hold more than a hundredth of the distinct entries."""
-    return skew.heavy_keys(p7_words(spark, d), "word_hash", "files", F.lit(HEAVY_SHARE))
+    """The word_hash that hold more than a hundredth of the distinct entries, among the joined states of all words.
+
+    The states are written once: the sum over all words and the choice of words both read them, and neither makes the
+    aggregates and the join beneath run again.
+    """
+    place = scratch(spark, "words")
+    p7_words(spark, d).write.parquet(place)
+    return skew.heavy_keys(spark.read.parquet(place), "word_hash", "files", F.lit(HEAVY_SHARE))
 
 
 def queries() -> dict:

@@ -33,5 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A new path of its own in the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new path of its own in the shared folder; nothing is created yet.
+
+    All such paths lie in one folder per session, which Hadoop deletes when the driver ends; one whose driver was
+    killed is left, and may be deleted by its name at any time.
+    """
+    context = spark.sparkContext
+    root = _SESSION_FOLDERS.get(context.applicationId)
+    if root is None:
+        root = f"{shared_dir(spark)}/symloom-scratch-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _SESSION_FOLDERS[context.applicationId] = root
+    return f"{root}/{purpose}-{uuid.uuid4().hex}"
+
+
+#: The folder of each application of this process.
+_SESSION_FOLDERS: dict[str, str] = {}
