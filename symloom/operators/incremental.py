@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from symloom.operators.ledger import Lease, WorkLedger
 
+#: Where a batch keeps the state after its last run, beside its runs.
+STATE = -1
 #: Runs that are worked out together. More make more batches, each of which starts from the state of the one before.
 BATCH = 256
 
@@ -52,17 +54,17 @@ def seen_rows(manifest: DataFrame, runs: list[tuple], keys: list[str], content:
     return manifest.where(window).select(*keys, at.alias("_run"), row).groupBy(*keys, "_run").agg(F.max("_row").alias("_row"))
 
 
-def _cases(newest: DataFrame, keys: list[str]) -> DataFrame:
-    """States of each key at each run, and whether it is a case there; run -1 is the state before the first."""
+def _states(newest: DataFrame, keys: list[str]) -> DataFrame:
+    """States of each key at each run where it has rows, whether it is a case there, and whether it is the key's last;
+    run -1 is the state before the first."""
     by_key = Window.partitionBy(*keys).orderBy("_run")
-    states = newest.select(*keys, "_run", F.max("_row").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("_state"))
+    states = newest.select(*keys, "_run", F.max("_row").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("_state"), F.lead("_run").over(by_key).isNull().alias("_last"))
     before = F.lag(F.struct(F.col("_state.c").alias("c"))).over(by_key)
     return states.withColumn("_case", (F.col("_run") >= 0) & (before.isNull() | ~before["c"].eqNullSafe(F.col("_state.c"))))
 
 
-def _named(cases: DataFrame, runs: list[tuple], keys: list[str]) -> DataFrame:
-    ids = F.array(*[F.lit(r[1]).cast("long") for r in runs])
-    return cases.where("_case").select(F.element_at(ids, F.col("_run") + 1).alias("run_id"), *keys)
+def _ids(runs: list[tuple]) -> Column:
+    return F.element_at(F.array(*[F.lit(r[1]).cast("long") for r in runs]), F.col("_run") + 1)
 
 
 def run_deltas(manifest: DataFrame, runs: list[tuple], keys: list[str], content: Column, base: DataFrame | None = None, after: object = None) -> DataFrame:
@@ -79,7 +81,7 @@ def run_deltas(manifest: DataFrame, runs: list[tuple], keys: list[str], content:
     newest = seen_rows(manifest, runs, keys, content, after)
     if base is not None:
         newest = newest.unionByName(base.select(*keys, F.lit(-1).alias("_run"), "_row"))
-    return _named(_cases(newest, keys), runs, keys)
+    return _states(newest, keys).where("_case").select(_ids(runs).alias("run_id"), *keys)
 
 
 def _place(lease: Lease) -> str:
@@ -134,7 +136,7 @@ def _work(spark: SparkSession, ledger: WorkLedger, manifest: DataFrame, todo: li
     with ledger.held([lease for _, lease in leases]):
         base, old = None, None
         if low and states[item(todo[low - 1])] == "done":
-            old = f"{ledger.root}/state/{ledger.result(item(todo[low - 1]))}"
+            old = f"{ledger.root}/out/{ledger.result(item(todo[low - 1]))}/run_id={STATE}"
             # a batch that was cut short left the state of a later run
             base = spark.read.parquet(old).where(F.col("_upto") == F.lit(todo[low - 1][1])) if ledger.exists(old) else None
             base = None if base is None or base.isEmpty() else base
@@ -142,14 +144,15 @@ def _work(spark: SparkSession, ledger: WorkLedger, manifest: DataFrame, todo: li
             newest = seen_rows(manifest, mine, keys, content, todo[low - 1][0]).unionByName(base.select(*keys, F.lit(-1).alias("_run"), "_row"))
         else:  # the run before is worked out too, as the state
             newest = seen_rows(manifest, todo[max(low - 1, 0) : high + 1], keys, content).withColumn("_run", F.col("_run") - (1 if low else 0))
-        cases = _named(_cases(newest, keys), mine, keys)
-        # tasks write few files, and the run that holds most rows is divided
-        cases.hint("rebalance", "run_id").write.mode("overwrite").partitionBy("run_id").parquet(f"{ledger.root}/out/{place}")
-        last = newest.groupBy(*keys).agg(F.max("_row").alias("_row")).withColumn("_upto", F.lit(todo[high][1]).cast("long"))
-        last.write.mode("overwrite").parquet(f"{ledger.root}/state/{place}")
+        nothing = F.lit(None)
+        case = F.when(F.col("_case"), F.struct(_ids(mine).alias("run_id"), nothing.cast(newest.schema["_row"].dataType).alias("_row"), nothing.cast("long").alias("_upto")))
+        state = F.when(F.col("_last"), F.struct(F.lit(STATE).cast("long").alias("run_id"), F.col("_state").alias("_row"), F.lit(todo[high][1]).cast("long").alias("_upto")))
+        out = _states(newest, keys).select(*keys, F.explode(F.array(case, state)).alias("_o")).where(F.col("_o").isNotNull()).select(*keys, "_o.*")
+        # tasks write few files, and a run that holds most rows is divided
+        out.hint("rebalance", "run_id").write.mode("overwrite").partitionBy("run_id").parquet(f"{ledger.root}/out/{place}")
         for _, lease in leases:
             ledger.commit(lease, place)
-    if old and old != f"{ledger.root}/state/{place}":
+    if old and ledger.result(item(todo[low])) == place:
         ledger.delete(old)
 
 
