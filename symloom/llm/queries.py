@@ -37,6 +37,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_failures(table(spark, d, "source_files"), explain=False).where(~F.col("ok")).select("file_id")
 
 
+def p5_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The same files, the line of the furthest failure and its cause."""
+    return syntax.syntax_failures(table(spark, d, "source_files")).where(~F.col("ok")).select("file_id", "worktree_key", "rel_path", "language", "fail_line", "cause")
+
+
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     """Share of such files per repository and language."""
     return syntax.failure_rates(syntax.syntax_failures(table(spark, d, "source_files")), table(spark, d, "worktrees"))
@@ -88,7 +93,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_terms": p6_terms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_failures": p5_failures, "p5_rates": p5_rates, "p6_found": p6_found, "p6_terms": p6_terms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 _TERMS = """

@@ -32,7 +32,7 @@ _END = r"|\S"
 #: How each language writes its comments and texts, and then its words, numbers and operators.
 LITERALS = {
     "c": rf"{_MARK}|{_SLASH}|R\"\([\s\S]*?\)\"|(?:u8|[uUL])?{_DQ}|(?:u8|[uUL])?'(?:[^'\\\n\r]|\\.[^'\n\r]*)+'",
-    "java": rf'{_MARK}|{_SLASH}|"""[\s\S]*?"""|[$@]{{0,2}}(?<=[$@])"(?:[^"\\\n\r]|\\.|"")*"|{_DQ}|{_SQ}',
+    "java": rf'{_MARK}|{_SLASH}|"""[\s\S]*?"""|(?:@\$?|\$@)"(?:[^"]|"")*"|\$"(?:[^"\\\n\r]|\\.)*"|{_DQ}|{_SQ}',
     "javascript": rf"{_MARK}|{_SLASH}|\A#!.*|\r\n?|\n|{_DQ}|{_SQ}|{_JS_STRING}|{_JS_REGEX}",
     "go": rf"{_MARK}|{_SLASH}|\r\n?|\n|{_DQ}|`[^`]*`|{_SQ}",
     "rust": rf"{_MARK}|//[^\n\r]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/)*\*/|/\*|\A#!(?!\[).*|(?:b|c|br|cr|r)?(?:r#\"[\s\S]*?\"#|r##\"[\s\S]*?\"##|r###\"[\s\S]*?\"###)|b?r\"[^\"]*\"|#\"[\s\S]*?\"#|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n\r]|\\(?:u\{{[^}}']*\}}|x\w\w|.))'",
@@ -286,6 +286,93 @@ def _heredocs(text: str) -> str:
     return _HEREDOC.sub(lambda m: '""' + m[3] + "\n" * (m[0].count("\n")), text) if "<<" in text else text
 
 
+#: What shows that a text may hold code within its literals, and what makes a piece of it a text of its own.
+_MAY_HOLD = {"javascript": "${", "ruby": "#{", "python": re.compile(r"(?i)(?<![a-z0-9_])(?:f|fr|rf)[\"']"), "csharp": re.compile(r"\$@?\"|@\$\"")}
+_WRAPPED = {"javascript": "({});\n", "ruby": "{}\n", "python": "({})\n", "csharp": "class A {{ object f = ({}); }}\n"}
+_PREFIX = re.compile(r"[A-Za-z$@]*(\"\"\"|\'\'\'|[\"'])")
+
+
+def _text_end(t: str, at: int) -> int:
+    """Where the text that opens at `at` ends, code within it included; the end of all if it doesn't."""
+    quote = t[at]
+    k = at + 1
+    while k < len(t):
+        if t[k] == "\\":
+            k += 1
+        elif t[k] == quote:
+            return k
+        elif quote == "`" and t.startswith("${", k):
+            k = _brace(t, k + 2)
+        k += 1
+    return len(t)
+
+
+def _brace(t: str, at: int, stops: str = "}") -> int:
+    """The first of `stops` outside of brackets and texts; the end of all if there is none."""
+    depth, k = 0, at
+    while k < len(t):
+        c = t[k]
+        if c in "\"'`":
+            k = _text_end(t, k)
+        elif not depth and c in stops and not (c == "!" and t.startswith("!=", k)):
+            return k
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        k += 1
+    return len(t)
+
+
+def _held(literal: str, name: str) -> Iterator[tuple[int, str]]:
+    """(place, code) of the code within a literal. One that is never closed is left to the lexer."""
+    if name in ("javascript", "ruby"):
+        mark, k = ("${" if name == "javascript" else "#{"), 1
+        if literal[0] not in ("`" if name == "javascript" else "\"`%/") or literal[:2] in ("%w", "%i", "%q"):
+            return
+        while k < len(literal):
+            if literal[k] == "\\":
+                k += 1
+            elif literal.startswith(mark, k):
+                end = _brace(literal, k + 2)
+                if end < len(literal):
+                    yield k + 2, literal[k + 2 : end]
+                k = end
+            k += 1
+        return
+    m = _PREFIX.match(literal)
+    if not m or not re.search(r"(?i)f" if name == "python" else r"\$", m[0]):
+        return
+    raw = re.search(r"(?i)r|@", m[0]) is not None
+    yield from _fields(literal[: -len(m[1])], m.end(), name, raw)
+
+
+def _fields(t: str, k: int, name: str, raw: bool) -> Iterator[tuple[int, str]]:
+    """The replacement fields of a formatted text, and those within their formats."""
+    while k < len(t):
+        if t[k] == "\\" and not raw:
+            k = t.find("}", k) if t.startswith("\\N{", k) else k + 1
+            if k < 0:
+                return
+        elif t.startswith(("{{", "}}"), k):
+            k += 1
+        elif t[k] == "{":
+            end = _brace(t, k + 1, "}:!" if name == "python" else "}:,")
+            if end >= len(t):
+                return
+            code = t[k + 1 : end]
+            yield k + 1, re.sub(r"(?<![=!<>:])=\s*$", "", code) if name == "python" else code
+            close = end
+            depth = 0
+            while close < len(t) and (depth or t[close] != "}"):  # conversion and format, which may hold fields
+                depth += (t[close] == "{") - (t[close] == "}")
+                close += 1
+            if "{" in t[end:close]:
+                yield from ((end + at, c) for at, c in _fields(t[end:close], 0, name, raw))
+            k = close
+        k += 1
+
+
 @dataclass
 class Language:
     """A lexer and a grammar, and what line ends mean in between."""
@@ -327,6 +414,18 @@ class Language:
         """All texts that must parse for this one to parse, or what is wrong before any is read."""
         return _readings(text) if self.name == "c" else ([text], None)
 
+    def held(self, text: str) -> Iterator[tuple[int, str]]:
+        """(offset, text) of all code within literals, each made a text of its own."""
+        may = _MAY_HOLD.get(self.name)
+        if may is None or not (may in text if isinstance(may, str) else may.search(text)):
+            return
+        literals = [(m.start(), m[0]) for m in self.lexer.finditer(text) if m.end() - m.start() > 3]
+        if self.name == "ruby":
+            literals += [(m.start(), '"' + m[0][1:] + '"') for m in _HEREDOC.finditer(text) if m[1] != "'"]
+        for start, literal in literals:
+            for at, code in _held(literal, self.name):
+                yield start + at, _WRAPPED[self.name].format(code if self.name == "ruby" or code.strip() else ")")  # no expression is none
+
     def tokens(self, text: str) -> str:
         """One character per token; comments, and line ends that mean nothing, leave none."""
         found = self.lexer.findall(self.prepared(text))
@@ -410,7 +509,7 @@ def language(name: str) -> Language:
 
 @dataclass
 class Failure:
-    token: int | None  # None if it is no token but a directive or a conflict marker between branches
+    token: int | None  # None if it is no token but a directive, a conflict marker between branches, or within a literal
     line: int | None
     cause: str | None
 
@@ -429,7 +528,8 @@ def _cause(lang: Language, text: str, tokens: str, at: int) -> str:
 
 
 def failure(text: str, name: str, explain: bool = True) -> Failure | None:
-    """Where and, if asked to `explain`, why the text does not parse, or None. Texts without tokens parse."""
+    """Where and, if asked to `explain`, why the text does not parse, or None. Texts without tokens parse. Code within
+    literals (`${}`, `#{}`, the fields of formatted texts) must parse too."""
     lang = language(name)
     if text.startswith("﻿"):
         text = text[1:]
@@ -443,6 +543,9 @@ def failure(text: str, name: str, explain: bool = True) -> Failure | None:
         at = lang.grammar.furthest(tokens)
         if at >= 0:
             return Failure(at, _line(lang, reading, at), _cause(lang, text, tokens, at)) if explain else Failure(at, None, None)
+    for at, code in lang.held(text):
+        if failure(code, name, False):
+            return Failure(None, len(re.findall(r"\r\n|\n|\r", text[:at])), "unexpected token") if explain else Failure(None, None, None)
     return None
 
 

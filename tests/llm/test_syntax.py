@@ -118,3 +118,27 @@ def test_every_branch_of_a_conditional_is_read():
             assert S.failure(t, "c", explain=False) is not None and not S.language("c").parses(t)
     many = "int a;\n" + "#if A\nint b;\n#elif B\nint c;\n#else\nint d;\n#endif\n" * 50
     assert len(S.language("c").readings(many)[0]) == 3
+
+
+HELD_GOOD = {
+    "javascript": ["let s = `a ${b + `c ${d.map((x) => `${x}`)} }`} e`;\n", "let s = `\\${ not code`;\n", "let s = `${ {a: 1}.a }`;\n"],
+    "ruby": ['puts "a #{b[\'c\']} #{d.map { |x| x + 1 }}"\n', "puts 'a #{b'\n", 'puts "#{}"\n', "x = <<~TEXT\n  a #{b}\nTEXT\n"],
+    "python": ["x = f'{a!r:>{w}} {{b}} {c=} {d[\"k\"]:%Y-%m-%d}'\n", "x = rf'{a}\\d{{2}}'\n", "x = f'{(lambda y: y)(1)}' '{ not code'\n", "x = f'\\N{DASH}{a if b else c}'\n", 'x = f"""\n{a}\n"""\n', "x = f'{a != b}'\n", "x = f'{*a,}'\n"],
+    "csharp": ['class A { string s = $"a {b,3:N2} {(c ? d : e)} {{f}}"; string t = $@"{g(1)}\\"; string u = "{ not code"; }\n'],
+}
+HELD_BAD = {
+    "javascript": {"let a = 1;\nlet s = `a ${b +} c`;\n": 1, "let s = `${`${+}`}`;\n": 0, "let s = `\n${}`;\n": 1},
+    "ruby": {'x = 1\nputs "a #{b +} c"\n': 1, "x = <<~TEXT\n  a\n  #{b = }\nTEXT\n": 2},
+    "python": {"x = 1\ny = f'{a +}'\n": 1, "x = f'{}'\n": 0, "x = f'{a:{b c}}'\n": 0, 'x = f"""\n{a b}\n"""\n': 1},
+    "csharp": {'class A {\n string s = $"{b +}"; }\n': 1},
+}
+
+
+@pytest.mark.parametrize("name", HELD_GOOD)
+def test_code_within_literals_is_parsed(name):
+    for text in HELD_GOOD[name]:
+        assert S.failure(text, name) is None, (text, S.failure(text, name), list(S.language(name).held(text)))
+    for text, line in HELD_BAD[name].items():
+        f = S.failure(text, name)
+        assert f is not None and f.line == line, (text, f, list(S.language(name).held(text)))
+        assert S.failure(text, name, explain=False) is not None
