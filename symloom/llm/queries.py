@@ -62,7 +62,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents"), "doc_id", "text", VOCABULARY)
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixture.Share]]:
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").withColumn("source", mixture.plain_source(F.col("source")))
     # written once: the plan needs the sums, the sample the single sizes
     path = scratch(spark, "sizes")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.session import shared_dir
+from symloom.session import scratch
 
 RADIX_BITS = 4
 #: Rows that one aggregation takes; a partition with more is split by further hash bits.
@@ -23,10 +23,18 @@ _ARROW = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences
 _SUM = "select field, term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from {} group by all"
 
 
-def spill_dir(spark: SparkSession) -> str | None:
-    """Where tasks spill: the shared folder if it is a mounted path; else None, which means Spark's own spill folders."""
-    url = urlparse(shared_dir(spark))
-    return url.path if url.scheme in ("", "file") else None
+#: Names a mounted folder that all executors share, where the shared folder itself can't be mounted.
+SPILL_CONF = "symloom.spill.dir"
+
+
+def spill_dir(spark: SparkSession) -> str:
+    """Where tasks spill: a folder of this session in the shared folder, if that is a mounted path, or in the one that
+    `symloom.spill.dir` names. DuckDB needs one of them; a machine's own folders are not used."""
+    named = spark.conf.get(SPILL_CONF, None) or spark.sparkContext.getConf().get(SPILL_CONF)
+    url = urlparse(named or scratch(spark, "radix"))
+    if url.scheme not in ("", "file"):
+        raise RuntimeError(f"{SPILL_CONF} must name a mounted folder shared by all executors, as {url.scheme}: is no path")
+    return url.path
 
 
 class RadixAggregator:
@@ -37,12 +45,11 @@ class RadixAggregator:
     Each division is then summed by itself within `MEMORY`.
     """
 
-    def __init__(self, folder: str | None, rows: int = PARTITION_ROWS, bits: int = RADIX_BITS):
+    def __init__(self, folder: str, rows: int = PARTITION_ROWS, bits: int = RADIX_BITS):
         import duckdb
 
-        base = folder or (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or os.getcwd()).split(",")[0]
-        os.makedirs(base, exist_ok=True)
-        self.folder = tempfile.mkdtemp(prefix="radix-", dir=base)
+        os.makedirs(folder, exist_ok=True)
+        self.folder = tempfile.mkdtemp(prefix="radix-", dir=folder)
         self.rows, self.bits, self.deepest = rows, bits, 0
         self.db = duckdb.connect()
         self.db.execute(f"set memory_limit='{MEMORY}'; set threads=1; set temp_directory='{self.folder}/tmp'; set preserve_insertion_order=false")
@@ -130,14 +137,19 @@ def term_sums(counts: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
 
 
 def array_counts(records: DataFrame, array: str, field: str) -> DataFrame:
-    """One row per record and distinct element of its array, with how often it stands there. Null elements are left out."""
-    items = F.filter(F.col(array), lambda x: x.isNotNull())
+    """One row per record and distinct element of its array, with how often it stands there. Null elements are left out.
+
+    An array is sorted, and its runs of equal elements are counted by where they begin, which takes no longer for
+    arrays that repeat themselves; of one without repeats, each element counts once.
+    """
     once = F.array_distinct("_a")
-    pairs = F.when(F.size(once) == F.size("_a"), F.transform("_a", lambda x: F.struct(x.alias("t"), F.lit(1).alias("n")))).otherwise(
-        F.transform(once, lambda x: F.struct(x.alias("t"), F.size(F.filter("_a", lambda y: y == x)).alias("n")))
-    )
+    n = F.size("_s")
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at("_s", i) != F.element_at("_s", F.greatest(i - 1, F.lit(1)))))
+    runs = F.transform("_b", lambda at, k: F.struct(F.element_at("_s", at).alias("t"), (F.coalesce(F.get("_b", k + 1), n + 1) - at).alias("n")))
+    plain = F.transform("_a", lambda x: F.struct(x.alias("t"), F.lit(1).alias("n")))
+    sorted_ = records.select(F.filter(F.col(array), lambda x: x.isNotNull()).alias("_a")).where(F.size("_a") > 0).withColumn("_s", F.when(F.size(once) < F.size("_a"), F.array_sort("_a")))
     return (
-        records.select(items.alias("_a")).select(F.explode(pairs).alias("p"))
+        sorted_.withColumn("_b", F.when(F.col("_s").isNotNull(), begins)).select(F.explode(F.when(F.col("_s").isNull(), plain).otherwise(runs)).alias("p"))
         .select(F.lit(field).alias("field"), F.col("p.t").cast("string").alias("term"), F.col("p.n").cast("long").alias("occurrences"), F.lit(1).cast("long").alias("records"))
     )
 

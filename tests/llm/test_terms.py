@@ -1,9 +1,12 @@
 import random
+import time
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 
 from symloom.llm import terms as T
+from symloom.session import shared_dir
 
 
 def tables(rng, n):
@@ -37,3 +40,23 @@ def test_frequencies(spark):
     got = {(r["field"], r["term"]): (r["occurrences"], r["records"], r["mark"]) for r in T.term_frequencies(u, s).collect()}
     assert got == {("word", "1"): (2, 1, "rare"), ("word", "2"): (2, 2, "rare"), ("word", "3"): (1, 1, "rare"), ("name", "n"): (31, 30, "common"), ("name", "m"): (1, 1, "rare")}
     assert T.term_frequencies(u.where("false"), s.where("false")).collect() == []
+
+
+def test_long_arrays_are_counted_in_time_that_their_repeats_do_not_change(spark):
+    long = [k % 20_000 for k in range(40_000)]
+    u = spark.createDataFrame([("a", long), ("b", None), ("c", []), ("d", [None]), ("e", [7, 7, None, 7, 3])], "content_hash string, word_hashes array<long>")
+    start = time.time()
+    got = Counter()
+    for r in T.array_counts(u, "word_hashes", "word").collect():
+        got[r["term"], r["occurrences"]] += 1
+    assert time.time() - start < 20 and got["7", 3] == 1 and got["3", 1] == 1 and sum(got.values()) == 20_002 and got["7", 2] == 1
+
+
+def test_spill_folder_is_shared(spark):
+    assert T.spill_dir(spark).startswith(shared_dir(spark).removeprefix("file://"))
+    spark.conf.set(T.SPILL_CONF, "s3a://bucket/x")
+    try:
+        with pytest.raises(RuntimeError):
+            T.spill_dir(spark)
+    finally:
+        spark.conf.unset(T.SPILL_CONF)
