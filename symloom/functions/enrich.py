@@ -3,139 +3,87 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import accumulate, takewhile
 
 from symloom.functions.lexer import pattern
 
-_HASHED = ("python", "ruby")
+#: How a line of a comment begins, and what of it is text; a line that only closes a comment has none.
+_MARKS = {
+    "#": re.compile(r"#\s*(?P<text>.*)(?P<open>(?!))?"),
+    "/": re.compile(r"(?://[/!]?|(?P<open>/\*\*)|\*(?!/))\s*(?P<text>.*?)\s*(?:\*/)?|\*/"),
+}
+_QUOTES = ('"""', "'''")
+#: A signature runs on over at most as many lines.
+SIGNATURE_LINES = 5
 
 
 def doc_comment(lines: list[str], at: int, family: str) -> str | None:
-    """The comment lines directly above a definition, in source order; for Python also the docstring below it.
-
-    A blank line ends the search. Marks of comments and outer blanks are taken off.
-    """
-    above: list[str] = []
-    for k in range(at - 1, -1, -1):
-        t = lines[k].strip()
-        if not t:
+    """The comment lines directly above a definition, in source order, without marks and outer blanks; in Python,
+    failing that, the docstring below it. A line of another kind, also a blank one, ends the comment."""
+    hashed = family in ("python", "ruby")
+    told: list[str | None] = []
+    for m in takewhile(bool, (_MARKS["#" if hashed else "/"].fullmatch(lines[k].strip()) for k in range(at - 1, -1, -1))):
+        told.append(m["text"])
+        if m["open"]:
             break
-        if family in _HASHED:
-            if not t.startswith("#"):
-                break
-            above.append(t[1:].strip())
-        elif m := re.match(r"//[/!]?(.*)", t):
-            above.append(m[1].strip())
-        elif t == "*/":
-            continue
-        elif t.startswith("/**"):
-            above.append(re.sub(r"\*/$", "", t[3:].strip()).strip())
-            break
-        elif t.startswith("*") and not t.startswith("*/"):
-            above.append(t[1:].strip())
-        else:
-            break
-    kept = above if family in _HASHED else [x for x in above if x or family not in _HASHED]
-    if kept:
-        text = [x for x in reversed(kept)]
-        while text and not text[0]:
-            text.pop(0)
-        while text and not text[-1]:
-            text.pop()
-        return "\n".join(text) or None
-    if family != "python" or at + 1 >= len(lines):
-        return None
-    first = lines[at + 1].strip()
-    quote = first[:3]
-    if quote not in ('"""', "'''"):
+    text = "\n".join(t for t in reversed(told) if t or hashed and t is not None).strip("\n")
+    return text or (_docstring(lines, at + 1) if family == "python" else None)
+
+
+def _docstring(lines: list[str], at: int) -> str | None:
+    quote = lines[at].strip()[:3] if at < len(lines) else ""
+    if quote not in _QUOTES:
         return None
-    body = first[3:]
-    if body.endswith(quote):
-        return body[:-3].strip()
-    parts = [body] if body else []
-    for line in lines[at + 2 :]:
-        t = line.strip()
-        if quote in t:
-            parts += [t.removesuffix(quote).strip()] if t.removesuffix(quote).strip() else []
-            break
-        parts.append(t)
-    return "\n".join(parts) or None
+    first = lines[at].strip()[3:]
+    body = [first] if quote in first else [first, *takewhile(lambda x: quote not in x, lines[at + 1 :])]
+    if quote not in first and at + len(body) < len(lines):  # the line that closes it
+        body.append(lines[at + len(body)])
+    return "\n".join(x.strip() for x in body).partition(quote)[0].strip() or None
 
 
 def signature(lines: list[str], at: int, family: str) -> str | None:
-    """What a definition says before its body."""
+    """What a definition says before its body: in Python up to the colon, elsewhere up to the block or the end of the
+    statement, and as long as parentheses are open, over the next lines. A type named after its body has the words of
+    its typedef."""
     if at >= len(lines):
         return None
-    line = lines[at].strip()
+    head = lines[at].strip()
     if family == "python":
-        return line.split(":", 1)[0].strip()
-    if line.startswith("}"):
-        name = line.lstrip("}").strip().rstrip(";").strip()
-        for k in range(at - 1, -1, -1):
-            if re.match(r"\s*typedef\s", lines[k]):
-                return f"{lines[k].split('{', 1)[0].strip()} {name}".strip()
-        if name:
-            return name
-    if "(" not in line:
-        return re.split(r"[{;]", line, maxsplit=1)[0].strip() or None
-    got = ""
-    for k in range(at, min(at + 5, len(lines))):
-        depth_end = None
-        part = (" " if got else "") + lines[k].strip()
-        depth = got.count("(") - got.count(")")
-        for i, c in enumerate(part):
-            if c == "{" and depth == 0:
-                return (got + part[:i]).strip() or None
-            depth += (c == "(") - (c == ")")
-            depth_end = depth
-        got += part
-        if depth_end == 0 and "(" in got:
-            break
-    return got.strip().rstrip("{").strip() or None
-
-
-def call_at(line: str, col: int) -> tuple[str, str | None, int] | None:
-    """(callee, qualifier, active parameter) of the call whose parentheses hold a character column of the line."""
-    commas = depth = 0
-    for k in range(min(col, len(line)) - 1, -1, -1):
-        c = line[k]
-        if c == ")":
-            depth += 1
-        elif c == "(" and depth:
-            depth -= 1
-        elif c == "(":
-            m = re.search(r"(?:(\w+) *(?:::|->|\.))?(\w+) *$", line[:k])
-            return (m[2], m[1], commas) if m else None
-        elif c == "," and not depth:
-            commas += 1
-    return None
-
-
-def ident_context(line: str, start: int, end: int) -> str:
-    """What an identifier at line[start:end] is: FieldAccess, FunctionCall, TypeRef or Plain, by its neighbours."""
-    before, after = line[:start].rstrip(), line[end:].lstrip()
-    if after.startswith("("):
-        return "FunctionCall"
-    if before.endswith((".", "->")):
-        return "FieldAccess"
-    if re.search(r"(?:\b(?:struct|enum|class|impl|new|extends|implements|interface|trait|union|dyn)|[^:]:|->)$", before):
-        return "TypeRef"
-    return "Plain"
-
-
-def hover(sig: str | None, doc: str | None, family: str, type_text: str | None = None) -> str:
-    """Markdown: the signature as code, then the type of a local, then the documentation."""
-    parts = [f"```{family}\n{sig}\n```" if sig else None, f"Type: `{type_text}`" if type_text else None, doc]
-    return "\n\n".join(p for p in parts if p)
-
-
-def lock_packages(text: str) -> list[tuple[str, str]]:
-    """(name, version) of each package of a Cargo lock file."""
-    out = []
-    for block in re.split(r"(?m)^\[\[package\]\]\s*$", text)[1:]:
-        name, version = (re.search(rf'(?m)^{k}\s*=\s*"([^"]*)"', block) for k in ("name", "version"))
-        if name and version:
-            out.append((name[1], version[1]))
-    return out
+        return head.partition(":")[0].strip()
+    if head.startswith("}"):
+        name = head.strip("}; \t")
+        opening = next((x for x in reversed(lines[:at]) if x.split()[:1] == ["typedef"]), None)
+        if opening is not None or name:
+            return f"{opening.partition('{')[0].strip()} {name}".strip() if opening is not None else name
+    if "(" not in head:
+        return re.match(r"[^{;]*", head)[0].strip() or None
+    parts = [x.strip() for x in lines[at : at + SIGNATURE_LINES]]
+    open_after = list(accumulate(x.count("(") - x.count(")") for x in parts))
+    whole = " ".join(parts[: open_after.index(0) + 1] if 0 in open_after else parts)
+    block = next((m.start() for m in re.finditer("{", whole) if whole.count("(", 0, m.start()) == whole.count(")", 0, m.start())), len(whole))
+    return whole[:block].rstrip("{ ") or None
+
+
+_CALLEE = re.compile(r"(?:(\w+) *(?:::|->|\.))?(\w+) *$")
+
+
+def call_sites(line: str) -> Iterator[tuple[int, str, str | None, int]]:
+    """(column, callee, qualifier, active parameter) from each column of a line on where the answer changes: after a
+    parenthesis or a comma that belongs to a call. Up to the next one, or the end, the answer stays the same."""
+    stack: list[list] = []  # callee, qualifier, commas; callee None where no name stands before the parenthesis
+    for m in re.finditer(r"[(),]", line):
+        if m[0] == "(":
+            name = _CALLEE.search(line, 0, m.start())
+            stack.append([name[2], name[1], 0] if name else [None, None, 0])
+        elif not stack:
+            continue
+        elif m[0] == ")":
+            stack.pop()
+        else:
+            stack[-1][2] += 1
+        if stack and stack[-1][0] is not None:
+            yield (m.end(), *stack[-1])
 
 
 def occurrences(source: str, family: str) -> list[tuple[str, int]]:

@@ -40,6 +40,20 @@ def word_prefix(line: Column, col: Column) -> Column:
     return F.regexp_replace(F.substring(line, F.lit(1), col), r"[\p{L}\p{N}_]+\z", "")
 
 
+def ident_context(before: Column, after: Column, arrow_is_type: Column) -> Column:
+    """What an identifier is, by what stands before and after it in its line: FieldAccess, FunctionCall, TypeRef or Plain.
+
+    A member after a point or arrow is a field also where it is called. `arrow_is_type` tells languages in which `->`
+    stands before a type.
+    """
+    b, a = F.rtrim(before), F.ltrim(after)
+    field = b.endswith(".") & ~b.endswith("..") | b.endswith("->") & ~F.coalesce(arrow_is_type, F.lit(False))
+    return (
+        F.when(field, "FieldAccess").when(a.startswith("("), "FunctionCall")
+        .when(b.rlike(r"(?:(?:^|[^\p{L}\p{N}_])(?:struct|enum|class|impl|new|extends|implements|interface|trait|union|dyn)|[^:]:|->)$"), "TypeRef").otherwise("Plain")
+    )
+
+
 def utf16_length(s: Column) -> Column:
     """Code units of UTF-16: characters, and one more for each beyond the basic plane."""
     return F.char_length(s) + F.regexp_count(s, F.lit(r"[\x{10000}-\x{10FFFF}]"))

@@ -14,12 +14,24 @@ from symloom.schema import FAMILY_OF, LOCAL_KEYWORDS, SKIP_DIRS, lookup
 from symloom.sources.spread import spread, tasks
 
 
+def newest(files: DataFrame) -> DataFrame:
+    """(file_id, _at, _hash) of the newest delivery of each file; of equal times the larger content_hash."""
+    return files.groupBy("file_id").agg(F.max(F.struct("mtime_ns", "content_hash")).alias("_r")).select("file_id", F.col("_r.mtime_ns").alias("_at"), F.col("_r.content_hash").alias("_hash"))
+
+
+def same_delivery(a: str, b: str) -> Column:
+    """Join condition of two aliased tables that have (file_id, _at, _hash)."""
+    eq = lambda c: F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return (F.col(f"{a}.file_id") == F.col(f"{b}.file_id")) & eq("_at") & eq("_hash")
+
+
 def current_files(files: DataFrame) -> DataFrame:
     """The newest row of each file. Rows of equal time are ordered by content_hash, so repeated rows change nothing.
 
-    Contents are shuffled once, to a number of partitions that is not merged again, as Python often follows.
+    Where contents are asked for they are shuffled once, to a number of partitions that is not merged again, as Python
+    often follows. What works row by row does better on all deliveries, with `newest` to drop what came from older ones.
     """
-    order = Window.partitionBy("file_id").orderBy(F.col("mtime_ns").desc(), "content_hash")
+    order = Window.partitionBy("file_id").orderBy(F.col("mtime_ns").desc(), F.col("content_hash").desc())
     return files.repartition(tasks(files.sparkSession), "file_id").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1).drop("_rn")
 
 
@@ -53,41 +65,59 @@ def lines(files: DataFrame, *keep: str) -> DataFrame:
     return files.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("line", "_t")).select(*keep, "line", F.regexp_replace("_t", r"\r\z", "").alias("text"))
 
 
+#: Asked words of up to this many bytes in all are sent to the workers; more are joined.
+WORDS_SENT = 32 << 20
+
+
 def runs(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(file_id, word, line, col, len) of every maximal run of letters, digits and `_`; columns and lengths in bytes.
+    """(file_id, word, line, col, len) of every maximal run of letters, digits and `_` in the current contents; columns and
+    lengths in bytes. `wanted` (word) keeps only these words.
 
-    The scan is linear in the text, also for a single endless line, which array expressions are not. `wanted` (word)
-    keeps only these words: it is joined as Spark sees fit, by broadcast if it is small.
+    All deliveries are scanned where they are read, so contents are never shuffled; what older ones gave falls out by a
+    join on (file_id, time, hash). The scan is linear in the text, also for a single endless line. Wanted words are
+    measured first: if they are few, they go to the workers and only hits leave them; if not, all runs are joined.
     """
     find = re.compile(r"\w+|\n").finditer  # of str, \w is letters, digits and `_`
-    names, types = ["file_id", "word", "line", "col", "len"], (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+    names = ["file_id", "_at", "_hash", "word", "line", "col", "len"]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+    spark = files.sparkSession
+    words = None
+    if wanted is not None:
+        wanted = wanted.select("word").where(F.col("word").isNotNull()).distinct()
+        size = wanted.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+        if size <= WORDS_SENT:
+            words = spark.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect()))
 
     def batch(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if words is None else words.value
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                line = col = at = 0  # col: bytes from the start of the line to `at`
+            out: list[list] = [[] for _ in names]
+            for i, when, digest, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                line = start = 0  # start: of the line, in characters
+                plain = (t or "").isascii()
                 for m in find(t or ""):
-                    gap, word = t[at : m.start()], m[0]
-                    col += len(gap) if gap.isascii() else len(gap.encode())
-                    at = m.end()
+                    word = m[0]
                     if word == "\n":
-                        line, col = line + 1, 0
-                        continue
-                    size = len(word) if word.isascii() else len(word.encode())
-                    for column, value in zip(out, (i, word, line, col, size), strict=True):
-                        column.append(value)
-                    col += size
+                        line, start = line + 1, m.end()
+                    elif asked is None or word in asked:
+                        col = m.start() - start if plain else len(t[start : m.start()].encode("utf-8", "surrogatepass"))
+                        for column, value in zip(out, (i, when, digest, word, line, col, len(word) if plain else len(word.encode("utf-8", "surrogatepass"))), strict=True):
+                            column.append(value)
                 if len(out[0]) >= 200_000:
                     yield batch(out)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in names]
             yield batch(out)
 
-    out = spread(files.select("file_id", "content")).mapInArrow(run, "file_id bigint, word string, line int, col int, len int")
-    return out if wanted is None else out.join(wanted.select("word").distinct(), "word")
+    rows = files.select("file_id", F.col("mtime_ns").alias("_at"), F.col("content_hash").alias("_hash"), "content")
+    hits = spread(rows).mapInArrow(run, "file_id bigint, _at bigint, _hash string, word string, line int, col int, len int")
+    if wanted is not None and words is None:
+        hits = hits.join(wanted, "word")
+    # a delivery that came twice gives each hit twice
+    current = hits.alias("h").join(newest(files).alias("n"), same_delivery("h", "n"), "left_semi")
+    return current.drop("_at", "_hash").dropDuplicates(["file_id", "line", "col", "word"]).select("file_id", "word", "line", "col", "len")
 
 
 def word_hash_sets(files: DataFrame) -> DataFrame:

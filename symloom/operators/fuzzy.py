@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.text import ascii_lower, trigrams
@@ -29,19 +29,56 @@ def candidates(queries: DataFrame, names: DataFrame) -> DataFrame:
     return shared.unionAll(near)
 
 
+#: An edit touches at most three of a text's trigrams: of seven, two edits leave one.
+SURE_GRAMS = 3 * DISTANCE + 1
+
+
+def _rarest(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """(query, gram): of each ASCII query as many of its rarest trigrams as two edits can't all touch; of others, where an edit
+    may touch more bytes, all of them. Frequencies are those in `entries` (gram, name)."""
+    grams = queries.select("query", F.explode(F.array_distinct(trigrams(F.col("query")))).alias("gram"))
+    counts = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("query").orderBy(F.coalesce("_n", F.lit(0)), "gram")
+    ranked = grams.join(counts, "gram", "left").withColumn("_k", F.row_number().over(order))
+    # a trigram that stands more than once in a query is one entry: so many edits may touch that all are kept
+    plain = (F.octet_length("query") == F.char_length("query")) & (F.size(F.array_distinct(trigrams(F.col("query")))) == F.size(trigrams(F.col("query"))))
+    return ranked.where(~plain | (F.col("_k") <= SURE_GRAMS)).select("query", "gram")
+
+
 def fuzzy_matches(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query, name, distance) within two edits, letter case counting and a transposition counting two."""
-    d = F.levenshtein("query", "name", DISTANCE)
-    return candidates(queries, names).where(F.abs(F.octet_length("query") - F.octet_length("name")) <= F.lit(DISTANCE * 4)).select("query", "name", d.alias("distance")).where(F.col("distance") >= 0)
+    """(query, name, distance) within two edits, letter case counting and a transposition counting two, among `candidates`.
+
+    Not all candidates are made: a name within two edits shares one of any seven trigrams of the query, so only the
+    query's seven rarest are looked up, together with the length, which differs by two characters at most. A common
+    trigram thus pairs only names and queries of like lengths that have nothing rarer.
+    """
+    index = trigram_index(names).distinct()
+    long = queries.where(F.octet_length("query") >= 3)
+    band = F.explode(F.sequence(F.char_length("query") - DISTANCE, F.char_length("query") + DISTANCE))
+    asked = _rarest(long, index).withColumn("n", band)
+    near = asked.join(index.withColumn("n", F.char_length("name")), ["gram", "n"]).select("query", "name").distinct()
+    # queries that share no trigram with any name: their length alone decides
+    grams = long.select("query", F.explode(trigrams(F.col("query"))).alias("gram"))
+    some = grams.join(index.select("gram").distinct(), "gram", "left_semi").select("query").distinct()
+    rest = queries.join(some, "query", "left_anti")
+    lengths = rest.select("query", F.explode(F.sequence(F.octet_length("query") - DISTANCE, F.octet_length("query") + DISTANCE)).alias("n"))
+    alike = lengths.join(names.select("name", F.octet_length("name").alias("n")), "n").select("query", "name")
+    return near.unionAll(alike).select("query", "name", F.levenshtein("query", "name", DISTANCE).alias("distance")).where(F.col("distance") >= 0)
 
 
 def completions(prefixes: DataFrame, names: DataFrame) -> DataFrame:
     """(query, name): names that begin with the query, letter case of ASCII apart; for a query without any, what the
-    fuzzy search gives. The prefixes join on their own length cut out of the names."""
-    lengths = prefixes.select(F.char_length("query").alias("n")).distinct()
+    fuzzy search gives.
+
+    A name is cut at each length that occurs among the queries, however long (an equi-join on lengths), and the cuts
+    join the queries. An empty
+    query has no completions.
+    """
+    prefixes = prefixes.where(F.col("query") != "")
     keyed = prefixes.select("query", ascii_lower(F.col("query")).alias("k"))
-    # a name has one key per length that occurs among the queries: a bounded handful, as people type prefixes
-    cut = names.join(F.broadcast(lengths.where(F.col("n") <= 256)), F.char_length("name") >= F.col("n")).select("name", ascii_lower(F.substring("name", F.lit(1), F.col("n"))).alias("k"))
+    lengths = prefixes.select(F.char_length("query").alias("n")).distinct()
+    counted = names.where(F.col("name") != "").select("name", F.explode(F.sequence(F.lit(1), F.char_length("name"))).alias("n"))
+    cut = counted.join(lengths, "n").select("name", ascii_lower(F.substring("name", F.lit(1), F.col("n"))).alias("k"))
     hits = keyed.join(cut, "k").select("query", "name")
     fuzzy = fuzzy_matches(prefixes.join(hits.select("query").distinct(), "query", "left_anti"), names).select("query", "name")
     return hits.unionAll(fuzzy)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import text
-from symloom.operators.corpus import is_local
+from symloom.operators.corpus import is_local, runs
+from symloom.operators.intervals import innermost
 from symloom.schema import VISIBILITY_RANK, lookup
 
 LOOK_BACK = 30
@@ -25,20 +26,21 @@ def local_definition_at(cursors: DataFrame, symbols: DataFrame) -> DataFrame:
     """(cursor_id, line, symbol_idx): the innermost local definition whose scope holds the cursor's line.
 
     As-of: among a file's symbols of that name that begin at or before the cursor and end at or after it, the deepest,
-    then the latest, then the last in symbol order.
+    then the latest, then the last in symbol order. One sweep per (file, name).
     """
-    scoped = symbols.where(F.col("depth") > 0).select("file_id", "name", "line", "depth", "scope_end_line", "symbol_idx")
-    fits = (F.col("line") <= F.col("cursor_line")) & (F.col("scope_end_line").isNull() | (F.col("cursor_line") <= F.col("scope_end_line")))
-    best = F.max(F.struct("depth", "line", "symbol_idx"))
-    return cursors.join(scoped, ["file_id", "name"]).where(fits).groupBy("cursor_id").agg(best.alias("b")).select("cursor_id", "b.line", "b.symbol_idx")
+    scoped = symbols.where(F.col("depth") > 0).select("file_id", "name", F.col("line").alias("start"), F.col("scope_end_line").alias("end"), "depth", "line", "symbol_idx", F.struct("line", "symbol_idx").alias("value"))
+    points = cursors.select("file_id", "name", F.col("cursor_line").alias("at"), F.col("cursor_id").alias("point_id"))
+    found = innermost(points, scoped, ["file_id", "name"], ["depth", "line", "symbol_idx"])
+    return found.select(F.col("point_id").alias("cursor_id"), "best.line", "best.symbol_idx")
 
 
 def enclosing_scopes(points: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(point_id, depth, container, end): how many scopes of its file enclose a point, and the innermost of them."""
-    inside = points.join(scopes, "file_id").where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
-    return inside.groupBy("point_id").agg(F.count(F.lit(1)).alias("depth"), F.max(F.struct("start", F.negative("end").alias("e"), "scope")).alias("b")).select(
-        "point_id", "depth", F.col("b.scope").alias("container"), F.negative("b.e").alias("end")
-    )
+    """(point_id, depth, container, end): how many scopes (file_id, start, end, scope, and as `last` what decides between
+    equal ones) enclose a point (point_id, file_id, at), and the innermost: that which begins last, then ends first. One sweep per
+    file."""
+    held = scopes.select("file_id", "start", "end", "last", F.negative("end").alias("_early"), F.struct("scope", "end").alias("value")).where(F.col("end").isNotNull())
+    found = innermost(points, held, ["file_id"], ["start", "_early", "last"])
+    return found.select("point_id", "depth", F.col("best.scope").alias("container"), F.col("best.end").alias("end"))
 
 
 def same_position_once(symbols: DataFrame, order: str) -> DataFrame:
@@ -93,16 +95,19 @@ def outline(symbols: DataFrame) -> DataFrame:
     return symbols.where(~is_local())
 
 
-def references(queries: DataFrame, runs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """(word, file_id, line, col, len) of each asked word.
+def references(queries: DataFrame, files: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """(word, file_id, line, col, len) of each asked word in the current contents of files.
 
-    With `postings` (file_id, word) only files whose postings hold the word are searched; a word that no postings hold
-    is searched in all files.
+    With `postings` (file_id, word) only files whose postings hold an asked word are scanned for words that have
+    postings; a word that no postings hold is searched in all files.
     """
-    asked = queries.select("word").distinct()
-    hits = runs.join(asked, "word")
-    if postings is not None:
-        known = postings.join(asked, "word").select("word", "file_id").distinct()
-        somewhere = known.select("word").distinct()
-        hits = hits.join(known, ["word", "file_id"], "left_semi").unionByName(hits.join(somewhere, "word", "left_anti"))
+    asked = queries.select("word").where(F.col("word").isNotNull()).distinct()
+    if postings is None:
+        return runs(files, asked).select("word", "file_id", "line", "col", "len")
+    known = postings.join(asked, "word").select("word", "file_id").distinct()
+    listed = known.select("word").distinct()
+    hits = runs(files.join(known.select("file_id").distinct(), "file_id", "left_semi"), listed).join(known, ["word", "file_id"], "left_semi")
+    rest = asked.join(listed, "word", "left_anti")
+    if not rest.isEmpty():
+        hits = hits.unionByName(runs(files, rest))
     return hits.select("word", "file_id", "line", "col", "len")

@@ -7,14 +7,15 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from symloom.functions import enrich, lexer
+from symloom.operators.corpus import newest, same_delivery
 from symloom.schema import FAMILY_OF, OCCURRENCE, PARSED
-from symloom.sources.spread import spread, tasks
+from symloom.sources.spread import spread
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -54,7 +55,7 @@ def parse_symbols(files: DataFrame) -> DataFrame:
                     })
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spread(files.select("file_id", "ext", "content")).mapInArrow(run, PARSED)
+    return spread(files.select("file_id", "ext", "content")).mapInArrow(run, PARSED).dropDuplicates(["file_id", "symbol_idx"])
 
 
 def parse_occurrences(files: DataFrame) -> DataFrame:
@@ -85,39 +86,35 @@ def parse_occurrences(files: DataFrame) -> DataFrame:
                     rows.append({"file_id": i, "word": word, "word_hash": h, "line": line, "col": len(source[starts[line] : at].encode()), "len": len(word.encode()), "role": "Definition" if at in defined else "Reference"})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spread(files.select("file_id", "ext", "content")).mapInArrow(run, OCCURRENCE)
+    return spread(files.select("file_id", "ext", "content")).mapInArrow(run, OCCURRENCE).dropDuplicates(["file_id", "line", "col"])
 
 
 def distinct_contents(files: DataFrame) -> DataFrame:
-    """One file for each (content, ending), the one of smallest file_id, so that equal contents are parsed once."""
-    w = Window.partitionBy("_hash", "ext").orderBy("file_id")
-    hashed = files.withColumn("_hash", F.sha2("content", 256)).repartition(tasks(files.sparkSession), "_hash", "ext")
-    return hashed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_hash")
+    """Of all delivered rows those of one file for each (content, ending) that is current anywhere, the one of smallest
+    file_id, so that equal contents are parsed once.
 
-
-def calls(lines: DataFrame) -> DataFrame:
-    """(file_id, line, col, callee, qualifier, active): the call that holds the end of each line's text before `;`."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, line, t in zip(*(b.column(n).to_pylist() for n in ("file_id", "line", "text")), strict=True):
-                col = t.rfind(")")
-                found = enrich.call_at(t, col) if col > 0 else None
-                if found:
-                    rows.append((i, line, col, *found))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()))], names=["file_id", "line", "col", "callee", "qualifier", "active"])
-
-    return lines.select("file_id", "line", "text").mapInArrow(run, "file_id bigint, line int, col int, callee string, qualifier string, active int")
+    Which ones is found from hashes and times alone; contents meet only the list of the chosen, which Spark broadcasts
+    if it is small. A row that was delivered again as it was stays twice: what is parsed from it folds.
+    """
+    last = newest(files)
+    ext = files.groupBy("file_id", F.col("mtime_ns").alias("_at"), F.col("content_hash").alias("_hash")).agg(F.min("ext").alias("ext"))
+    chosen = (
+        ext.alias("e").join(last.alias("l"), same_delivery("e", "l"), "left_semi")
+        .groupBy(F.lower("_hash").alias("h"), "ext").agg(F.min(F.struct("file_id", "_at", "_hash")).alias("c")).select("c.*")
+    )
+    rows = files.withColumn("_at", F.col("mtime_ns")).withColumn("_hash", F.col("content_hash"))
+    return rows.alias("r").join(chosen.alias("c"), same_delivery("r", "c"), "left_semi").drop("_at", "_hash")
 
 
-def contexts(words: DataFrame) -> DataFrame:
-    """(file_id, line, col, word, context) of words (file_id, line, text, word, col in characters)."""
+def call_sites(lines: DataFrame) -> DataFrame:
+    """(file_id, line, col, callee, qualifier, active): for each line (file_id, line, text) and each column in it from which
+    on another call, or another parameter of one, is active."""
+    names, types = ["file_id", "line", "col", "callee", "qualifier", "active"], (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.to_pydict()
-            ctx = [enrich.ident_context(t, c, c + len(w)) for t, c, w in zip(d["text"], d["col"], d["word"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("line"), b.column("col"), b.column("word"), pa.array(ctx, pa.string())], names=["file_id", "line", "col", "word", "context"])
+            rows = [(i, line, *site) for i, line, t in zip(*(b.column(n).to_pylist() for n in ("file_id", "line", "text")), strict=True) if t for site in enrich.call_sites(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
-    return words.select("file_id", "line", "text", "word", F.col("col").cast("int").alias("col")).mapInArrow(run, "file_id bigint, line int, col int, word string, context string")
+    with_calls = lines.where(F.contains("text", F.lit("(")))
+    return with_calls.select("file_id", "line", "text").mapInArrow(run, "file_id bigint, line int, col int, callee string, qualifier string, active int")

@@ -6,13 +6,13 @@ twentieth file and are asked of all files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom import schema
 from symloom.functions import text
 from symloom.functions.paths import plain_path
-from symloom.operators import corpus, fuzzy, lookup, manifest, parse
+from symloom.operators import corpus, dependencies, fuzzy, lookup, manifest, parse, resolve
 from symloom.session import table
 
 QUERIES: dict = {}
@@ -43,7 +43,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Parts of SQL: current files, symbols, global symbols, lines, and the words of the asked files.
-_F = "f as (select * exclude rn from (select *, row_number() over (partition by file_id order by mtime_ns desc, content_hash) as rn from source_files) where rn = 1)"
+_F = "f as (select * exclude rn from (select *, row_number() over (partition by file_id order by mtime_ns desc, content_hash desc) as rn from source_files) where rn = 1)"
 _S = "s as (select distinct * from symbols)"
 _LOCAL = "(coalesce(depth, 0) > 0 and coalesce(def_keyword in ('variable', 'parameter', 'field'), false))"
 _G = f"g as (select * from s where not {_LOCAL} and name is not null)"
@@ -76,10 +76,11 @@ def skip_dirs(spark, d):
     return table(spark, d, "source_files").groupBy(corpus.skipped_dir(F.col("rel_path")).alias("skipped")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"select def_keyword, {schema.sql_case(schema.KIND_OF_KEYWORD, 'def_keyword')} as k, count(*) as n from symbols group by all".replace(" as k,", " as kind0,").replace("select def_keyword, case", "select def_keyword, case"))
+@query(f"select def_keyword, coalesce({schema.sql_case(schema.KIND_OF_KEYWORD, 'def_keyword')}, 'Unknown') as kind, count(*) as n from symbols group by all")
 def kind_from_keyword(spark, d):
-    """Kind of a symbol by its keyword; null where the keyword says nothing."""
-    return table(spark, d, "symbols").groupBy("def_keyword").agg(F.count(F.lit(1)).alias("n")).withColumn("kind0", schema.lookup(schema.KIND_OF_KEYWORD, F.col("def_keyword")))
+    """Kind of a symbol by its keyword."""
+    c = schema.lookup(schema.KIND_OF_KEYWORD, F.col("def_keyword"))
+    return table(spark, d, "symbols").groupBy("def_keyword").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.coalesce(c, F.lit("Unknown")))
 
 
 @query(f"select def_keyword, coalesce({schema.sql_case(schema.KIND_OF_CAPTURE, 'def_keyword')}, 'Unknown') as kind, count(*) as n from symbols group by all")
@@ -174,7 +175,7 @@ _ASKED = f"asked as (select distinct name as word from s where file_id % {STEP}
 @query(_w(_F, _S, _L, _RUNS, _ASKED) + "select word, file_id, line, col, len from r join asked using (word)")
 def find_references(spark, d):
     """Word-boundary references of the asked names in the text of all files."""
-    return lookup.references(_asked(spark, d), corpus.runs(_files(spark, d)))
+    return lookup.references(_asked(spark, d), table(spark, d, "source_files"))
 
 
 @query(
@@ -183,16 +184,17 @@ def find_references(spark, d):
 )
 def find_references_indexed(spark, d):
     """The same, with the posting lists asked first."""
-    files = _files(spark, d)
+    files = table(spark, d, "source_files")
+    # postings of all deliveries: a file too many is scanned, none is missed
     p = files.select("file_id", F.explode(F.array_distinct(text.identifiers(F.col("content")))).alias("word"))
-    return lookup.references(_asked(spark, d), corpus.runs(files), p)
+    return lookup.references(_asked(spark, d), files, p)
 
 
 @query(_w(_F, _S, _L, _RUNS, _ASKED, "d as (select distinct file_id, line, col, name from s where name is not null)") + "select case when d.name is not null then 'Definition' else 'Reference' end as role, count(*) as n from r join asked using (word) left join d on r.file_id = d.file_id and r.line = d.line and r.col = d.col and r.word = d.name group by all")
 def occurrence_roles(spark, d):
     """Whether an occurrence of an asked name defines it."""
     at = _symbols(spark, d).where("name is not null").select("file_id", "line", "col", F.col("name").alias("word"), F.lit("Definition").alias("role")).distinct()
-    r = lookup.references(_asked(spark, d), corpus.runs(_files(spark, d)))
+    r = lookup.references(_asked(spark, d), table(spark, d, "source_files"))
     return r.join(at, ["file_id", "line", "col", "word"], "left").groupBy(F.coalesce("role", F.lit("Reference")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -253,20 +255,25 @@ def query_fixture_counts(spark, d):
 # ---------------------------------------------------------------- names
 
 
-_NAMES = "names as (select distinct p_name as name from part where p_name is not null)"
+_NAMES = "s as (select distinct * from symbols), names as (select distinct name from s where name is not null), own as (select distinct name from s where name is not null and file_id % 20 = 0)"
 #: In hexadecimal, as names may hold any characters.
 _GRAM = f"""upper(hex(encode({_LOWER.format('name')})))"""
 _GRAMS = f"""case when strlen(name) >= 3 then list_transform(range(0, strlen(name) - 2), lambda i: substring({_GRAM}, (i * 2 + 1)::int, 6)) else ['0000' || lpad(upper(to_hex(strlen(name))), 2, '0')] end"""
-_TYPOS = "q as (select distinct substring(name, 2, 1) || substring(name, 1, 1) || substring(name, 3) as query from names where length(name) >= 4 union select 'zz' union select 'qqqqqqqq')"
+_TYPOS = "q as (select distinct substring(name, 2, 1) || substring(name, 1, 1) || substring(name, 3) as query from own where length(name) >= 4 union select 'zz' union select 'qqqqqqqq')"
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where("p_name is not null").select(F.col("p_name").alias("name")).distinct()
+    return _symbols(spark, d).where("name is not null").select("name").distinct()
+
+
+def _own_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names of each twentieth file, which are asked of all."""
+    return _asked(spark, d).select(F.col("word").alias("name"))
 
 
 def _typos(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("name")
-    swapped = _names(spark, d).where(F.char_length(n) >= 4).select(F.concat(F.substring(n, 2, 1), F.substring(n, 1, 1), F.expr("substring(name, 3)")).alias("query"))
+    swapped = _own_names(spark, d).where(F.char_length(n) >= 4).select(F.concat(F.substring(n, 2, 1), F.substring(n, 1, 1), F.expr("substring(name, 3)")).alias("query"))
     return swapped.unionAll(spark.createDataFrame([("zz",), ("qqqqqqqq",)], "query string")).distinct()
 
 
@@ -303,11 +310,11 @@ def index_counts(spark, d):
     return fuzzy.trigram_index(n).agg(F.count_distinct("gram").alias("trigrams"), F.count(F.lit(1)).alias("entries")).withColumn("symbols", n.agg(F.count(F.lit(1))).scalar())
 
 
-_PREFIX = "q as (select distinct upper(substring(name, 1, 4)) as query from names union select 'zzzz')"
+_PREFIX = "q as (select distinct upper(substring(name, 1, 4)) as query from own union select 'zzzz')"
 
 
 def _prefixes(spark: SparkSession, d: str) -> DataFrame:
-    return _names(spark, d).select(F.upper(F.substring("name", 1, 4)).alias("query")).unionAll(spark.createDataFrame([("zzzz",)], "query string")).distinct()
+    return _own_names(spark, d).select(F.upper(F.substring("name", 1, 4)).alias("query")).unionAll(spark.createDataFrame([("zzzz",)], "query string")).distinct()
 
 
 _COMPLETE = f"hits as (select query, name from q join names on starts_with({_LOWER.format('name')}, {_LOWER.format('query')}))"
@@ -322,31 +329,24 @@ def completion_prefix(spark, d):
 _VIS = "case visibility when 'Public' then 2 when 'Private' then 0 else 1 end"
 
 
-@query(_w(_NAMES, "q as (select distinct substring(name, 1, 1) || 'q' || substring(name, 3) as query from names where length(name) >= 4)", _COMPLETE, *_CAND) + "select query, name from cand where query not in (select query from hits) and levenshtein(query, name) <= 2")
+@query(_w(_NAMES, "q as (select distinct substring(name, 1, 1) || 'q' || substring(name, 3) as query from own where length(name) >= 4)", _COMPLETE, *_CAND) + "select query, name from cand where query not in (select query from hits) and levenshtein(query, name) <= 2")
 def completion_fallback(spark, d):
     """Completions of words with a typo: all by the fallback."""
     n = F.col("name")
-    q = _names(spark, d).where(F.char_length(n) >= 4).select(F.concat(F.substring(n, 1, 1), F.lit("q"), F.expr("substring(name, 3)")).alias("query")).distinct()
+    q = _own_names(spark, d).where(F.char_length(n) >= 4).select(F.concat(F.substring(n, 1, 1), F.lit("q"), F.expr("substring(name, 3)")).alias("query")).distinct()
     c = fuzzy.completions(q, _names(spark, d))
     return c.where(~F.startswith(text.ascii_lower(F.col("name")), text.ascii_lower(F.col("query"))))
 
 
-_SYMQ = f"q as (select distinct substring(name, 1, 5) as query from s where file_id % {STEP} = 0 and length(name) >= 5)"
-
-
-def _name_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    return _symbols(spark, d).where((F.col("file_id") % STEP == 0) & (F.char_length("name") >= 5)).select(F.substring("name", 1, 5).alias("query")).distinct()
-
-
 @query(
-    _w(_S, _G, _SYMQ)
+    _w(_NAMES, _G, _TYPOS, *[c.replace(" names", " gn") for c in ("gn as (select distinct name from g)", *_CAND)])
     + f"""select query, name, file_id, symbol_idx, visibility, rank from (select *, row_number() over (partition by query order by {_VIS} desc, name, file_id, symbol_idx) as rank
-from g join q on starts_with({_LOWER.format('name')}, {_LOWER.format('query')})) where rank <= 20"""
+from (select query, name from cand where levenshtein(query, name) <= 2) join g using (name)) where rank <= 20"""
 )
 def workspace_symbol_top20(spark, d):
-    """The first twenty definitions of each query, public ones first."""
+    """The first twenty definitions of what a query with a typo may mean, public ones first."""
     g = corpus.global_symbols(_symbols(spark, d))
-    hits = fuzzy.completions(_name_prefixes(spark, d), g.select("name").distinct())
+    hits = fuzzy.fuzzy_matches(_typos(spark, d), g.select("name").distinct()).select("query", "name")
     rows = lookup.definitions(hits, g.select("name", "file_id", "symbol_idx", "visibility"))
     return lookup.top(rows, ["query"], [lookup.visibility_rank(F.col("visibility")).desc(), F.col("name"), F.col("file_id"), F.col("symbol_idx")], 20)
 
@@ -388,7 +388,7 @@ def local_definitions(spark, d):
     return _symbols(spark, d).where((F.coalesce("depth", F.lit(0)) > 0) & F.col("name").isNotNull()).groupBy("file_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SCOPED = f"sc as (select file_id, symbol_idx, name, line, scope_end_line, 1 + symbol_idx % 3 as depth from s where name is not null)"
+_SCOPED = f"sc as (select file_id, symbol_idx, name, line, scope_end_line, depth from s where name is not null and depth > 0)"
 _CURS = f"c as (select file_id, symbol_idx as cur, name, line + 2 as cursor_line from s where name is not null)"
 
 
@@ -401,7 +401,7 @@ where line <= cursor_line and (scope_end_line is null or cursor_line <= scope_en
 def local_definition_asof(spark, d):
     """The innermost definition whose scope holds a cursor two lines below each symbol."""
     s = _symbols(spark, d).where("name is not null")
-    scoped = s.select("file_id", "symbol_idx", "name", "line", "scope_end_line", (1 + F.col("symbol_idx") % 3).alias("depth"))
+    scoped = s.select("file_id", "symbol_idx", "name", "line", "scope_end_line", "depth")
     cursors = s.select(F.struct("file_id", F.col("symbol_idx").alias("cur")).alias("cursor_id"), "file_id", "name", (F.col("line") + 2).alias("cursor_line"))
     return lookup.local_definition_at(cursors, scoped).select("cursor_id.file_id", "cursor_id.cur", "line", "symbol_idx")
 
@@ -414,7 +414,7 @@ from s a join s b on a.file_id = b.file_id and b.scope_end_line is not null and
 def enclosing_scope(spark, d):
     """How many scopes enclose a symbol's line, and the name of the innermost."""
     s = _symbols(spark, d)
-    scopes = s.where("scope_end_line is not null").select("file_id", F.col("line").alias("start"), F.col("scope_end_line").alias("end"), F.struct("symbol_idx", "name").alias("scope"))
+    scopes = s.where("scope_end_line is not null").select("file_id", F.col("line").alias("start"), F.col("scope_end_line").alias("end"), F.col("symbol_idx").alias("last"), F.struct("symbol_idx", "name").alias("scope"))
     points = s.select(F.struct("file_id", "symbol_idx").alias("point_id"), "file_id", F.col("line").alias("at"))
     return lookup.enclosing_scopes(points, scopes).select("point_id.file_id", "point_id.symbol_idx", "depth", F.col("container.name").alias("container"))
 
@@ -447,41 +447,28 @@ def outline_filtered(spark, d):
 
 
 _CUR = (
-    f"k as (select s.file_id, symbol_idx, l.text, s.col + 1 as col from s join l on s.file_id = l.file_id and s.line = l.line where s.file_id % {STEP} = 0)",
+    f"k as (select s.file_id, symbol_idx, l.text, s.col + 1 as col from s join l on s.file_id = l.file_id and s.line = l.line)",
     f"""cw as (select file_id, symbol_idx, text, col, case when col <= length(text) then regexp_extract(substring(text, 1, col), '[\\p{{L}}\\p{{N}}_]*$') || regexp_extract(substring(text, col + 1), '^[\\p{{L}}\\p{{N}}_]*') end as word,
   regexp_extract(regexp_replace(substring(text, 1, col), '[\\p{{L}}\\p{{N}}_]+$', ''), '([\\p{{L}}\\p{{N}}_]+) *(::|->|\\.)$', 1) as q from k)""",
 )
 
 
-def _cursors(spark: SparkSession, d: str, step: int = 1) -> DataFrame:
-    """A cursor one character into the name of each symbol of each `step`-th file: (file_id, symbol_idx, text, col, word, qualifier)."""
-    s = _symbols(spark, d).where(F.col("file_id") % step == 0).select("file_id", "symbol_idx", "line", (F.col("col") + 1).alias("col"))
-    wanted = corpus.lines(_files(spark, d).where(F.col("file_id") % step == 0), "file_id")
-    at = s.join(wanted, ["file_id", "line"])
+def _cursors(spark: SparkSession, d: str) -> DataFrame:
+    """A cursor one character into the name of each symbol: (file_id, symbol_idx, text, col, word, qualifier)."""
+    s = _symbols(spark, d).select("file_id", "symbol_idx", "line", (F.col("col") + 1).alias("col"))
+    at = s.join(corpus.lines(_files(spark, d), "file_id"), ["file_id", "line"])
     return at.select("file_id", "symbol_idx", "text", "col", text.word_at(F.col("text"), F.col("col")).alias("word"), text.qualifier_before(text.word_prefix(F.col("text"), F.col("col"))).alias("qualifier"))
 
 
 @query(_w(_F, _S, _L, *_CUR) + "select file_id, symbol_idx, nullif(word, '') as word from cw")
 def word_at_position(spark, d):
-    """The word under a cursor, in the files that the SQL asks."""
-    return _cursors(spark, d, STEP).select("file_id", "symbol_idx", "word")
+    """The word under a cursor."""
+    return _cursors(spark, d).select("file_id", "symbol_idx", "word")
 
 
 @query(_w(_F, _S, _L, *_CUR) + "select file_id, symbol_idx, nullif(q, '') as qualifier from cw where col <= length(text)")
 def qualifier_before(spark, d):
-    """What qualifies the word under a cursor, in the files that the SQL asks."""
-    return _cursors(spark, d, STEP).where(F.col("col") <= F.char_length("text")).select("file_id", "symbol_idx", "qualifier")
-
-
-@query()
-def word_at_position_all(spark, d):
-    """The word under a cursor, for the symbols of all files."""
-    return _cursors(spark, d).select("file_id", "symbol_idx", "word")
-
-
-@query()
-def qualifier_before_all(spark, d):
-    """What qualifies the word under a cursor, for the symbols of all files."""
+    """What qualifies the word under a cursor."""
     return _cursors(spark, d).where(F.col("col") <= F.char_length("text")).select("file_id", "symbol_idx", "qualifier")
 
 
@@ -515,24 +502,93 @@ def rank_definitions(spark, d):
     return _ranked(spark, d).select("here", "name", "file_id", "symbol_idx", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(_w(_F, _S, _G, _L, _RANKQ, _OPEN, *_RANK) + "select here, name, file_id, symbol_idx, line from ranked where rank = 1")
+#: Cursors in each twentieth file: in the name of each symbol, and in the last word of the line after it; with what stands around.
+_LAST_WORD = r"(?s)^(.*[^\p{L}\p{N}_])?([\p{L}_][\p{L}\p{N}_]*)([^\p{L}\p{N}_]*)$"
+_AROUND = (
+    f"own as (select * from s where file_id % {STEP} = 0)",
+    """c0 as (select own.file_id as here, symbol_idx, 0 as k, own.line as cl, regexp_replace(substring(text, 1, col + 1), '[\\p{L}\\p{N}_]+$', '') as before,
+  regexp_extract(substring(text, 1, col + 1), '[\\p{L}\\p{N}_]*$') || regexp_extract(substring(text, col + 2), '^[\\p{L}\\p{N}_]*') as name, regexp_replace(substring(text, col + 2), '^[\\p{L}\\p{N}_]*', '') as after
+  from own join l on own.file_id = l.file_id and own.line = l.line where col + 1 <= length(text))""",
+    f"""c1 as (select own.file_id as here, symbol_idx, 1 as k, l.line as cl, regexp_extract(text, '{_LAST_WORD}', 1) as before, regexp_extract(text, '{_LAST_WORD}', 2) as name, regexp_extract(text, '{_LAST_WORD}', 3) as after
+  from own join l on own.file_id = l.file_id and own.line + 1 = l.line)""",
+    """cur as (select c.*, nullif(regexp_extract(before, '([\\p{L}\\p{N}_]+) *(::|->|\\.)$', 1), '') as qualifier,
+  case when regexp_matches(rtrim(before), '(^|[^.])\\.$') or (ends_with(rtrim(before), '->') and ext not in ('rs', 'py', 'pyi')) then 'FieldAccess'
+   when starts_with(ltrim(after), '(') then 'FunctionCall'
+   when regexp_matches(rtrim(before), '((^|[^\\p{L}\\p{N}_])(struct|enum|class|impl|new|extends|implements|interface|trait|union|dyn)|[^:]:|->)$') then 'TypeRef' else 'Plain' end as context
+  from (select * from c0 union all select * from c1) c join f on f.file_id = here where name <> '')""",
+)
+
+
+def _around(spark: SparkSession, d: str, step: int = STEP) -> DataFrame:
+    """The same: (query_id, here, at, name, qualifier, context)."""
+    s = _symbols(spark, d).where(F.col("file_id") % step == 0).select("file_id", "symbol_idx", "line", (F.col("col") + 1).alias("col"))
+    lines = corpus.lines(_files(spark, d).where(F.col("file_id") % step == 0), "file_id", "ext")
+    t = F.col("text")
+    on_name = s.join(lines, ["file_id", "line"]).where(F.col("col") <= F.char_length(t))
+    on_name = on_name.select(
+        "file_id", "symbol_idx", F.lit(0).alias("k"), "line", "ext", text.word_prefix(t, F.col("col")).alias("before"), text.word_at(t, F.col("col")).alias("name"),
+        F.regexp_replace(F.substring(t, F.col("col") + 1, F.char_length(t)), rf"^{text.RUN}", "").alias("after"),
+    )
+    below = s.select("file_id", "symbol_idx", (F.col("line") + 1).alias("line")).join(lines, ["file_id", "line"])
+    part = lambda n: F.regexp_extract(t, _LAST_WORD, n)
+    below = below.select("file_id", "symbol_idx", F.lit(1).alias("k"), "line", "ext", part(1).alias("before"), part(2).alias("name"), part(3).alias("after"))
+    both = on_name.unionAll(below).where(F.col("name") != "")
+    context = text.ident_context(F.col("before"), F.col("after"), F.col("ext").isin("rs", "py", "pyi"))
+    return both.select(F.struct("file_id", "symbol_idx", "k").alias("query_id"), F.col("file_id").alias("here"), F.col("line").alias("at"), "name", text.qualifier_before(F.col("before")).alias("qualifier"), context.alias("context"))
+
+
+_DEPS = f"dep as (select file_id from f where regexp_matches(rel_path, '{dependencies._DIR}'))"
+
+
+def _resolved_sql(local: int) -> str:
+    """All candidates of all cursors, their ranks, and the first of the first kind that has any."""
+    match = "case when qualifier is not null and container is not null then container = qualifier else exists (select 1 from op where op.file_id = x.file_id and op.qualifier = x.qualifier and x.container is null and opl < x.line and opl >= x.line - 30) end"
+    return _w(
+        _F, _S, _G, _L, _OPEN, _DEPS, *_AROUND,
+        "ws as (select * from g where file_id not in (select file_id from dep))", "dp as (select * from g where file_id in (select file_id from dep))",
+        f"""x as (
+ select cur.here, cur.symbol_idx as cur, k, qualifier, 1 as priority, ws.file_id, ws.symbol_idx, line, col, container from cur join ws using (name)
+ union all select here, cur.symbol_idx, k, qualifier, 2, dp.file_id, dp.symbol_idx, line, col, container from cur join dp using (name) where context in ('FunctionCall', 'Plain')
+ union all select here, cur.symbol_idx, k, qualifier, 0, s.file_id, s.symbol_idx, line, col, container from cur join s using (name) where context = 'FieldAccess' and s.file_id = here and depth > 0 and def_keyword = 'field'
+ union all select here, cur, k, qualifier, {local}, here, m.i, m.l, m.c, m.container from (select here, cur.symbol_idx as cur, k, qualifier,
+   arg_max({{'i': s.symbol_idx, 'l': line, 'c': col, 'container': container}}, (depth, line, s.symbol_idx)) as m from cur join s using (name)
+   where context in ('FunctionCall', 'Plain') and s.file_id = here and depth > 0 and line <= cl and (scope_end_line is null or cl <= scope_end_line) group by all))""",
+        f"y as (select *, case when file_id = here then 2 else 0 end + case when coalesce({match}, false) then 4 else 0 end as score from x)",
+        "z as (select *, row_number() over (partition by here, cur, k order by priority, score desc, file_id, line, col, symbol_idx) as rank from y)",
+    )
+
+
+@query(_resolved_sql(resolve.LOCAL_FIRST) + "select here, cur, k, priority, file_id, symbol_idx, line from z where rank = 1")
 def goto_definition(spark, d):
-    """The first definition of each asked name."""
-    g = corpus.global_symbols(_symbols(spark, d)).select("file_id", "symbol_idx", "name", "line", "col", "container")
-    q = g.where(F.col("file_id") % STEP == 0).groupBy(F.col("file_id").alias("here"), "name").agg(F.max("container").alias("qualifier"))
-    lines = corpus.lines(_files(spark, d), "file_id")
+    """The definition meant at each cursor: by its context a field, the local in scope, the workspace, dependencies."""
+    return _resolve(spark, d, True)
+
+
+@query(_resolved_sql(resolve.LOCAL_LAST) + "select here, cur, k, priority, file_id, symbol_idx, line from z where rank = 1")
+def hover_precedence(spark, d):
+    """What a hover is about: as for a definition, but locals come after the workspace and dependencies."""
+    return _resolve(spark, d, False)
+
+
+@query(
+    _resolved_sql(resolve.LOCAL_LAST)
+    + """select here, cur, k, concat_ws(chr(10) || chr(10), case when signature is not null then '```' || chr(10) || signature || chr(10) || '```' end,
+ case when coalesce(depth, 0) = 0 then doc_comment else 'Type: `' || doc_comment || '`' end) as markdown from z join s using (file_id, symbol_idx) where rank = 1"""
+)
+def hover_info(spark, d):
+    """What a hover shows at each cursor."""
+    s = _symbols(spark, d).select("file_id", "symbol_idx", "signature", "doc_comment", "depth")
+    return _resolve(spark, d, False).join(s, ["file_id", "symbol_idx"]).select("here", "cur", "k", _markdown())
 
-    def best(defs: DataFrame) -> DataFrame:
-        return lookup.rank(defs, lookup.qualifier_in_source(defs, lines)).where("rank = 1").drop("rank", "score")
 
-    # the file only lifts its own definitions: the best of all is found once per name and qualifier, not per file, and
-    # competes with those of the asking file
-    pairs = q.select("name", "qualifier").distinct().join(g, "name").withColumn("query_id", F.struct("name", "qualifier")).withColumn("current_file", F.lit(None).cast("bigint"))
-    key = F.coalesce("qualifier", F.lit("")).alias("_q")
-    far = q.select("here", "name", "qualifier", key).join(best(pairs).select("name", key, "file_id", "symbol_idx", "line", "col", "container"), ["name", "_q"]).drop("_q")
-    own = q.join(g.withColumn("here", F.col("file_id")), ["name", "here"])
-    both = far.unionByName(own.select(far.columns)).distinct()
-    return best(both.withColumn("query_id", F.struct("here", "name")).withColumn("current_file", F.col("here"))).select("here", "name", "file_id", "symbol_idx", "line")
+def _dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return dependencies.package_files(_files(spark, d).select("file_id", "worktree_key", "rel_path"))
+
+
+def _resolve(spark: SparkSession, d: str, local_first: bool) -> DataFrame:
+    lines = corpus.lines(_files(spark, d), "file_id")
+    found = resolve.resolve(_around(spark, d), _symbols(spark, d), _dependencies(spark, d), lines, local_first)
+    return found.select(F.col("query_id.file_id").alias("here"), F.col("query_id.symbol_idx").alias("cur"), "query_id.k", "priority", "file_id", "symbol_idx", "line")
 
 
 _FAM = schema.sql_case(schema.FAMILY_OF, "ext")
@@ -548,22 +604,6 @@ def import_ranking(spark, d):
     return _ranked(spark, d, same).select("here", "name", "file_id", "symbol_idx", "score")
 
 
-@query(
-    _w(_S, _G, f"q as (select distinct file_id as here, name from s where file_id % {STEP} = 0 and name is not null)",
-       "own as (select here, q.name, file_id, symbol_idx, 0 as priority from q join g on g.name = q.name and g.file_id = here and container is not null)",
-       "all_ as (select here, q.name, file_id, symbol_idx, 1 as priority from q join g on g.name = q.name)",
-       "u as (select * from own union all select * from all_)")
-    + "select * from u where priority = (select min(priority) from u v where v.here = u.here and v.name = u.name)"
-)
-def hover_precedence(spark, d):
-    """Candidates of a name: members in its own file before all definitions."""
-    g = corpus.global_symbols(_symbols(spark, d)).select("name", "file_id", "symbol_idx", "container")
-    q = _symbols(spark, d).where((F.col("file_id") % STEP == 0) & F.col("name").isNotNull()).select(F.col("file_id").alias("here"), "name").distinct()
-    both = q.join(g, "name").withColumn("query_id", F.struct("here", "name"))
-    own = both.where((F.col("file_id") == F.col("here")) & F.col("container").isNotNull())
-    return lookup.by_precedence([own, both]).select("here", "name", "file_id", "symbol_idx", "priority")
-
-
 # ---------------------------------------------------------------- text scalars
 
 
@@ -597,11 +637,13 @@ def normalize_urls(spark, d):
     return table(spark, d, "worktrees").select("worktree_key", F.explode(urls).alias("url")).select("worktree_key", "url", text.normalize_remote(F.col("url")).alias("remote"))
 
 
-@query(_w(_S, "n as (select distinct name from s where name is not null and strlen(name) = length(name))") + "select name, list_reduce(list_prepend(2166136261::hugeint, list_transform(range(1, length(name) + 1), lambda i: ord(substring(name, i::int, 1))::hugeint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)::bigint as word_hash from n")
+@query(
+    _w(_S, "n as (select distinct name, hex(name) as h from s where name is not null)")
+    + "select name, list_reduce(list_prepend(2166136261::hugeint, list_transform(range(0, strlen(name)), lambda i: ('0x' || substring(h, (2 * i + 1)::int, 2))::int::hugeint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)::bigint as word_hash from n"
+)
 def word_hash_fnv1a(spark, d):
-    """Word hashes of names written in ASCII."""
-    n = _symbols(spark, d).where("name is not null").select("name").distinct()
-    return n.where(F.octet_length("name") == F.char_length("name")).select("name", text.fnv1a(F.col("name")).alias("word_hash"))
+    """Word hashes of all names."""
+    return _symbols(spark, d).where("name is not null").select("name").distinct().select("name", text.fnv1a(F.col("name")).alias("word_hash"))
 
 
 @query("select sha256(content) as content_hash, count(*) as n, count(distinct file_id) as files from source_files group by all")
@@ -640,7 +682,7 @@ def document_symbol_response(spark, d):
 @query(_w(_F, _S, _L, _RUNS, _ASKED) + "select rel_path, word, line, col, col + len as end_col from r join asked using (word) join f using (file_id)")
 def references_response(spark, d):
     """References with their paths and ranges."""
-    r = lookup.references(_asked(spark, d), corpus.runs(_files(spark, d)))
+    r = lookup.references(_asked(spark, d), table(spark, d, "source_files"))
     return r.join(_files(spark, d).select("file_id", "rel_path"), "file_id").select("rel_path", "word", "line", "col", (F.col("col") + F.col("len")).cast("long").alias("end_col"))
 
 
@@ -879,7 +921,7 @@ def latency_stats(spark, d):
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return parse.parse_symbols(parse.distinct_contents(_files(spark, d)))
+    return parse.parse_symbols(parse.distinct_contents(table(spark, d, "source_files")))
 
 
 @query()
@@ -904,70 +946,113 @@ def signatures(spark, d):
 @query()
 def code_occurrences(spark, d):
     """Identifiers of code by role, comments and texts apart."""
-    o = parse.parse_occurrences(parse.distinct_contents(_files(spark, d)))
+    o = parse.parse_occurrences(parse.distinct_contents(table(spark, d, "source_files")))
     return o.groupBy("word", "word_hash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("role") == "Definition", 1).otherwise(0)).alias("definitions"))
 
 
-@query()
+@query(_w(_F, _S, _L, "own as (select * from s)", *_AROUND[1:]) + "select here, symbol_idx as cur, k, name, qualifier, context from cur")
 def ident_context(spark, d):
-    """What the word under the cursor of each symbol is: a field, a call, a type or plain."""
-    c = _cursors(spark, d).where("word is not null")
-    start = F.char_length(text.word_prefix(F.col("text"), F.col("col")))
-    return parse.contexts(c.select("file_id", F.col("symbol_idx").alias("line"), "text", "word", start.alias("col"))).withColumnRenamed("line", "symbol_idx")
+    """What the word at each cursor is, in all files: a field, a call, a type or plain."""
+    return _around(spark, d, 1).select("here", F.col("query_id.symbol_idx").alias("cur"), "query_id.k", "name", "qualifier", "context")
 
 
 @query()
 def signature_help(spark, d):
-    """The callee, the active parameter and the best definition for the last call of each line of the asked files."""
+    """The callee, the active parameter and the best definition, for every column of the asked files' lines from which on
+    another call or parameter is active; dependencies answer where the workspace does not."""
     files = _files(spark, d).where(F.col("file_id") % STEP == 0)
-    calls = parse.calls(corpus.lines(files, "file_id")).withColumn("query_id", F.struct("file_id", "line", "col"))
-    g = corpus.global_symbols(_symbols(spark, d)).where(F.col("kind").isin("Function", "Method")).select("file_id", "symbol_idx", "name", "line", "col", "container", "signature")
-    asked = calls.select("query_id", F.col("callee").alias("name"), "qualifier", "active", F.lit(None).cast("bigint").alias("current_file"))
-    # the qualifier only ranks: the best definition of each (callee, qualifier) is found once and joined to the calls
-    pairs = asked.select("name", "qualifier").distinct()
-    ranked = lookup.rank(pairs.join(g, "name").withColumn("query_id", F.struct("name", "qualifier")).withColumn("current_file", F.lit(None).cast("bigint"))).where("rank = 1")
-    best = ranked.select("name", F.coalesce("qualifier", F.lit("")).alias("_q"), F.col("file_id").alias("def_file"), "symbol_idx", "signature")
-    return asked.withColumn("_q", F.coalesce("qualifier", F.lit(""))).join(best, ["name", "_q"]).select("query_id.file_id", "query_id.line", F.col("name").alias("callee"), "qualifier", "active", "def_file", "symbol_idx", text.parameters(F.col("signature")).alias("parameters"))
-
-
-@query(_w(_F, _S, _G) + "select g.file_id, symbol_idx, concat_ws(chr(10) || chr(10), case when signature is not null then '```' || ext || chr(10) || signature || chr(10) || '```' end, case when coalesce(depth, 0) = 0 then doc_comment end) as markdown from g join f using (file_id)")
+    calls = parse.call_sites(corpus.lines(files, "file_id"))
+    g = corpus.global_symbols(_symbols(spark, d)).where(F.col("signature").isNotNull()).select("file_id", "symbol_idx", "name", "line", "col", "container", "signature")
+    deps = _dependencies(spark, d).select("file_id").distinct()
+    lines = corpus.lines(_files(spark, d), "file_id")
+    # the answer does not depend on the asking file: the best of each (callee, qualifier) is found once
+    asked = calls.select(F.lit(None).cast("long").alias("here"), F.col("callee").alias("name"), "qualifier").distinct()
+    key = F.coalesce("qualifier", F.lit("")).alias("_k")
+    best = None
+    for priority, index in enumerate((g.join(deps, "file_id", "left_anti"), g.join(deps, "file_id", "left_semi"))):
+        found = resolve.best_by_name(asked, index, lines).select("name", key, F.struct(F.lit(priority).alias("priority"), F.col("file_id").alias("def_file"), "symbol_idx").alias("r"))
+        best = found if best is None else best.unionAll(found)
+    best = best.groupBy("name", "_k").agg(F.min("r").alias("r")).select("name", "_k", "r.def_file", "r.symbol_idx")
+    best = best.join(g.select(F.col("file_id").alias("def_file"), "symbol_idx", "signature"), ["def_file", "symbol_idx"])
+    return calls.withColumn("_k", key).withColumn("name", F.col("callee")).join(best, ["name", "_k"]).select("file_id", "line", "col", "callee", "qualifier", "active", "def_file", "symbol_idx", text.parameters(F.col("signature")).alias("parameters"))
+
+
+@query(_w(_S, _G) + "select g.file_id, symbol_idx, concat_ws(chr(10) || chr(10), case when signature is not null then '```' || chr(10) || signature || chr(10) || '```' end, case when coalesce(depth, 0) = 0 then doc_comment else 'Type: `' || doc_comment || '`' end) as markdown from g")
 def hover_markdown(spark, d):
     """What a hover shows of each definition."""
-    code = F.when(F.col("signature").isNotNull(), F.concat(F.lit("```"), "ext", F.lit("\n"), "signature", F.lit("\n```")))
-    doc = F.when(F.coalesce("depth", F.lit(0)) == 0, F.col("doc_comment"))
-    g = corpus.global_symbols(_symbols(spark, d)).select("file_id", "symbol_idx", "signature", "doc_comment", "depth")
-    return g.join(_files(spark, d).select("file_id", "ext"), "file_id").select("file_id", "symbol_idx", F.concat_ws("\n\n", code, doc).alias("markdown"))
+    return corpus.global_symbols(_symbols(spark, d)).select("file_id", "symbol_idx", _markdown())
 
 
-_DEPS = "dep as (select file_id from f where contains('/' || rel_path, '/vendor/') or contains('/' || rel_path, '/third_party/') or contains('/' || rel_path, '/node_modules/'))"
+def _markdown() -> Column:
+    """The signature as code, then the documentation; of what stands in a scope, its type, which is kept in its place."""
+    code = F.when(F.col("signature").isNotNull(), F.concat(F.lit("```\n"), "signature", F.lit("\n```")))
+    doc = F.when(F.coalesce("depth", F.lit(0)) == 0, F.col("doc_comment")).otherwise(F.concat(F.lit("Type: `"), "doc_comment", F.lit("`")))
+    return F.concat_ws("\n\n", code, doc).alias("markdown")
 
 
 @query(_w(_F, _S, _G, _DEPS) + "select name, file_id, symbol_idx, 'dep' as origin from g where file_id in (select file_id from dep) and name not in (select name from g where file_id not in (select file_id from dep))")
 def dep_index(spark, d):
     """Definitions that only dependencies give: these answer where the workspace does not."""
-    p = F.concat(F.lit("/"), "rel_path")
-    dep = _files(spark, d).select("file_id", (F.contains(p, F.lit("/vendor/")) | F.contains(p, F.lit("/third_party/")) | F.contains(p, F.lit("/node_modules/"))).alias("dep"))
-    g = corpus.global_symbols(_symbols(spark, d)).join(dep, "file_id")
-    own = g.where(~F.col("dep")).select("name").distinct()
-    return g.where("dep").join(own, "name", "left_anti").select("name", "file_id", "symbol_idx", F.lit("dep").alias("origin"))
+    deps = _dependencies(spark, d).select("file_id").distinct()
+    g = corpus.global_symbols(_symbols(spark, d)).join(_files(spark, d).select("file_id"), "file_id", "left_semi")
+    own = g.join(deps, "file_id", "left_anti").select("name").distinct()
+    return g.join(deps, "file_id", "left_semi").join(own, "name", "left_anti").select("name", "file_id", "symbol_idx", F.lit("dep").alias("origin"))
+
 
+_ECO = schema.sql_case(dependencies.ECOSYSTEM_OF, f"regexp_extract(rel_path, '{dependencies._DIR}', 1)")
+_PACKAGES = f"pk as (select file_id, worktree_key, {_ECO} as ecosystem, regexp_extract(rel_path, '{dependencies._DIR}', 2) as package from f where regexp_matches(rel_path, '{dependencies._DIR}'))"
 
-@query("select 'files' as what, count(*) as n from (select distinct file_id from symbols) union all select 'definitions', count(*) from (select distinct file_id, symbol_idx from symbols)")
+
+@query(_w(_F, _S, _G, _PACKAGES) + "select (select count(*) from (select distinct ecosystem, package from pk)) as packages, (select count(*) from pk) as files, (select count(*) from g where file_id in (select file_id from pk)) as definitions")
 def dep_counts(spark, d):
-    """Files and definitions of an index."""
-    s = _symbols(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("definitions"))
-    return s.select(F.explode(F.create_map(F.lit("files"), "files", F.lit("definitions"), "definitions")).alias("what", "n"))
+    """Packages, files and definitions of the dependency index."""
+    return dependencies.counts(_files(spark, d).select("file_id", "worktree_key", "rel_path"), corpus.global_symbols(_symbols(spark, d)).select("file_id"))
 
 
-@query(
-    "with b as (select worktree_key, unnest([1, 2]) as k, repo_id from worktrees) select worktree_key, 'pkg_' || substring(repo_id, 1, 8) || '_' || k as name, k || '.0.' || k as version from b"
-)
+@query(_w(_F, _PACKAGES) + "select worktree_key, ecosystem, package, count(*) as files from pk group by all")
+def dep_packages(spark, d):
+    """The packages whose code lies in each worktree."""
+    return dependencies.detect(_files(spark, d).select("file_id", "worktree_key", "rel_path"))
+
+
+@query(_w(_F, _PACKAGES, f"done as (select distinct ecosystem, package from pk where file_id % {STEP} = 0)") + "select ecosystem, package from (select distinct ecosystem, package from pk) anti join done using (ecosystem, package)")
+def dep_pending(spark, d):
+    """Packages still to be indexed, after those of each twentieth file were."""
+    p = _dependencies(spark, d)
+    return dependencies.pending(p.select("ecosystem", "package"), p.where(F.col("file_id") % STEP == 0), ["ecosystem", "package"])
+
+
+#: A lock file as its tool writes it.
+LOCK = """version = 3
+
+[[package]]
+name = "memchr"
+version = "2.7.1"
+source = "registry+https://registry.example/index"
+checksum = "523d"
+
+[[package]]
+name = "aho-corasick"
+version = "1.1.2"
+dependencies = [
+ "memchr",
+]
+
+[[package]]
+version = "0.1.0"
+name = "own"
+
+[metadata]
+name = "no package"
+"""
+
+
+@query("select * from (values ('memchr', '2.7.1', 'registry/memchr-2.7.1'), ('aho-corasick', '1.1.2', 'registry/aho-corasick')) as t (name, version, path)")
 def lockfile_packages(spark, d):
-    """Packages of a lock file made up for each worktree, read back by their fields."""
-    block = lambda k: F.concat(F.lit('[[package]]\nname = "pkg_'), F.substring("repo_id", 1, 8), F.lit(f'_{k}"\nversion = "{k}.0.{k}"\n\n'))
-    lock = table(spark, d, "worktrees").select("worktree_key", F.concat(block(1), block(2)).alias("t"))
-    blocks = lock.select("worktree_key", F.explode(F.regexp_extract_all("t", F.lit(r'\[\[package\]\]\s+name = "[^"]*"\s+version = "[^"]*"'), F.lit(0))).alias("b"))
-    return blocks.select("worktree_key", F.regexp_extract("b", 'name = "([^"]*)"', 1).alias("name"), F.regexp_extract("b", 'version = "([^"]*)"', 1).alias("version"))
+    """Packages of a lock file, and the directories in which a registry keeps them; one has none."""
+    locked = dependencies.lock_packages(spark.createDataFrame([("w", LOCK)], "worktree_key string, t string"), "worktree_key", "t")
+    places = spark.createDataFrame([("registry/memchr-2.7.1",), ("registry/memchr-2.6.0",), ("registry/aho-corasick",), ("registry/other-0.1.0",)], "path string")
+    return dependencies.resolve(locked, places).select("name", "version", "path")
 
 
 def queries() -> dict:

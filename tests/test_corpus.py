@@ -1,11 +1,13 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from symloom.functions import text
 from symloom.functions.paths import plain_path
-from symloom.operators import corpus, fuzzy, lookup, manifest
+from symloom.operators import corpus, dependencies, fuzzy, lookup, manifest, resolve
+from symloom.operators.intervals import innermost
 
 FILES = "file_id long, worktree_key string, rel_path string, ext string, size long, mtime_ns long, content_hash string, content string, word string"
 
@@ -16,7 +18,7 @@ def files(spark, contents):
 
 def refs(spark, contents, *words):
     q = spark.createDataFrame([(w,) for w in words], "word string")
-    return sorted(tuple(r) for r in lookup.references(q, corpus.runs(files(spark, contents))).collect())
+    return sorted(tuple(r) for r in lookup.references(q, files(spark, contents)).collect())
 
 
 def test_references_by_word_boundary(spark):
@@ -38,7 +40,22 @@ def test_indexed_references_fall_back(spark):
     f = files(spark, ["a b", "a", "c 3d"])
     p = f.select("file_id", F.explode(F.array_distinct(text.identifiers(F.col("content")))).alias("word")).where("file_id <> 1")
     q = spark.createDataFrame([("a",), ("3d",), ("none",)], "word string")
-    assert sorted((r["word"], r["file_id"]) for r in lookup.references(q, corpus.runs(f), p).collect()) == [("3d", 2), ("a", 0)]
+    assert sorted((r["word"], r["file_id"]) for r in lookup.references(q, f, p).collect()) == [("3d", 2), ("a", 0)]
+
+
+def test_references_take_the_newest_delivery_once(spark):
+    rows = [(1, "w", "a", "rs", 1, 5, "h", "foo", ""), (1, "w", "a", "rs", 1, 5, "h", "foo", ""), (1, "w", "a", "rs", 1, 4, "g", " foo foo", ""), (2, "w", "b", "rs", 1, None, None, "foo", "")]
+    f = spark.createDataFrame(rows, FILES)
+    q = spark.createDataFrame([("foo",), (None,)], "word string")
+    assert sorted(tuple(r) for r in lookup.references(q, f).collect()) == [("foo", 1, 0, 0, 3), ("foo", 2, 0, 0, 3)]
+
+
+def test_many_words_are_joined_as_few_are_sent(spark, monkeypatch):
+    f = files(spark, ["a b c a", "é a"])
+    q = spark.createDataFrame([("a",), ("c",)], "word string")
+    few = sorted(map(tuple, lookup.references(q, f).collect()))
+    monkeypatch.setattr(corpus, "WORDS_SENT", 0)
+    assert sorted(map(tuple, lookup.references(q, f).collect())) == few and len(few) == 4
 
 
 def test_newest_row_of_a_file(spark):
@@ -75,6 +92,23 @@ def test_scopes(spark):
     assert at_cursor(spark, [(1, 0, 9)], 2) is None
 
 
+def test_sweep_against_brute_force(spark):
+    rng = random.Random(6)
+    intervals = [(rng.choice([1, 1, 1, 2, None]), rng.randint(0, 30), rng.choice([None, *range(0, 40)]), k) for k in range(200)]
+    points = [(rng.choice([1, 2, 3]), rng.randint(0, 40), k) for k in range(200)] + [(1, None, 900), (None, 3, 901)]
+    i = spark.createDataFrame(intervals, "file_id long, start int, end int, k int").withColumn("value", F.struct("start", "k")).withColumn("_early", F.negative("end"))
+    p = spark.createDataFrame(points, "file_id long, at int, k int").withColumn("point_id", F.struct("k"))
+    got = {r["point_id"]["k"]: (r["depth"], tuple(r["best"])) for r in innermost(p, i, ["file_id"], ["start", "_early", "k"]).collect()}
+    want = {}
+    for f, at, k in points:
+        hold = [x for x in intervals if at is not None and x[0] is not None and x[0] == f and x[1] <= at and (x[2] is None or at <= x[2])]
+        if hold:
+            best = max(hold, key=lambda x: (x[1], -(1 << 62) if x[2] is None else -x[2], x[3]))
+            want[k] = (len(hold), (best[1], best[3]))
+    assert got == want
+    assert innermost(p, i.where("false"), ["file_id"], ["start"]).collect() == []
+
+
 def match(spark, query, *names):
     q, n = spark.createDataFrame([(query,)], "query string"), spark.createDataFrame([(x,) for x in names], "name string")
     return {r["name"] for r in fuzzy.fuzzy_matches(q, n).collect()}
@@ -89,6 +123,30 @@ def test_fuzzy(spark):
     assert match(spark, "", "ab", "abc") == {"ab"}
 
 
+def test_rarest_trigrams_lose_no_match(spark):
+    rng = random.Random(8)
+    names = {"".join(rng.choice("aabcdeé" if rng.random() < 0.1 else "aabcde") for _ in range(rng.randint(1, 16))) for _ in range(150)}
+    names |= {"common_prefix_" + x for x in list(names)[:60]}
+
+    def typo(x):
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(x) + 1)
+            x = rng.choice([x[:k] + "z" + x[k:], x[:k] + x[k + 1 :], x[:k] + "q" + x[k + 1 :]])
+        return x
+
+    queries = {typo(x) for x in list(names)[:120]} | {"zz", "qqqqqqqq"}
+    q, n = spark.createDataFrame([(x,) for x in queries], "query string"), spark.createDataFrame([(x,) for x in names], "name string")
+    every = fuzzy.candidates(q, n).select("query", "name", F.levenshtein("query", "name").alias("d")).where("d <= 2")
+    assert sorted(map(tuple, fuzzy.fuzzy_matches(q, n).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_prefixes_of_any_length(spark):
+    long = "n" * 300 + "x"
+    n = spark.createDataFrame([(long + "tail",), ("other",), ("",)], "name string")
+    got = fuzzy.completions(spark.createDataFrame([(long,), (long.upper(),), ("",)], "query string"), n).collect()
+    assert sorted(r["name"] for r in got) == [long + "tail"] * 2
+
+
 def test_completions_fall_back_only_if_empty(spark):
     q = spark.createDataFrame([("HA",), ("Hsah",)], "query string")
     n = spark.createDataFrame([("hash",), ("Hash",), ("hat",), ("other",)], "name string")
@@ -229,14 +287,56 @@ def test_latest_events(spark):
 def test_words_and_contexts_of_all_symbols(spark, tmp_path):
     from symloom.plans import reference_queries as Q
 
-    files = [(1, 1, "h1", "int a;\nx.foo;\n"), (20, 1, "h2", "old"), (20, 2, "h3", "b::bar\r\nint"), (23, 1, "h4", "baz")]
-    spark.createDataFrame(files, "file_id long, mtime_ns long, content_hash string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    files = [(1, 1, "h1", "c", "int a;\nx.foo;\n"), (20, 1, "h2", "rs", "old"), (20, 2, "h3", "rs", "b::bar\r\nint"), (23, 1, "h4", "c", "baz")]
+    spark.createDataFrame(files, "file_id long, mtime_ns long, content_hash string, ext string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
     symbols = [(1, 0, 1, 2), (20, 0, 0, 3), (20, 1, 9, 0), (23, 0, 0, 0), (23, 0, 0, 0), (23, 1, 0, 9)]
     spark.createDataFrame(symbols, "file_id long, symbol_idx int, line int, col int").write.parquet(f"{tmp_path}/symbols.parquet")
     q = Q.queries()
     rows = lambda name: sorted(tuple(r) for r in q[name](spark, str(tmp_path)).collect())
-    assert rows("word_at_position_all") == [(1, 0, "foo"), (20, 0, "bar"), (23, 0, "baz"), (23, 1, None)]
-    assert rows("qualifier_before_all") == [(1, 0, "x"), (20, 0, "b"), (23, 0, None)]
-    assert rows("word_at_position") == [(20, 0, "bar")] and rows("qualifier_before") == [(20, 0, "b")]
-    contexts = {(r["file_id"], r["symbol_idx"]): r["context"] for r in q["ident_context"](spark, str(tmp_path)).collect()}
-    assert contexts[1, 0] == "FieldAccess" and set(contexts) == {(1, 0), (20, 0), (23, 0)}
+    assert rows("word_at_position") == [(1, 0, "foo"), (20, 0, "bar"), (23, 0, "baz"), (23, 1, None)]
+    assert rows("qualifier_before") == [(1, 0, "x"), (20, 0, "b"), (23, 0, None)]
+    contexts = {(r["here"], r["cur"], r["k"]): (r["name"], r["context"]) for r in q["ident_context"](spark, str(tmp_path)).collect()}
+    assert contexts == {(1, 0, 0): ("foo", "FieldAccess"), (20, 0, 0): ("bar", "Plain"), (20, 0, 1): ("int", "Plain"), (23, 0, 0): ("baz", "Plain")}
+
+
+def test_contexts(spark):
+    rows = [("a.", "", False, "FieldAccess"), ("a->", "(", False, "FieldAccess"), ("fn f() -> ", " {", True, "TypeRef"), ("", " (x)", False, "FunctionCall"), ("struct ", " {", False, "TypeRef"), ("x: ", ",", False, "TypeRef"), ("a::", "", False, "Plain"), ("0..", "", False, "Plain"), ("", "", None, "Plain")]
+    df = spark.createDataFrame(rows, "b string, a string, t boolean, want string")
+    assert df.where(text.ident_context(F.col("b"), F.col("a"), F.col("t")) != F.col("want")).collect() == []
+
+
+S = "file_id long, symbol_idx int, name string, line int, col int, container string, def_keyword string, depth int, scope_end_line int"
+
+
+def test_resolution_by_context(spark):
+    symbols = spark.createDataFrame(
+        [
+            (1, 0, "x", 2, 0, "f", "variable", 1, 9), (1, 1, "size", 12, 0, "S", "field", 1, 20), (2, 0, "x", 1, 0, None, "const", 0, None), (2, 1, "size", 3, 0, None, "fn", 0, None), (2, 2, "new", 4, 0, "A", "fn", 1, 9), (3, 0, "new", 5, 0, "B", "fn", 1, 9),
+            (9, 0, "dep", 1, 0, None, "fn", 0, None), (9, 1, "x", 1, 0, None, "fn", 0, None), (1, 2, "new", 30, 0, "C", "fn", 1, 40),
+        ],
+        S,
+    )
+    cursors = spark.createDataFrame(
+        [
+            (0, 1, 5, "x", None, "Plain"), (1, 1, 11, "x", None, "Plain"), (2, 1, 5, "x", None, "TypeRef"), (3, 1, 15, "size", None, "FieldAccess"), (4, 2, 15, "size", None, "FieldAccess"), (5, 4, 1, "new", "B", "FunctionCall"),
+            (6, 4, 1, "new", None, "FunctionCall"), (7, 1, 1, "new", None, "Plain"), (8, 1, 1, "dep", None, "FunctionCall"), (9, 1, 1, "dep", None, "TypeRef"), (10, 1, 1, "none", None, "Plain"), (11, 1, 1, None, None, "Plain"),
+        ],
+        "query_id int, here long, at int, name string, qualifier string, context string",
+    )
+    lines = spark.createDataFrame([], "file_id long, line int, text string")
+    deps = spark.createDataFrame([(9,)], "file_id long")
+    go = {r["query_id"]: (r["file_id"], r["symbol_idx"]) for r in resolve.resolve(cursors, symbols, deps, lines).collect()}
+    assert go == {0: (1, 0), 1: (2, 0), 2: (2, 0), 3: (1, 1), 4: (2, 1), 5: (3, 0), 6: (1, 2), 7: (1, 2), 8: (9, 0)}
+    hover = {r["query_id"]: (r["file_id"], r["symbol_idx"]) for r in resolve.resolve(cursors, symbols, deps, lines, local_first=False).collect()}
+    assert hover == {**go, 0: (2, 0)}
+    assert resolve.resolve(cursors.where("false"), symbols, deps, lines).collect() == []
+
+
+def test_dependencies(spark):
+    f = spark.createDataFrame([(1, "w", "node_modules/a/x.js"), (2, "w", "node_modules/a/y.js"), (3, "w", "src/a.js"), (4, "v", "vendor/b/z.go"), (5, "v", None), (6, "v", "Godeps/_workspace/src/c/z.go"), (7, "v", "vendor/z.go")], "file_id long, worktree_key string, rel_path string")
+    assert sorted(map(tuple, dependencies.detect(f).collect())) == [("v", "go", "b", 1), ("v", "go", "c", 1), ("w", "npm", "a", 2)]
+    d = spark.createDataFrame([(1,), (1,), (3,), (4,)], "file_id long")
+    assert tuple(dependencies.counts(f, d).first()) == (3, 4, 3) and tuple(dependencies.counts(f.where("false"), d).first()) == (0, 0, 0)
+    text_ = '[[package]]\nname = "a"\nversion = "1.0"\n\n[[package]]\nname = "b"\n'
+    locks = spark.createDataFrame([("w", text_), ("v", None), ("u", "")], "k string, t string")
+    assert list(map(tuple, dependencies.lock_packages(locks, "k", "t").collect())) == [("w", "a", "1.0")]

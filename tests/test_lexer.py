@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from symloom.functions import enrich, lexer
@@ -58,18 +61,46 @@ def test_enrichment():
     assert enrich.doc_comment(["def f():", '    """Told', "    more", '    """'], 0, "python") == "Told\nmore" and enrich.signature(["def f(a):"], 0, "python") == "def f(a)"
     assert enrich.doc_comment(["/**", " * A.", " * B.", " */", "int f();"], 4, "clike") == "A.\nB."
     assert enrich.signature(["typedef struct {", "  int a;", "} Buf;"], 2, "clike") == "typedef struct Buf"
-    assert enrich.call_at("x = a.f(1, g(2, 3), ", 20) == ("f", "a", 2) and enrich.call_at("f()", 3) is None and enrich.call_at("(1", 2) is None
-    assert [enrich.ident_context(t, s, s + 1) for t, s in (("a.b", 2), ("f(", 0), ("struct s", 7), ("x", 0))] == ["FieldAccess", "FunctionCall", "TypeRef", "Plain"]
-    assert enrich.hover("fn f()", "Doc.", "rust") == "```rust\nfn f()\n```\n\nDoc." and "Type: `int`" in enrich.hover(None, None, "c", "int")
-    assert enrich.lock_packages('[[package]]\nname = "a"\nversion = "1.0"\n\n[[package]]\nname = "b"\n') == [("a", "1.0")]
+    assert enrich.doc_comment(["/** One. */", "int f();"], 1, "clike") == "One." and enrich.doc_comment(["// a", "x();", "int f();"], 2, "clike") is None
+    assert enrich.doc_comment(["# A.", "#", "# B.", "def f"], 3, "ruby") == "A.\n\nB." and enrich.doc_comment(["def f():", "    \"\"\"One.\"\"\""], 0, "python") == "One."
+    assert enrich.doc_comment(["# Above.", "def f():", "    \"\"\"One.\"\"\""], 1, "python") == "Above." and enrich.doc_comment(["def f():", "    return 1"], 0, "python") is None
+    assert enrich.doc_comment(["def f():", "    \"\"\"never closed", "    x"], 0, "python") == "never closed\nx"
+    assert enrich.signature(["int f(int a,", "int b);", "int c;"], 0, "clike") == "int f(int a, int b);" and enrich.signature(["struct S;"], 0, "clike") == "struct S"
+    assert enrich.signature(["f(a, function() { b", "}) {"], 0, "jsts") == "f(a, function() { b })"
+    assert enrich.signature(["} x"], 0, "clike") == "x" and enrich.signature([], 3, "c") is None and enrich.signature(["f("] * 9, 0, "clike") == " ".join(["f("] * 5)
+
+
+def walk_left(line, col):
+    """The same answer by walking left from one column."""
+    depth = commas = 0
+    for k in range(col - 1, -1, -1):
+        if line[k] == ")":
+            depth += 1
+        elif line[k] == "(" and depth:
+            depth -= 1
+        elif line[k] == "(":
+            m = re.search(r"(?:(\w+) *(?:::|->|\.))?(\w+) *$", line[:k])
+            return (m[2], m[1], commas) if m else None
+        elif line[k] == "," and not depth:
+            commas += 1
+    return None
+
+
+def test_call_sites_against_walking_left():
+    rng = random.Random(4)
+    for _ in range(300):
+        line = "".join(rng.choice(["a", "b.c", "x::", "(", ")", ", ", " ", "("]) for _ in range(rng.randint(0, 14)))
+        found = {col: tuple(rest) for col, *rest in enrich.call_sites(line)}
+        assert found == {k + 1: walk_left(line, k + 1) for k, c in enumerate(line) if c in "()," and walk_left(line, k + 1)}, line
 
 
 def test_tables(spark):
-    rows = [(1, "rs", "/// Doc.\npub fn f(x: u8) { g(x) }\n"), (2, "rs", "/// Doc.\npub fn f(x: u8) { g(x) }\n"), (3, "txt", "fn f"), (4, "py", None), (5, None, "x")]
-    df = spark.createDataFrame(rows, "file_id long, ext string, content string")
+    doc = "/// Doc.\npub fn f(x: u8) { g(x) }\n"
+    rows = [(1, "rs", doc, 2, "d"), (1, "rs", doc, 2, "d"), (1, "rs", "fn old() {}", 1, "e"), (2, "rs", doc, 1, "D"), (3, "txt", "fn f", 1, "f"), (4, "py", None, 1, None), (5, None, "x", 1, "g")]
+    df = spark.createDataFrame(rows, "file_id long, ext string, content string, mtime_ns long, content_hash string")
     got = [(r["file_id"], r["name"], r["doc_comment"], r["scope_end_line"]) for r in parse.parse_symbols(parse.distinct_contents(df)).orderBy("file_id", "symbol_idx").collect()]
     assert got == [(1, "f", "Doc.", None), (1, "x", None, 1)]
-    occ = {(r["word"], r["line"], r["col"]): r["role"] for r in parse.parse_occurrences(df.where("file_id = 1")).collect()}
+    occ = {(r["word"], r["line"], r["col"]): r["role"] for r in parse.parse_occurrences(parse.distinct_contents(df.where("file_id = 1"))).collect()}
     assert occ["f", 1, 7] == "Definition" and occ["g", 1, 18] == "Reference" and ("Doc", 0, 4) not in occ
     assert parse.parse_symbols(df.where("false")).collect() == []
 
