@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import text
-from symloom.operators.corpus import is_local, runs
+from symloom.operators.corpus import is_local, newest, runs, same_delivery
 from symloom.operators.intervals import innermost
 from symloom.schema import VISIBILITY_RANK, lookup
+from symloom.session import scratch
+from symloom.sources.spread import spread
 
 LOOK_BACK = 30
 
@@ -49,13 +51,23 @@ def same_position_once(symbols: DataFrame, order: str) -> DataFrame:
     return symbols.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def qualifier_in_source(defs: DataFrame, lines: DataFrame) -> DataFrame:
+_OPENER = rf"^\s*(?:impl|struct|class|trait|enum|interface|object)\s*(?:<[^>]*>\s*)?({text.RUN})"
+
+
+def openers(files: DataFrame) -> DataFrame:
+    """(file_id, _line, qualifier) of the lines of current contents that open a type: `impl`, `struct`, ... , an optional `<...>`,
+    and the name as a whole word. Found in all deliveries where they are read; only these few lines are shuffled."""
+    lines = files.select("file_id", F.col("mtime_ns").alias("_at"), F.col("content_hash").alias("_hash"), F.posexplode(F.split("content", "\n", -1)).alias("_line", "_t"))
+    found = lines.select("file_id", "_at", "_hash", "_line", F.regexp_extract("_t", _OPENER, 1).alias("qualifier")).where(F.col("qualifier") != "")
+    return found.alias("o").join(newest(files).alias("n"), same_delivery("o", "n"), "left_semi").select("file_id", "_line", "qualifier").distinct()
+
+
+def qualifier_in_source(defs: DataFrame, opened: DataFrame) -> DataFrame:
     """(query_id, file_id, symbol_idx) of definitions without container that stand at most 30 lines below a line that
-    opens the qualifier: `impl`, `struct`, ... , an optional `<...>`, and the qualifier as a whole word."""
-    opener = lines.select("file_id", F.col("line").alias("_at"), F.regexp_extract("text", rf"^\s*(?:impl|struct|class|trait|enum|interface|object)\s*(?:<[^>]*>\s*)?({text.RUN})", 1).alias("qualifier")).where(F.col("qualifier") != "")
+    opens their qualifier (`openers`)."""
     asked = defs.where(F.col("container").isNull() & F.col("qualifier").isNotNull())
     # joined on the file and the qualifier; the distance only filters what one file holds of one name
-    near = asked.join(opener, ["file_id", "qualifier"]).where((F.col("_at") < F.col("line")) & (F.col("_at") >= F.col("line") - LOOK_BACK))
+    near = asked.join(opened, ["file_id", "qualifier"]).where((F.col("_line") < F.col("line")) & (F.col("_line") >= F.col("line") - LOOK_BACK))
     return near.select("query_id", "file_id", "symbol_idx").distinct()
 
 
@@ -104,9 +116,12 @@ def references(queries: DataFrame, files: DataFrame, postings: DataFrame | None
     asked = queries.select("word").where(F.col("word").isNotNull()).distinct()
     if postings is None:
         return runs(files, asked).select("word", "file_id", "line", "col", "len")
-    known = postings.join(asked, "word").select("word", "file_id").distinct()
+    # written once: which words have postings, which files to scan, and which hits hold all ask it
+    place = scratch(files.sparkSession, "postings")
+    postings.join(asked, "word").select("word", "file_id").distinct().write.parquet(place)
+    known = files.sparkSession.read.parquet(place)
     listed = known.select("word").distinct()
-    hits = runs(files.join(known.select("file_id").distinct(), "file_id", "left_semi"), listed).join(known, ["word", "file_id"], "left_semi")
+    hits = runs(spread(files).join(known.select("file_id").distinct(), "file_id", "left_semi"), listed).join(known, ["word", "file_id"], "left_semi")
     rest = asked.join(listed, "word", "left_anti")
     if not rest.isEmpty():
         hits = hits.unionByName(runs(files, rest))

@@ -102,7 +102,8 @@ def distinct_contents(files: DataFrame) -> DataFrame:
         ext.alias("e").join(last.alias("l"), same_delivery("e", "l"), "left_semi")
         .groupBy(F.lower("_hash").alias("h"), "ext").agg(F.min(F.struct("file_id", "_at", "_hash")).alias("c")).select("c.*")
     )
-    rows = files.withColumn("_at", F.col("mtime_ns")).withColumn("_hash", F.col("content_hash"))
+    # spread before the join, as its plan then tells nothing about the scan
+    rows = spread(files).withColumn("_at", F.col("mtime_ns")).withColumn("_hash", F.col("content_hash"))
     return rows.alias("r").join(chosen.alias("c"), same_delivery("r", "c"), "left_semi").drop("_at", "_hash")
 
 

@@ -19,8 +19,9 @@ def _key() -> Column:
     return F.coalesce("qualifier", F.lit(""))
 
 
-def best_by_name(asked: DataFrame, index: DataFrame, lines: DataFrame) -> DataFrame:
+def best_by_name(asked: DataFrame, index: DataFrame, opened: DataFrame) -> DataFrame:
     """The best definition in `index` for each (here, name, qualifier), by file and qualifier (`lookup.rank`).
+    `opened` are the `lookup.openers` of the files.
 
     The file only lifts its own definitions, so the best of all is found once per name and qualifier, not per file,
     and competes with those of the asking file: no name is joined with all its definitions for each file that asks.
@@ -28,7 +29,7 @@ def best_by_name(asked: DataFrame, index: DataFrame, lines: DataFrame) -> DataFr
     asked = asked.select("here", "name", "qualifier").distinct()
 
     def first(defs: DataFrame) -> DataFrame:
-        return lookup.rank(defs, lookup.qualifier_in_source(defs, lines)).where("rank = 1").drop("rank", "query_id", "current_file")
+        return lookup.rank(defs, lookup.qualifier_in_source(defs, opened)).where("rank = 1").drop("rank", "query_id", "current_file")
 
     pairs = asked.select("name", "qualifier").distinct().join(index, "name")
     far = first(pairs.withColumn("query_id", F.struct("name", "qualifier")).withColumn("current_file", F.lit(None).cast("long")))
@@ -38,7 +39,7 @@ def best_by_name(asked: DataFrame, index: DataFrame, lines: DataFrame) -> DataFr
     return first(both.withColumn("query_id", F.struct("here", "name", "qualifier")).withColumn("current_file", F.col("here")))
 
 
-def resolve(cursors: DataFrame, symbols: DataFrame, dependencies: DataFrame, lines: DataFrame, local_first: bool = True) -> DataFrame:
+def resolve(cursors: DataFrame, symbols: DataFrame, dependencies: DataFrame, opened: DataFrame, local_first: bool = True) -> DataFrame:
     """(query_id, priority, file_id, symbol_idx, line): the definition meant at each cursor (query_id, here, at, name,
     qualifier, context).
 
@@ -61,14 +62,14 @@ def resolve(cursors: DataFrame, symbols: DataFrame, dependencies: DataFrame, lin
     inside = cursors.where("context = 'FieldAccess'")
     in_file = inside.select("here", "name", "qualifier").distinct().join(fields.withColumn("here", F.col("file_id")), ["here", "name"])
     in_file = in_file.withColumn("query_id", F.struct("here", "name", "qualifier")).withColumn("current_file", F.col("here"))
-    field = lookup.rank(in_file, lookup.qualifier_in_source(in_file, lines)).where("rank = 1")
+    field = lookup.rank(in_file, lookup.qualifier_in_source(in_file, opened)).where("rank = 1")
     points = plain.select(F.col("here").alias("file_id"), "name", F.col("at").alias("cursor_line"), F.struct("query_id", "here").alias("cursor_id"))
     local = lookup.local_definition_at(points, slim).select(
         "cursor_id.query_id", F.lit(LOCAL_FIRST if local_first else LOCAL_LAST).alias("priority"), F.col("cursor_id.here").alias("file_id"), "symbol_idx", "line"
     )
     found = (
-        of(cursors, best_by_name(cursors, g.join(in_deps, "file_id", "left_anti"), lines), WORKSPACE)
-        .unionByName(of(plain, best_by_name(plain, g.join(in_deps, "file_id", "left_semi"), lines), DEPENDENCY))
+        of(cursors, best_by_name(cursors, g.join(in_deps, "file_id", "left_anti"), opened), WORKSPACE)
+        .unionByName(of(plain, best_by_name(plain, g.join(in_deps, "file_id", "left_semi"), opened), DEPENDENCY))
         .unionByName(of(inside, field, FIELD)).unionByName(local)
     )
     return found.groupBy("query_id").agg(F.min(F.struct("priority", "file_id", "symbol_idx", "line")).alias("r")).select("query_id", "r.*")

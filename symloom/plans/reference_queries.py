@@ -13,7 +13,7 @@ from symloom import schema
 from symloom.functions import text
 from symloom.functions.paths import plain_path
 from symloom.operators import corpus, dependencies, fuzzy, lookup, manifest, parse, resolve
-from symloom.session import table
+from symloom.session import scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -486,6 +486,13 @@ _RANK = (
 )
 
 
+def _openers(spark: SparkSession, d: str) -> DataFrame:
+    """Written once, as several rankings ask it."""
+    place = scratch(spark, "openers")
+    lookup.openers(table(spark, d, "source_files")).write.parquet(place)
+    return spark.read.parquet(place)
+
+
 def _ranked(spark: SparkSession, d: str, extra=None) -> DataFrame:
     g = corpus.global_symbols(_symbols(spark, d)).select("file_id", "symbol_idx", "name", "line", "col", "container", "visibility")
     q = g.where(F.col("file_id") % STEP == 0).groupBy(F.col("file_id").alias("here"), "name").agg(F.max("container").alias("qualifier"))
@@ -493,7 +500,7 @@ def _ranked(spark: SparkSession, d: str, extra=None) -> DataFrame:
     if extra is not None:
         lang = _files(spark, d).select("file_id", corpus.family(F.col("ext")).alias("lang"))
         defs = defs.join(lang, "file_id", "left").join(lang.select(F.col("file_id").alias("here"), F.col("lang").alias("here_lang")), "here", "left")
-    return lookup.rank(defs, lookup.qualifier_in_source(defs, corpus.lines(_files(spark, d), "file_id")), extra)
+    return lookup.rank(defs, lookup.qualifier_in_source(defs, _openers(spark, d)), extra)
 
 
 @query(_w(_F, _S, _G, _L, _RANKQ, _OPEN, *_RANK) + "select here, name, file_id, symbol_idx, score, rank from ranked")
@@ -586,8 +593,9 @@ def _dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resolve(spark: SparkSession, d: str, local_first: bool) -> DataFrame:
-    lines = corpus.lines(_files(spark, d), "file_id")
-    found = resolve.resolve(_around(spark, d), _symbols(spark, d), _dependencies(spark, d), lines, local_first)
+    place = scratch(spark, "cursors")
+    _around(spark, d).write.parquet(place)  # a few columns per cursor, asked by each kind of candidate
+    found = resolve.resolve(spark.read.parquet(place), _symbols(spark, d), _dependencies(spark, d), _openers(spark, d), local_first)
     return found.select(F.col("query_id.file_id").alias("here"), F.col("query_id.symbol_idx").alias("cur"), "query_id.k", "priority", "file_id", "symbol_idx", "line")
 
 
@@ -964,13 +972,13 @@ def signature_help(spark, d):
     calls = parse.call_sites(corpus.lines(files, "file_id"))
     g = corpus.global_symbols(_symbols(spark, d)).where(F.col("signature").isNotNull()).select("file_id", "symbol_idx", "name", "line", "col", "container", "signature")
     deps = _dependencies(spark, d).select("file_id").distinct()
-    lines = corpus.lines(_files(spark, d), "file_id")
+    opened = _openers(spark, d)
     # the answer does not depend on the asking file: the best of each (callee, qualifier) is found once
     asked = calls.select(F.lit(None).cast("long").alias("here"), F.col("callee").alias("name"), "qualifier").distinct()
     key = F.coalesce("qualifier", F.lit("")).alias("_k")
     best = None
     for priority, index in enumerate((g.join(deps, "file_id", "left_anti"), g.join(deps, "file_id", "left_semi"))):
-        found = resolve.best_by_name(asked, index, lines).select("name", key, F.struct(F.lit(priority).alias("priority"), F.col("file_id").alias("def_file"), "symbol_idx").alias("r"))
+        found = resolve.best_by_name(asked, index, opened).select("name", key, F.struct(F.lit(priority).alias("priority"), F.col("file_id").alias("def_file"), "symbol_idx").alias("r"))
         best = found if best is None else best.unionAll(found)
     best = best.groupBy("name", "_k").agg(F.min("r").alias("r")).select("name", "_k", "r.def_file", "r.symbol_idx")
     best = best.join(g.select(F.col("file_id").alias("def_file"), "symbol_idx", "signature"), ["def_file", "symbol_idx"])

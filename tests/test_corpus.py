@@ -161,8 +161,11 @@ def test_ranking_prefers_qualifier_to_own_file(spark):
     )
     got = lookup.rank(d.withColumn("current_file", F.lit(2).cast("long"))).orderBy("rank").collect()
     assert [(r["file_id"], r["score"]) for r in got] == [(1, 4), (2, 2), (3, 0)]
-    lines = spark.createDataFrame([(3, 12, "impl<T> Mutex {"), (3, 9, "impl Mutex {"), (3, 11, "class MutexGuard")], "file_id long, line int, text string")
-    src = lookup.qualifier_in_source(d, lines)
+    source = "\n" * 9 + "impl Mutex {\n\nclass MutexGuard\n  impl<T> Mutex {\r\n"
+    deliveries = spark.createDataFrame([(3, 2, "h", source), (3, 2, "h", source), (3, 1, "g", "\n" * 38 + "impl Mutex"), (1, 1, "k", None)], "file_id long, mtime_ns long, content_hash string, content string")
+    opened = lookup.openers(deliveries)
+    assert sorted(tuple(r) for r in opened.collect()) == [(3, 9, "Mutex"), (3, 11, "MutexGuard"), (3, 12, "Mutex")]
+    src = lookup.qualifier_in_source(d, opened)
     assert [r["file_id"] for r in src.collect()] == [3]
     assert {r["file_id"]: r["score"] for r in lookup.rank(d, src).collect()} == {1: 6, 2: 0, 3: 4}
 
@@ -323,7 +326,7 @@ def test_resolution_by_context(spark):
         ],
         "query_id int, here long, at int, name string, qualifier string, context string",
     )
-    lines = spark.createDataFrame([], "file_id long, line int, text string")
+    lines = spark.createDataFrame([], "file_id long, _line int, qualifier string")
     deps = spark.createDataFrame([(9,)], "file_id long")
     go = {r["query_id"]: (r["file_id"], r["symbol_idx"]) for r in resolve.resolve(cursors, symbols, deps, lines).collect()}
     assert go == {0: (1, 0), 1: (2, 0), 2: (2, 0), 3: (1, 1), 4: (2, 1), 5: (3, 0), 6: (1, 2), 7: (1, 2), 8: (9, 0)}
