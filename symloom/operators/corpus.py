@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import text
 from symloom.schema import FAMILY_OF, LOCAL_KEYWORDS, SKIP_DIRS, lookup
+from symloom.session import scratch
 from symloom.sources.spread import spread, tasks
 
 
@@ -123,3 +124,21 @@ def runs(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 def word_hash_sets(files: DataFrame) -> DataFrame:
     """(file_id, words): sorted distinct identifiers of each file."""
     return files.select("file_id", F.array_sort(F.array_distinct(text.identifiers(F.col("content")))).alias("words"))
+
+
+def dense_numbers(rows: DataFrame, group: str, key: str, number: str) -> DataFrame:
+    """(group, key, number): the distinct keys of each group numbered from 1 in their order, null first.
+
+    Keys are divided by range over all tasks, so a group that holds most rows is numbered by many: each task numbers
+    its own part of a group, and begins where the parts before it end. The parts are written, so that they stay as they
+    were divided; of them one small row per group and task is summed in order.
+    """
+    spark, place = rows.sparkSession, scratch(rows.sparkSession, "numbers")
+    divided = rows.select(group, key).distinct().repartitionByRange(tasks(spark), group, key).withColumn("_p", F.spark_partition_id())
+    divided.write.parquet(place)
+    parts = spark.read.parquet(place)
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    own = parts.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_p").orderBy(key)))
+    both = own.alias("o").join(starts.alias("s"), (F.col("o._p") == F.col("s._p")) & F.col(f"o.{group}").eqNullSafe(F.col(f"s.{group}")))
+    return both.select(f"o.{group}", f"o.{key}", (F.col("_start") + F.col("_k")).alias(number))

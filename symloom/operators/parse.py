@@ -89,6 +89,25 @@ def parse_occurrences(files: DataFrame) -> DataFrame:
     return spread(files.select("file_id", "ext", "content")).mapInArrow(run, OCCURRENCE).dropDuplicates(["file_id", "line", "col"])
 
 
+def counters(files: DataFrame) -> DataFrame:
+    """(ext, files, bytes, comment_bytes, string_bytes, ident_ascii, ident_unicode) per ending with a lexer; each file
+    (file_id) counts once."""
+    names = ["bytes", "comment_bytes", "string_bytes", "ident_ascii", "ident_unicode"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, ext, source in zip(*(b.column(n).to_pylist() for n in ("file_id", "ext", "content")), strict=True):
+                if family := FAMILY_OF.get(ext or ""):
+                    found = lexer.counters(source or "", family)
+                    rows.append((i, ext, *(found[n] for n in names)))
+            types = (pa.int64(), pa.string(), *[pa.int64()] * len(names))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["file_id", "ext", *names])
+
+    counted = spread(files.select("file_id", "ext", "content")).mapInArrow(run, "file_id bigint, ext string, " + ", ".join(f"{n} bigint" for n in names))
+    return counted.dropDuplicates(["file_id"]).groupBy("ext").agg(F.count(F.lit(1)).alias("files"), *[F.sum(n).alias(n) for n in names])
+
+
 def distinct_contents(files: DataFrame) -> DataFrame:
     """Of all delivered rows those of one file for each (content, ending) that is current anywhere, the one of smallest
     file_id, so that equal contents are parsed once.

@@ -14,6 +14,7 @@ from symloom.functions import text
 from symloom.functions.paths import plain_path
 from symloom.operators import corpus, dependencies, fuzzy, lookup, manifest, parse, resolve
 from symloom.session import scratch, table
+from symloom.sources.spread import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -229,8 +230,8 @@ def unindex_file(spark, d):
 @query(f"with p as (select distinct worktree_key, {_PLAIN} as p from manifest) select worktree_key, p as rel_path, row_number() over (partition by worktree_key order by p) as file_no from p")
 def file_ids(spark, d):
     """A dense number per path of each worktree."""
-    p = table(spark, d, "manifest").select("worktree_key", plain_path(F.col("rel_path")).alias("rel_path")).distinct()
-    return p.withColumn("file_no", F.row_number().over(Window.partitionBy("worktree_key").orderBy("rel_path")).cast("long"))
+    paths = table(spark, d, "manifest").select("worktree_key", plain_path(F.col("rel_path")).alias("rel_path"))
+    return corpus.dense_numbers(paths, "worktree_key", "rel_path", "file_no")
 
 
 @query(_w(_F) + f"select word, count(distinct file_id) as files from (select file_id, unnest(regexp_extract_all(content, '{_IDENT}')) as word from f) group by all")
@@ -869,6 +870,15 @@ def registry_upsert(spark, d):
     return manifest.upsert(again.withColumn("generation", F.lit(0).cast("long")), again, ["worktree_key"]).groupBy("repo_id").agg(F.count(F.lit(1)).alias("worktrees"), F.max("last_seen").alias("last_seen"))
 
 
+@query(f"select a.repo_id, a.worktree_key as asked, b.worktree_key, b.working_dir, row_number() over (partition by a.repo_id, a.worktree_key order by b.last_seen desc, b.worktree_key) as rank from worktrees a join worktrees b using (repo_id)")
+def worktrees_for_repo(spark, d):
+    """All worktrees of the repository of each worktree, those seen last first."""
+    w = table(spark, d, "worktrees")
+    both = w.select("repo_id", F.col("worktree_key").alias("asked")).join(w.select("repo_id", "worktree_key", "working_dir", "last_seen"), "repo_id")
+    order = Window.partitionBy("repo_id", "asked").orderBy(F.col("last_seen").desc(), "worktree_key")
+    return both.withColumn("rank", F.row_number().over(order).cast("long")).drop("last_seen")
+
+
 _LADDER = "i as (select worktree_key, working_dir, case when last_seen % 3 = 0 then repo_id end as root_commits, case when last_seen % 2 = 0 then 'https://host.example' || working_dir end as remotes from worktrees)"
 
 
@@ -938,6 +948,25 @@ def parse_code(spark, d):
     return _parsed(spark, d).drop("doc_comment", "signature")
 
 
+@query()
+def parse_agreement(spark, d):
+    """How many of the functions, methods and types of the symbols table the parser finds in the current text, at the same
+    line and with the same kind, by language; kinds that the table does not know are left out."""
+    s = _symbols(spark, d).where(F.col("name").isNotNull() & F.col("kind").isin("Function", "Method", "Class", "Struct", "TypeAlias"))
+    files = table(spark, d, "source_files")
+    found = parse.parse_symbols(spread(files).withColumn("_at", F.col("mtime_ns")).withColumn("_hash", F.col("content_hash")).alias("r").join(corpus.newest(files).alias("n"), corpus.same_delivery("r", "n"), "left_semi"))
+    lang = _files(spark, d).select("file_id", corpus.family(F.col("ext")).alias("lang"))
+    hit = found.select("file_id", "line", "name", F.col("kind").alias("_kind")).dropDuplicates(["file_id", "line", "name"])
+    both = s.select("file_id", "line", "name", "kind").join(hit, ["file_id", "line", "name"], "left").join(lang, "file_id").where("lang is not null")
+    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("symbols"), F.count("_kind").alias("found"), F.sum((F.col("kind") == F.col("_kind")).cast("int")).alias("same_kind"))
+
+
+@query()
+def code_counters(spark, d):
+    """Bytes of comments and texts, and identifiers written in ASCII or not, by ending, of all distinct contents."""
+    return parse.counters(parse.distinct_contents(table(spark, d, "source_files")))
+
+
 @query()
 def doc_comments(spark, d):
     """Documentation of the symbols at the top level."""

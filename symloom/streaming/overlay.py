@@ -27,12 +27,15 @@ def fold(state: DataFrame | None, events: DataFrame) -> DataFrame:
 def run(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Keep the overlay up to date below `root`: each micro-batch writes the next generation; the newest one holds.
 
-    A batch that is replayed after a failure writes the same generation again. State is one row per path.
+    A batch that is replayed after a failure writes the same generation again. State is one row per path. Of older
+    generations the last one is kept, as it may still be read or be needed to replay.
     """
     spark = events.sparkSession
 
     def apply(batch: DataFrame, n: int) -> None:
         old = spark.read.parquet(f"{root}/{n - 1}") if n else None
         fold(old, batch).write.mode("overwrite").parquet(f"{root}/{n}")
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{n - 2}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -193,6 +193,34 @@ def test_scalars(spark):
     assert u == 4
 
 
+def test_parameters_against_brute_force(spark):
+    rng = random.Random(5)
+
+    def brute(sig):
+        if "(" not in sig or ")" not in sig or sig.rindex(")") < sig.index("("):
+            return []
+        out, depth, at = [], 0, ""
+        for c in sig[sig.index("(") + 1 : sig.rindex(")")]:
+            depth += (c in "<([") - (c in ">)]")
+            if c == "," and depth == 0:
+                out.append(at)
+                at = ""
+            else:
+                at += c
+        return [x.strip(" ") for x in [*out, at] if x.strip(" ")]
+
+    rows = ["".join(rng.choice(["(", ")", "<", ">", "[", "]", ",", ", ", "a", "b: i32", " "]) for _ in range(rng.randint(0, 16))) for _ in range(400)]
+    got = spark.createDataFrame([(r,) for r in rows], "s string").select("s", text.parameters(F.col("s"))).collect()
+    assert all(list(p) == brute(s) for s, p in got)
+
+
+def test_dense_numbers(spark):
+    rows = [("big", f"p{k:04}") for k in range(500)] * 2 + [("small", "x"), ("small", None), (None, "y")]
+    got = corpus.dense_numbers(spark.createDataFrame(rows, "g string, p string"), "g", "p", "n").collect()
+    want = {("big", f"p{k:04}", k + 1) for k in range(500)} | {("small", None, 1), ("small", "x", 2), (None, "y", 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_remotes(spark):
     urls = {"git@Github.com:Foo/Bar.git": "https://github.com/foo/bar", "https://x.y/A/": "https://x.y/a", " https://x.y/a.git ": "https://x.y/a"}
     from symloom.operators.identity import plain_remote

@@ -103,6 +103,8 @@ def test_tables(spark):
     occ = {(r["word"], r["line"], r["col"]): r["role"] for r in parse.parse_occurrences(parse.distinct_contents(df.where("file_id = 1"))).collect()}
     assert occ["f", 1, 7] == "Definition" and occ["g", 1, 18] == "Reference" and ("Doc", 0, 4) not in occ
     assert parse.parse_symbols(df.where("false")).collect() == []
+    counted = {r["ext"]: (r["files"], r["bytes"], r["comment_bytes"]) for r in parse.counters(df.where("mtime_ns <> 1")).collect()}
+    assert counted == {"rs": (1, len(doc), 8)}
 
 
 @pytest.mark.parametrize("family", ["rust", "clike", "go", "python", "jsts", "javacsharp", "ruby"])
