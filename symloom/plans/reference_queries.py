@@ -420,16 +420,10 @@ def enclosing_scope(spark, d):
     return lookup.enclosing_scopes(points, scopes).select("point_id.file_id", "point_id.symbol_idx", "depth", F.col("container.name").alias("container"))
 
 
-@query(
-    _w(_S)
-    + """select file_id, line, col, symbol_idx from (select *, row_number() over (partition by file_id, line, col order by container is not null desc, symbol_idx desc) as rn
-from (select file_id, line, col, symbol_idx, container from s union all select file_id, line, col, symbol_idx + 1000000, null from s)) where rn = 1"""
-)
+@query(_w(_S) + "select file_id, line, col, symbol_idx from (select *, row_number() over (partition by file_id, line, col order by container is not null desc, symbol_idx desc) as rn from s) where rn = 1")
 def dedup_same_position(spark, d):
-    """One of two captures at a position: the one with a container, else the later."""
-    s = _symbols(spark, d).select("file_id", "line", "col", "symbol_idx", "container")
-    twice = s.unionAll(s.select("file_id", "line", "col", (F.col("symbol_idx") + 1000000).alias("symbol_idx"), F.lit(None).cast("string").alias("container")))
-    return lookup.same_position_once(twice, "symbol_idx").drop("container")
+    """One of several symbols at a position: one with a container, else the last."""
+    return lookup.same_position_once(_symbols(spark, d).select("file_id", "line", "col", "symbol_idx", "container"), "symbol_idx").drop("container")
 
 
 @query(_w(_S) + "select file_id, symbol_idx, name, kind, line, col, container from s")
@@ -862,12 +856,16 @@ def meta_kv(spark, d):
     return table(spark, d, "manifest").groupBy("worktree_key").agg(F.max("generation").alias("generation"), (F.max("generation") + 1).alias("next_generation"), F.count(F.lit(1)).alias("row_count"))
 
 
-@query("select repo_id, count(*) as worktrees, max(last_seen) as last_seen from worktrees group by all")
+@query(
+    """with seen as (select worktree_key, floor(epoch(max(loaded_at)))::bigint as last_seen from manifest group by all)
+select w.repo_id, count(*) as worktrees, max(coalesce(seen.last_seen, w.last_seen)) as last_seen from worktrees w left join seen using (worktree_key) group by all"""
+)
 def registry_upsert(spark, d):
-    """Worktrees of each repository after all were seen again."""
-    w = table(spark, d, "worktrees")
-    again = w.withColumn("generation", F.col("last_seen")).withColumn("content_hash", F.col("working_dir"))
-    return manifest.upsert(again.withColumn("generation", F.lit(0).cast("long")), again, ["worktree_key"]).groupBy("repo_id").agg(F.count(F.lit(1)).alias("worktrees"), F.max("last_seen").alias("last_seen"))
+    """Worktrees of each repository, after those with rows in the manifest were seen again when these were loaded."""
+    w = table(spark, d, "worktrees").withColumn("generation", F.lit(0)).withColumn("content_hash", F.col("working_dir"))
+    seen = table(spark, d, "manifest").groupBy("worktree_key").agg(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.max("loaded_at")).alias("_seen"))
+    again = w.join(seen, "worktree_key").withColumn("last_seen", F.col("_seen")).drop("_seen")
+    return manifest.upsert(w, again.select(w.columns), ["worktree_key"]).groupBy("repo_id").agg(F.count(F.lit(1)).alias("worktrees"), F.max("last_seen").alias("last_seen"))
 
 
 @query(f"select a.repo_id, a.worktree_key as asked, b.worktree_key, b.working_dir, row_number() over (partition by a.repo_id, a.worktree_key order by b.last_seen desc, b.worktree_key) as rank from worktrees a join worktrees b using (repo_id)")
@@ -879,15 +877,22 @@ def worktrees_for_repo(spark, d):
     return both.withColumn("rank", F.row_number().over(order).cast("long")).drop("last_seen")
 
 
-_LADDER = "i as (select worktree_key, working_dir, case when last_seen % 3 = 0 then repo_id end as root_commits, case when last_seen % 2 = 0 then 'https://host.example' || working_dir end as remotes from worktrees)"
+#: Working directories as they are found: root commits, remotes, the folder all worktrees share, and the path.
+_FOUND = [("a", ["c2", "c1"], ["git@Host.Example:Org/A.git"], "/a/.git", "/a"), ("b", [], ["https://host.example/org/a/", "https://x.example/b"], "/b/.git", "/b"), ("c", [], [], "/c/.git", "/c/sub"), ("d", [], [], None, "/d")]
 
 
-@query(_w(_LADDER) + "select worktree_key, sha256(coalesce(root_commits || coalesce('|' || remotes, ''), remotes, working_dir)) as repo_id, case when root_commits is not null then 'commits' when remotes is not null then 'remotes' else 'path' end as source from i")
+@query(
+    """select k as worktree_key, sha256(p) as repo_id, s as source from (values ('a', 'c1' || chr(0) || 'c2' || chr(0) || 'https://host.example/org/a', 'commits'),
+ ('b', 'https://host.example/org/a' || chr(0) || 'https://x.example/b', 'remotes'), ('c', '/c/.git', 'path'), ('d', '/d', 'path')) as t (k, p, s)"""
+)
 def identity_ladder(spark, d):
-    """Identity of a repository: by its root commits, else its remotes, else its path."""
-    i = table(spark, d, "worktrees").select("worktree_key", "working_dir", F.when(F.col("last_seen") % 3 == 0, F.col("repo_id")).alias("root"), F.when(F.col("last_seen") % 2 == 0, F.concat(F.lit("https://host.example"), "working_dir")).alias("remotes"))
-    key = F.coalesce(F.concat("root", F.coalesce(F.concat(F.lit("|"), "remotes"), F.lit(""))), "remotes", "working_dir")
-    return i.select("worktree_key", F.sha2(key, 256).alias("repo_id"), F.when(F.col("root").isNotNull(), "commits").when(F.col("remotes").isNotNull(), "remotes").otherwise("path").alias("source"))
+    """Identity of a repository: by its root commits and remotes, else its remotes, else its path."""
+    found = spark.createDataFrame(_FOUND, "worktree_key string, roots array<string>, remotes array<string>, shared string, working_dir string")
+    remotes = F.array_sort(F.array_distinct(F.transform("remotes", text.normalize_remote)))
+    parts = F.concat(F.array_sort("roots"), remotes)
+    key = F.when(F.size(parts) > 0, F.array_join(parts, "\0")).otherwise(F.coalesce("shared", "working_dir"))
+    source = F.when(F.size("roots") > 0, "commits").when(F.size("remotes") > 0, "remotes").otherwise("path")
+    return found.select("worktree_key", F.sha2(key, 256).alias("repo_id"), source.alias("source"))
 
 
 # ---------------------------------------------------------------- statistics
