@@ -576,6 +576,7 @@ def python() -> Grammar:
     return Grammar(rules, brackets, classes, newline="\n", statements=("Stmt",), ends=("\n",))
 
 
+#: Items of lists are no multiple assignments: to look for one from each item on would take quadratic time in long lists.
 _RB_RULES = r"""
 Top <- Stmts
 Sep <- nl / ';'
@@ -616,8 +617,12 @@ CArg1 <- &(id / num / str / sym / gv / label) (label CAtom / splat? CAtom) (','
 CAtom <- (num / str+ / sym / 'self' / 'nil' / id <Paren>? / gv / <Arr>) CPost*
 CPost <- ('.' / '&.') (anyword / <Paren>) ('!' / '?')? (<Paren>)? / '::' anyword <Paren>? / <Arr> / <BlockB>
 Arg1 <- (label / str ':') nl* (Stmt)? / splat? Stmt ('=>' Stmt)? / splat
-Paren <- nl* (Arg1 ((',' / Sep)+ Arg1)* ','? Sep*)?
-Arr <- nl* (Arg1 (nl* ',' nl* Arg1)* ','? nl*)?
+Item <- (label / str ':') nl* (ItemS)? / splat? ItemS ('=>' ItemS)? / splat
+ItemS <- ItemL (mod Logic / 'rescue' Logic)*
+ItemL <- 'not'* ItemE (('and' / 'or') 'not'* ItemE)*
+ItemE <- Tern ((assign / '=') Rhs)*
+Paren <- nl* (Item ((',' / Sep)+ Item)* ','? Sep*)? !any / nl* (Arg1 ((',' / Sep)+ Arg1)* ','? Sep*)?
+Arr <- nl* (Item (nl* ',' nl* Item)* ','? nl*)?
 Arr0 <- 'never'
 NArr <- 'never'
 Pair <- nl* ((label / str ':') nl* Tern0? / '**' Tern / Tern0 '=>' nl* Tern0) nl*

@@ -6,7 +6,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -381,7 +381,7 @@ class Language:
 
     def __post_init__(self) -> None:
         self.grammar = GRAMMARS[self.name]()
-        self.lexer = re.compile(LEXERS[self.name])
+        self.lexer, self.literals = re.compile(LEXERS[self.name]), re.compile(LITERALS[self.name])
         self.classes = Classes(self.name, self.grammar)
         g = self.grammar
         c = lambda *tokens: "".join(g.chars[t] for t in tokens if t in g.chars)
@@ -419,7 +419,7 @@ class Language:
         may = _MAY_HOLD.get(self.name)
         if may is None or not (may in text if isinstance(may, str) else may.search(text)):
             return
-        literals = [(m.start(), m[0]) for m in self.lexer.finditer(text) if m.end() - m.start() > 3]
+        literals = [(m.start(), m[0]) for m in self.literals.finditer(text) if m.end() - m.start() > 3]
         if self.name == "ruby":
             literals += [(m.start(), '"' + m[0][1:] + '"') for m in _HEREDOC.finditer(text) if m[1] != "'"]
         for start, literal in literals:
@@ -544,11 +544,17 @@ def failure(text: str, name: str, explain: bool = True) -> Failure | None:
         if at >= 0:
             return Failure(at, _line(lang, reading, at), _cause(lang, text, tokens, at)) if explain else Failure(at, None, None)
     for at, code in lang.held(text):
-        if failure(code, name, False):
+        if not _parses(code, name):
             return Failure(None, len(re.findall(r"\r\n|\n|\r", text[:at])), "unexpected token") if explain else Failure(None, None, None)
     return None
 
 
+@lru_cache(50_000)
+def _parses(code: str, name: str) -> bool:
+    """The same pieces of code stand in many literals."""
+    return failure(code, name, False) is None
+
+
 def _line(lang: Language, text: str, at: int) -> int:
     """The line, from 0, of a token: the fewest lines from the start whose tokens reach it, of those that end no token."""
     text = lang.prepared(text)
