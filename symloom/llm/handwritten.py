@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -74,11 +75,42 @@ _PHRASES = re.compile(
 )
 
 
+#: Each of the phrases holds one of these, or is looked for by itself: only lines that hold one are searched.
+_ANCHORS = (
+    "written", "produced", "created", "emitted", "rendered", "synthesi", "transpiled", "compiled", "built", "made", "output", "product", "cré", "cree", "creé", "cread", "edit", "modif", "change", "touch",
+    "snapshot", "copy", "mirror", "fork", "import", "clone", "release", "drop", "third", "author", "maintain", "project", "repositor", "contributor", "developer", "local", "next", "kopie", "copi", "repris",
+    "tire", "tiré", "tomad", "traíd", "traid", "cambios", "part", "teil", "projet", "proyecto",
+)
+_ALONE = (re.compile(r"as[\s-]is"), re.compile(r"\.\d+\s*[|(][^\n]*(?:licen|mit|bsd|apache)"))
+
+
+@cache
+def _automaton() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for a in _ANCHORS:
+        found.add_word(a, False)
+    for h in _HINTS:
+        found.add_word(h, True)
+    found.make_automaton()
+    return found
+
+
 def _hinted(text: str) -> bool:
+    """Whether any line may be one that a rule accepts: one pass over the text for all words, and the phrases in the
+    lines that hold one of theirs."""
     lower = text.lower()
     if not lower.isascii():  # letters that rules without letter case take for others
         lower = lower.replace("ſ", "s").replace("ı", "i").replace("i̇", "i")
-    return any(h in lower for h in _HINTS) or _PHRASES.search(lower) is not None
+    searched = -1
+    for end, enough in _automaton().iter(lower):
+        if enough:
+            return True
+        if end > searched:
+            searched = lower.find("\n", end)
+            searched = len(lower) if searched < 0 else searched
+            if _PHRASES.search(lower, lower.rfind("\n", 0, end) + 1, searched):
+                return True
+    return any(p.search(lower) for p in _ALONE)
 
 
 _BANNER = re.compile(r"(?im)^[\s/*#;!<>\-]*[\w.+-]+\s+v?\d+(?:\.\d+)+\s*[|(][^\n]*(?:licen[sc]ed?|\bMIT\b|\bBSD\b|Apache)")
@@ -110,7 +142,6 @@ DATA_LITERALS, DATA_SHARE = 40, 0.91
 #: Contents with fewer characters than this are too common to show where they came from.
 LEAST_WEIGHT = 48
 _LINE_END = re.compile(r"[ \t]*(?:\r\n|\r|\n)")
-_BLANKS = re.compile(r"\s+")
 _DQ = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 
 
@@ -182,8 +213,9 @@ def evidence(path: str, text: str | None) -> str | None:
 
 def signature(text: str) -> tuple[bytes, int]:
     """A hash of a content apart from line ends and blanks before them, and its number of visible characters."""
-    plain = _LINE_END.sub("\n", text).strip("\ufeff\n ")
-    return xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass")), len(_BLANKS.sub("", plain))
+    plain = _LINE_END.sub("\n", text) if "\r" in text or " \n" in text or "\t\n" in text else text
+    plain = plain.strip("\ufeff\n ")
+    return xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass")), sum(map(len, plain.split()))
 
 
 def file_evidence(files: DataFrame, newest: str = "mtime_ns") -> DataFrame:
