@@ -40,6 +40,14 @@ SENTENCE_END = re.compile(r"(?<=[.!?;:…])[\"'”’)\]]*\s+|(?<=[。！？；]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Names(dict):
+    """A number for each word of a text, 0 for all numbers."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = 0 if word[0].isnumeric() else len(self) + 1
+        return n
+
+
 class Segments:
     """Words of a text, and its lines, sentences and paragraphs."""
 
@@ -48,16 +56,15 @@ class Segments:
     def __init__(self, text: str):
         ids: list[int] = []
         lengths: list[int] = []
-        names: dict[str, int] = {"#": 0}
         self.units: list[tuple[int, int]] = []  # lines, sentences and paragraphs, as ranges of words
-        paragraph, name = 0, names.setdefault
-        find = ASCII_WORD.findall if text.isascii() else WORD.findall
+        paragraph, number = 0, _Names().__getitem__
+        ascii_words, all_words = ASCII_WORD.findall, WORD.findall
         for line in [*BREAK.split(text.lower()), ""]:
             begin = len(ids)
             for part in SENTENCE_END.split(line) if line else ():
                 sentence = len(ids)
-                words = find(part)
-                ids += [0 if w[0].isnumeric() else name(w, len(names)) for w in words]
+                words = ascii_words(part) if part.isascii() else all_words(part)
+                ids += map(number, words)
                 lengths += map(len, words)
                 if words:
                     self.units.append((sentence, len(ids)))
