@@ -39,14 +39,14 @@ def pattern(family: str) -> re.Pattern:
     return re.compile(PATTERNS[family])
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
     at: int
 
 
-@dataclass
+@dataclass(slots=True)
 class Symbol:
     name: str
     kind: str

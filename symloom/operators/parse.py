@@ -29,6 +29,12 @@ def _lines(source: str) -> tuple[list[str], list[int]]:
     return [x.removesuffix("\r") for x in source.split("\n")], starts
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows in the order of the schema's columns."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def parse_symbols(files: DataFrame) -> DataFrame:
     """Symbols of each file (file_id, ext, content), one row each, with documentation at the top level and signatures.
 
@@ -48,12 +54,10 @@ def parse_symbols(files: DataFrame) -> DataFrame:
                 for k, s in enumerate(lexer.symbols(source, family)):
                     line = bisect_right(starts, s.at) - 1
                     end = None if s.end_at is None or s.depth == 0 else bisect_right(starts, s.end_at) - 1
-                    rows.append({
-                        "file_id": i, "symbol_idx": k, "name": s.name, "kind": s.kind, "line": line, "col": len(source[starts[line] : s.at].encode()), "def_keyword": s.def_keyword,
-                        "doc_comment": enrich.doc_comment(lines, line, family) if s.depth == 0 else None, "signature": enrich.signature(lines, line, family),
-                        "visibility": s.visibility, "container": s.container, "depth": s.depth, "scope_end_line": end, "type_text": s.type_text,
-                    })
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                    doc = enrich.doc_comment(lines, line, family) if s.depth == 0 else None
+                    col = len(source[starts[line] : s.at].encode())
+                    rows.append((i, k, s.name, s.kind, line, col, s.def_keyword, doc, enrich.signature(lines, line, family), s.visibility, s.container, s.depth, end, s.type_text))
+            yield _batch(rows, schema)
 
     return spread(files.select("file_id", "ext", "content")).mapInArrow(run, PARSED).dropDuplicates(["file_id", "symbol_idx"])
 
@@ -83,8 +87,8 @@ def parse_occurrences(files: DataFrame) -> DataFrame:
                     if len(hashes) > 200_000:
                         hashes.clear()
                     h = hashes.get(word) or hashes.setdefault(word, fnv(word))
-                    rows.append({"file_id": i, "word": word, "word_hash": h, "line": line, "col": len(source[starts[line] : at].encode()), "len": len(word.encode()), "role": "Definition" if at in defined else "Reference"})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows.append((i, word, h, line, len(source[starts[line] : at].encode()), len(word.encode()), "Definition" if at in defined else "Reference"))
+            yield _batch(rows, schema)
 
     return spread(files.select("file_id", "ext", "content")).mapInArrow(run, OCCURRENCE).dropDuplicates(["file_id", "line", "col"])
 

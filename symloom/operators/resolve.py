@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.operators import lookup
 from symloom.operators.corpus import global_symbols
+from symloom.session import scratch
 
 SYMBOL = ["file_id", "symbol_idx", "name", "line", "col", "container"]
 #: Which candidates hold where others are too: fields of the file, then the workspace, then its dependencies. The local
@@ -14,6 +15,12 @@ SYMBOL = ["file_id", "symbol_idx", "name", "line", "col", "container"]
 FIELD, WORKSPACE, DEPENDENCY, LOCAL_FIRST, LOCAL_LAST = 0, 1, 2, 0, 4
 
 
+def _written(rows: DataFrame, purpose: str) -> DataFrame:
+    place = scratch(rows.sparkSession, purpose)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.parquet(place)
+
+
 def _key() -> Column:
     """Null qualifiers join as such."""
     return F.coalesce("qualifier", F.lit(""))
@@ -48,9 +55,11 @@ def resolve(cursors: DataFrame, symbols: DataFrame, dependencies: DataFrame, ope
     of `dependencies` (file_id); without `local_first`, the local comes last. Candidates of the first kind that has any
     are ranked by file and qualifier. Cursors without a name, and names without a definition, give no row.
     """
-    slim = symbols.select(*SYMBOL, "def_keyword", "depth", "scope_end_line")
-    g = global_symbols(slim).select(*SYMBOL)
-    in_deps = dependencies.select("file_id").distinct()
+    # written once: each kind of candidate reads a part of it, and no plan repeats what stands before
+    in_deps = dependencies.select("file_id").distinct().withColumn("_dep", F.lit(True))
+    slim = _written(symbols.select(*SYMBOL, "def_keyword", "depth", "scope_end_line").join(in_deps, "file_id", "left"), "symbols")
+    g = global_symbols(slim).select(*SYMBOL, "_dep")
+    workspace, deps = g.where("_dep is null").drop("_dep"), g.where("_dep").drop("_dep")
     plain = cursors.where(F.col("context").isin("FunctionCall", "Plain"))
     keys = ["here", "name", "_k"]
 
@@ -68,8 +77,8 @@ def resolve(cursors: DataFrame, symbols: DataFrame, dependencies: DataFrame, ope
         "cursor_id.query_id", F.lit(LOCAL_FIRST if local_first else LOCAL_LAST).alias("priority"), F.col("cursor_id.here").alias("file_id"), "symbol_idx", "line"
     )
     found = (
-        of(cursors, best_by_name(cursors, g.join(in_deps, "file_id", "left_anti"), opened), WORKSPACE)
-        .unionByName(of(plain, best_by_name(plain, g.join(in_deps, "file_id", "left_semi"), opened), DEPENDENCY))
+        of(cursors, _written(best_by_name(cursors, workspace, opened), "best"), WORKSPACE)
+        .unionByName(of(plain, _written(best_by_name(plain, deps, opened), "best"), DEPENDENCY))
         .unionByName(of(inside, field, FIELD)).unionByName(local)
     )
     return found.groupBy("query_id").agg(F.min(F.struct("priority", "file_id", "symbol_idx", "line")).alias("r")).select("query_id", "r.*")
