@@ -133,29 +133,38 @@ def newest_spans(found: DataFrame, files: DataFrame, newest: str = "mtime_ns") -
     return once.alias("f").join(last.alias("l"), same, "left_semi")
 
 
-def attached_comments(found: DataFrame) -> DataFrame:
+def attached_comments(found: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """As-of interval join of functions and comments: (file_id, line, name, doc_line, doc_last, text), one row per function.
 
     In the order of lines, a function takes the next docstring below it, or failing that, the last comment that ended
-    before it; either only if as many code lines stand before both, that is, if no statement intervenes.
+    before it; either only if as many code lines stand before both, that is, if no statement intervenes. Of several
+    functions on one line the last in this order holds.
+
+    With `symbols` (file_id, line, ...) the rows are these instead, with their columns and those of the function on their
+    line, null where there is none. They stand in the same order behind the functions of their line, so files are brought
+    together once for both joins. Symbols without a line are kept.
     """
-    file = Window.partitionBy("file_id")
-    order = file.orderBy("line", F.when(F.col("what") == "d", 2).when(F.col("what") == "f", 1).otherwise(0), "last", "at", "text")
+    extra = [] if symbols is None else [c for c in symbols.columns if c not in ("file_id", "line")]
+    rows = found.select("file_id", "what", "line", "last", "code", "name", "text", "at", F.lit(None).cast("boolean").alias("_s") if symbols is None else F.lit(None).cast(symbols.schema.simpleString()).alias("_s"))
+    if symbols is not None:
+        null = lambda c: F.lit(None).cast(found.schema[c].dataType).alias(c)
+        whole = F.struct(*[F.col(c) for c in symbols.columns]).cast(symbols.schema.simpleString())
+        rows = rows.unionAll(symbols.select("file_id", F.lit("s").alias("what"), "line", *map(null, ("last", "code", "name", "text", "at")), whole.alias("_s")))
+    place = F.when(F.col("what") == "d", 3).when(F.col("what") == "s", 2).when(F.col("what") == "f", 1).otherwise(0)
+    order = Window.partitionBy("file_id").orderBy("line", place, "last", "at", "text", "name")
+    upto, before, after = (order.rowsBetween(*x) for x in ((Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
     comment = F.when(F.col("what") == "c", F.struct("line", "last", "code", "text"))
     docstring = F.when(F.col("what") == "d", F.struct("line", "last", "code", "text"))
-    above = F.last(comment, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    below = F.first(docstring, True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    placed = (
-        found.select("file_id", "what", "line", "name", "code", above.alias("a"), below.alias("b"))
-        .where(F.col("what") == "f")
-    )
-    a, b = F.col("a"), F.col("b")
+    placed = rows.withColumns({"_a": F.last(comment, True).over(before), "_b": F.first(docstring, True).over(after)})
+    a, b = F.col("_a"), F.col("_b")
     pick = F.when(b["code"] == F.col("code"), b).when((a["code"] == F.col("code")) & (a["last"] < F.col("line")), a)
-    return (
-        placed.select("file_id", "line", "name", pick.alias("d"))
-        .groupBy("file_id", "line").agg(F.max(F.struct("d", "name")).alias("r"))
-        .select("file_id", "line", "r.name", F.col("r.d.line").alias("doc_line"), F.col("r.d.last").alias("doc_last"), F.col("r.d.text").alias("text"))
-    )
+    function = F.when(F.col("what") == "f", F.struct("line", "name", pick.alias("d")))
+    if symbols is None:
+        one = placed.where(F.col("what") == "f").select("file_id", function.alias("_f"), F.lead("line").over(order).alias("_next")).where(F.col("_next").isNull() | (F.col("_next") != F.col("_f.line")))
+        return one.select("file_id", "_f.line", "_f.name", F.col("_f.d.line").alias("doc_line"), F.col("_f.d.last").alias("doc_last"), F.col("_f.d.text").alias("text"))
+    there = placed.withColumn("_f", F.last(function, True).over(upto)).where(F.col("what") == "s")
+    here = F.when(F.col("_f.line") == F.col("line"), F.col("_f.d"))
+    return there.select("file_id", "line", *[F.col("_s")[c].alias(c) for c in extra], here["line"].alias("doc_line"), here["last"].alias("doc_last"), here["text"].alias("source_comment"))
 
 
 def is_function(kind: Column, signature: Column, keyword: Column) -> Column:
@@ -175,11 +184,9 @@ _SIGNATURE_NAME = re.compile(r"(?:\b(?:fn|func|def|function)\s+(?:\([^)]*\)\s*)?
 
 
 def function_symbols(symbols: DataFrame) -> DataFrame:
-    """Functions and methods that were delivered with a comment, one row per (file_id, symbol_idx): of differing
-    deliveries the one with the largest comment, line and so on, so that their order changes nothing."""
+    """Functions and methods that were delivered with a comment."""
     wanted = symbols.where(F.col("doc_comment").isNotNull() & is_function(F.col("kind"), F.col("signature"), F.col("def_keyword")))
-    row = F.max(F.struct("doc_comment", "line", "kind", "name", "signature")).alias("r")
-    return wanted.groupBy("file_id", "symbol_idx").agg(row).select("file_id", "symbol_idx", "r.*")
+    return wanted.select("file_id", "line", "symbol_idx", "kind", "name", "signature", "doc_comment")
 
 
 def with_description(pairs: DataFrame) -> DataFrame:
@@ -212,8 +219,14 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     symbol delivered without a comment is no pair, as what stands above it there may be about something else.
     Null comments, empty tables and symbols without a file give defined results: no pair, no rows, a pair without lines.
     """
-    placed = attached_comments(newest_spans(extract_spans(files), files)).select("file_id", "line", "doc_line", "doc_last", F.col("text").alias("source_comment"))
-    joined = function_symbols(symbols).join(placed, ["file_id", "line"], "left")
-    return with_description(joined).select(
+    wanted = function_symbols(symbols)
+    joined = attached_comments(newest_spans(extract_spans(files), files), wanted.where(F.col("file_id").isNotNull()))
+    null = lambda c: F.lit(None).cast(joined.schema[c].dataType).alias(c)
+    # however many symbols have no file, they are no group of their own
+    joined = joined.unionByName(wanted.where(F.col("file_id").isNull()).select("*", *map(null, ("doc_line", "doc_last", "source_comment"))))
+    # rows given twice fold where they are; of differing ones the largest holds, so that their order changes nothing
+    row = F.max(F.struct("doc_comment", "line", "kind", "name", "signature", "doc_line", "doc_last", "source_comment")).alias("r")
+    once = joined.groupBy("file_id", "symbol_idx").agg(row).select("file_id", "symbol_idx", "r.*")
+    return with_description(once).select(
         "file_id", "symbol_idx", "name", "kind", "signature", "description", "doc_line", "doc_last", F.col("source_comment").isNotNull().alias("from_source")
     )

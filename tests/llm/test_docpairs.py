@@ -60,7 +60,7 @@ def test_the_attached_comment_decides(spark, monkeypatch):
     assert found() == {1: ("Waits for the lock.", True), 2: ("Told once.", False)}
     # without the join, other rows come out
     join = D.attached_comments
-    monkeypatch.setattr(D, "attached_comments", lambda f: join(f.where("false")))
+    monkeypatch.setattr(D, "attached_comments", lambda f, s: join(f.where("false"), s))
     assert found() == {0: ("Takes the lock.", False), 2: ("Told once.", False)}
 
 
