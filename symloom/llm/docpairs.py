@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,14 +104,28 @@ def spans(path: str, text: str) -> Iterator[tuple[str, int, int, int, str | None
             yield "c", a, b, before[b + 1] if b + 1 < len(before) else before[-1], None, t
 
 
+#: Deliveries that a task remembers, to pass over the same one when it comes again.
+_REMEMBERED = 200_000
+
+
 def extract_spans(files: DataFrame, newest: str = "mtime_ns") -> DataFrame:
-    """Spans of every delivered row; contents stay where they are read. Null contents have none."""
+    """Spans of every delivered row; contents stay where they are read. Null contents, and rows without file_id, have none.
+    A delivery that comes again in the same task gives no further spans."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
             for i, at, p, t in zip(*(b.column(n).to_pylist() for n in ("file_id", "_at", "rel_path", "content")), strict=True):
-                for what, a, z, code, name, text in spans(p or "", t) if t else ():
+                if not t or i is None:
+                    continue
+                delivery = (i, at, p, xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
+                if delivery in seen:
+                    continue
+                if len(seen) >= _REMEMBERED:
+                    seen.clear()
+                seen.add(delivery)
+                for what, a, z, code, name, text in spans(p or "", t):
                     for column, value in zip(out, (i, at, what, a, z, code, name, text), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -124,13 +139,13 @@ def extract_spans(files: DataFrame, newest: str = "mtime_ns") -> DataFrame:
 def newest_spans(found: DataFrame, files: DataFrame, newest: str = "mtime_ns") -> DataFrame:
     """The spans of each file's newest delivery, each once.
 
-    Equal spans fold before the shuffle, and older deliveries leave by an equi-join on (file_id, time), so however often
-    one file is delivered, its windows hold no more than one file's spans.
+    Files meet the time of their newest delivery by their id alone, so that folding equal spans, and the windows that
+    follow, find them where they are: spans are shuffled once. A null time is older than any other.
     """
-    last = files.groupBy("file_id").agg(F.max(newest).alias("at"))
-    once = found.dropDuplicates(["file_id", "at", "what", "line", "last", "code", "name", "text"])
-    same = F.col("f.file_id").eqNullSafe(F.col("l.file_id")) & F.col("f.at").eqNullSafe(F.col("l.at"))
-    return once.alias("f").join(last.alias("l"), same, "left_semi")
+    last = files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max(newest).alias("_last"))
+    # the one row per file holds its latest time: not before it is at it
+    current = F.col("_last").isNull() | (F.col("at") >= F.col("_last"))
+    return found.join(last, "file_id").where(current).drop("_last").dropDuplicates(["file_id", "at", "what", "line", "last", "code", "name", "text"])
 
 
 def attached_comments(found: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
