@@ -373,7 +373,9 @@ def completion_top20(spark, d):
     best = lookup.top(g.withColumn("score", lookup.visibility_rank(F.col("visibility"))), ["name"], key, 1).drop("rank")
     last = [F.col("score").desc(), F.col("name"), F.col("file_id"), F.col("symbol_idx")]
     far = q.join(lookup.top(hits.join(best, "name"), ["query"], last, 20).drop("rank"), "query")
-    own = q.join(hits, "query").join(g.withColumnRenamed("file_id", "here"), ["name", "here"]).withColumn("file_id", F.col("here"))
+    # names of asking files alone meet the hits, and then their own cursors
+    inside = g.withColumnRenamed("file_id", "here").join(q.select("here").distinct(), "here", "left_semi")
+    own = hits.join(inside, "name").join(q, ["here", "query"]).withColumn("file_id", F.col("here"))
     own = own.withColumn("score", score)
     rows = far.select("here", "query", "name", "file_id", "symbol_idx", "score").unionByName(own.select("here", "query", "name", "file_id", "symbol_idx", "score"))
     once = lookup.top(rows, ["here", "query", "name"], key, 1).drop("rank")
