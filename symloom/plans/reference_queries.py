@@ -39,6 +39,13 @@ def _symbols(spark: SparkSession, d: str) -> DataFrame:
     return corpus.symbol_rows(table(spark, d, "symbols"))
 
 
+def _once(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written to the shared folder and read from there."""
+    place = scratch(rows.sparkSession, purpose)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.parquet(place)
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -362,9 +369,11 @@ where rn = 1) where rank <= 20"""
 def completion_top20(spark, d):
     """Completions seen from a file: its own private names first, then public ones; each name once, twenty per cursor."""
     s = _symbols(spark, d)
-    g = corpus.global_symbols(s).select("name", "file_id", "symbol_idx", "visibility")
+    # what several steps read is written once, so that no plan repeats what stands before
+    g = _once(corpus.global_symbols(s).select("name", "file_id", "symbol_idx", "visibility"), "globals")
     q = s.where((F.col("file_id") % STEP == 0) & (F.char_length("name") >= 5)).select(F.col("file_id").alias("here"), F.substring("name", 1, 5).alias("query")).distinct()
-    hits = fuzzy.completions(q.select("query").distinct(), g.select("name").distinct())
+    q = _once(q, "cursors")
+    hits = _once(fuzzy.completions(q.select("query").distinct(), g.select("name").distinct()), "hits")
     score = F.when((F.col("file_id") == F.col("here")) & (F.col("visibility") == "Private"), 3).otherwise(lookup.visibility_rank(F.col("visibility")))
     # a name needs one definition per cursor: its best elsewhere is found once, and the twenty best names of each query,
     # before cursors multiply them; names of the cursor's own file, which may rank higher there, are joined for
@@ -485,9 +494,7 @@ _RANK = (
 
 def _openers(spark: SparkSession, d: str) -> DataFrame:
     """Written once, as several rankings ask it."""
-    place = scratch(spark, "openers")
-    lookup.openers(table(spark, d, "source_files")).write.parquet(place)
-    return spark.read.parquet(place)
+    return _once(lookup.openers(table(spark, d, "source_files")), "openers")
 
 
 def _ranked(spark: SparkSession, d: str, extra=None) -> DataFrame:
@@ -590,9 +597,8 @@ def _dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resolve(spark: SparkSession, d: str, local_first: bool) -> DataFrame:
-    place = scratch(spark, "cursors")
-    _around(spark, d).write.parquet(place)  # a few columns per cursor, asked by each kind of candidate
-    found = resolve.resolve(spark.read.parquet(place), _symbols(spark, d), _dependencies(spark, d), _openers(spark, d), local_first)
+    cursors = _once(_around(spark, d), "cursors")  # a few columns each, asked by each kind of candidate
+    found = resolve.resolve(cursors, _symbols(spark, d), _dependencies(spark, d), _openers(spark, d), local_first)
     return found.select(F.col("query_id.file_id").alias("here"), F.col("query_id.symbol_idx").alias("cur"), "query_id.k", "priority", "file_id", "symbol_idx", "line")
 
 
