@@ -70,6 +70,11 @@ def lines(files: DataFrame, *keep: str) -> DataFrame:
 WORDS_SENT = 32 << 20
 
 
+def few(words: DataFrame) -> bool:
+    """Whether words (word) are measured to be few enough to send to all workers."""
+    return (words.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= WORDS_SENT
+
+
 def runs(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(file_id, word, line, col, len) of every maximal run of letters, digits and `_` in the current contents; columns and
     lengths in bytes. `wanted` (word) keeps only these words.
@@ -85,8 +90,7 @@ def runs(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     words = None
     if wanted is not None:
         wanted = wanted.select("word").where(F.col("word").isNotNull()).distinct()
-        size = wanted.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
-        if size <= WORDS_SENT:
+        if few(wanted):
             words = spark.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect()))
 
     def batch(columns: list[list]) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import text
-from symloom.operators.corpus import is_local, newest, runs, same_delivery
+from symloom.operators.corpus import few, is_local, newest, runs, same_delivery
 from symloom.operators.intervals import innermost
 from symloom.schema import VISIBILITY_RANK, lookup
 from symloom.session import scratch
@@ -118,7 +118,8 @@ def references(queries: DataFrame, files: DataFrame, postings: DataFrame | None
         return runs(files, asked).select("word", "file_id", "line", "col", "len")
     # written once: which words have postings, which files to scan, and which hits hold all ask it
     place = scratch(files.sparkSession, "postings")
-    postings.join(asked, "word").select("word", "file_id").distinct().write.parquet(place)
+    # few words, as measured, go to the postings; postings are not shuffled to meet them
+    postings.join(F.broadcast(asked) if few(asked) else asked, "word").select("word", "file_id").distinct().write.parquet(place)
     known = files.sparkSession.read.parquet(place)
     listed = known.select("word").distinct()
     hits = runs(spread(files).join(known.select("file_id").distinct(), "file_id", "left_semi"), listed).join(known, ["word", "file_id"], "left_semi")
