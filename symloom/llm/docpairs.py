@@ -16,17 +16,29 @@ from symloom.llm.doctext import description
 from symloom.llm.syntax import ENDINGS, LITERALS
 from symloom.sources.spread import spread
 
-#: How a definition of a function begins, by language family; group 1 is its name.
+#: How a definition of a function begins, by language family; the group that is not null is its name. No two
+#: repetitions that follow each other can share characters in more than one way, so a line takes time in proportion to its length.
 _KEYWORD_DEF = {
     "python": r"^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)",
     "ruby": r"^[ \t]*def[ \t]+(?:self\.)?(\w+[?!=]?)",
     "go": r"^func[ \t]*(?:\([^)\n]*\)[ \t]*)?(\w+)",
     "rust": r"^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern(?:[ \t]+\"[^\"\n]*\")?)[ \t]+)*fn[ \t]+(\w+)",
-    "javascript": r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?(?:function[ \t]*\*?[ \t]*(\w+)|(?:(?:static|async|get|set|public|private|protected|readonly)[ \t]+)*\*?#?((?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|with\b|await\b|new\b|typeof\b)\w+)[ \t]*\([^;\n]*\)[ \t]*(?::[^{;\n]+)?\{[ \t]*$|(?:const|let|var)[ \t]+(\w+)[ \t]*=[ \t]*(?:async[ \t]*)?(?:function\b|\([^;\n]*\)[ \t]*=>|\w+[ \t]*=>))",
-    "c": r"^[ \t]*(?!return\b|else\b|if\b|for\b|while\b|switch\b|do\b|case\b|goto\b|typedef\b|delete\b|throw\b|new\b|using\b)(?:[\w:<>,~*&\[\]]+[ \t*&]+)+\*?((?:\w+::)*~?\w+)[ \t]*\([^;{}=\n]*\)?[^;=\n]*$",
+    "javascript": r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?(?:function[ \t]*\*?[ \t]*(\w+)|(?:(?:static|async|get|set|public|private|protected|readonly)[ \t]+)*\*?#?((?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|with\b|await\b|new\b|typeof\b)\w+)[ \t]*\((?=[^;\n]*+$)(?:[^{\n]*+\{(?![ \t]*$))*+[^{\n]*\)[ \t]*(?::[^{\n]+)?\{[ \t]*$|(?:const|let|var)[ \t]+(\w+)[ \t]*=[ \t]*(?:async[ \t]*)?(?:function\b|\([^;\n]*\)[ \t]*=>|\w+[ \t]*=>))",
+    "c": r"^[ \t]*+(?!return\b|else\b|if\b|for\b|while\b|switch\b|do\b|case\b|goto\b|typedef\b|delete\b|throw\b|new\b|using\b)[\w:<>,~*&\[\]][\w:<>,~*&\[\] \t]*[ \t*&]((?:\w+::)*~?\w+)[ \t]*\([^;=\n]*+$",
 }
-_KEYWORD_DEF["java"] = r"^[ \t]*(?!return\b|else\b|if\b|for\b|while\b|switch\b|do\b|case\b|throw\b|new\b|using\b|catch\b|assert\b|await\b|yield\b)(?:[\w<>,.?\[\]@]+[ \t]+)*(\w+)[ \t]*\([^;{}\n]*\)?[^;\n]*\{?[ \t]*$"
+_KEYWORD_DEF["java"] = r"^[ \t]*+(?!return\b|else\b|if\b|for\b|while\b|switch\b|do\b|case\b|throw\b|new\b|using\b|catch\b|assert\b|await\b|yield\b)(?:[\w<>,.?\[\]@]+[ \t]+)*(\w+)[ \t]*\([^;\n]*+$"
 _KEYWORD_DEF["csharp"] = _KEYWORD_DEF["java"]
+#: One of these words is in a line that begins a definition.
+_NEEDED = {"python": ("def",), "ruby": ("def",), "go": ("func",), "rust": ("fn",), "javascript": ("(", "=>", "function"), "c": ("(",), "java": ("(",), "csharp": ("(",)}
+#: C's characters in time that follows the line: after an escape, what is no quote belongs to the literal in one way only.
+_C_CHAR = (r"'(?:[^'\\\n\r]|\\.[^'\n\r]*)+'", r"'(?!')[^'\\\n\r]*+(?:\\.(?:[^'\\\n\r]|\\\r?)*+)?'")
+#: Text in which no comment or literal begins, by language; it is passed over at once.
+_PLAIN = {
+    "c": r"(?:[^/\"'uULR]++|u(?!8?[\"'])|[ULR](?![\"']))*+", "java": r"[^/\"'@$]*+", "csharp": r"[^/\"'@$]*+", "javascript": r"[^/\"'`]*+", "go": r"[^/\"'`]*+", "rust": r"(?:[^/\"'#bcr]++|[bcr]++(?![#\"']))*+",
+    "python": r"(?:[^#\"'rRbBuUfF]++|[rRbBuUfF]++(?![\"']))*+", "ruby": r"(?:[^#\"'`%/=_]++|=(?!begin)|_(?!_END__))*+",
+}
+_CLOSED = r"/\*[\s\S]*?\*/|"
+_CONFLICT = tuple(c * 7 for c in "<=>|")
 #: Lines that may stand between a comment and its function: attributes, annotations, templates, modifiers.
 _BETWEEN = re.compile(r"^\s*(?:@[\w.]+(?:\(.*\))?|#!?\[.*\]|\[\[?[\w:. ,()\"=]+\]\]?|template\s*<.*>|(?:public|private|protected|static|export|default|inline|extern(?:\s+\"C\")?|virtual|async|pub)(?:\s+(?:public|private|protected|static|inline|virtual))*)\s*$")
 _OPENS, _CLOSES = re.compile(r"[(\[{]"), re.compile(r"[)\]}]")
@@ -34,9 +46,25 @@ SPAN = "file_id bigint, at bigint, what string, line int, last int, code int, na
 
 
 @cache
-def _tools(ending: str) -> tuple[str, re.Pattern, re.Pattern, bool]:
+def _tools(ending: str) -> tuple[str, re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
+    """Language; comments and literals (group 1) with the plain text behind them, the same in text with conflict markers,
+    the same behind a comment that is never closed; definitions."""
     lang = ENDINGS.get(ending, "javascript")
-    return lang, re.compile(LITERALS[lang]), re.compile(_KEYWORD_DEF[lang], re.M), lang in ("python", "ruby")
+    literals = LITERALS[lang].replace(*_C_CHAR)
+    return lang, re.compile(rf"(?:({literals})|[\s\S]){_PLAIN[lang]}"), re.compile(f"({literals})"), re.compile(f"({literals.replace(_CLOSED, '')})"), re.compile(_KEYWORD_DEF[lang])
+
+
+def _literals(lexer: re.Pattern, behind: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Behind a comment that is never closed no other is closed: none of those that follow is read to the end again."""
+    for m in lexer.finditer(text):
+        yield m
+        if m[1] == "/*":
+            yield from behind.finditer(text, m.end(1))
+            return
+
+
+_LINE_END = re.compile(r"\r\n|\n|\r")
+_DOCSTRING = re.compile(r"[rRuU]?(?:\"\"\"|'''|\"|')")
 
 
 def spans(path: str, text: str) -> Iterator[tuple[str, int, int, int, str | None, str | None]]:
@@ -45,43 +73,52 @@ def spans(path: str, text: str) -> Iterator[tuple[str, int, int, int, str | None
     Comments in successive lines are one span. Code lines are lines that hold more than blanks, comments, and what may
     stand between a comment and its function; the number of them before two spans tells whether a statement intervenes.
     """
-    lang, lexer, define, hashes = _tools(path.rsplit(".", 1)[-1].lower())
-    breaks = [m.end() for m in re.finditer(r"\r\n|\n|\r", text)]
+    lang, lexer, careful, behind, define = _tools(path.rsplit(".", 1)[-1].lower())
+    if text.startswith(_CONFLICT) or any("\n" + x in text for x in _CONFLICT):
+        lexer = careful
+    hashes = lang in ("python", "ruby")
+    breaks = [m.end() for m in _LINE_END.finditer(text)]
     bare: list[str] = []
     found: list[list] = []
     at = 0
-    for m in lexer.finditer(text):
-        t = m[0]
-        is_comment = t[0] == "#" and hashes or t.startswith("=begin") and hashes or not hashes and t[:2] in ("//", "/*") and len(t) > 2 or not hashes and t == "//"
-        is_doc = lang == "python" and t.rstrip("\"'") != t and re.match(r"[rRuU]?(?:\"\"\"|'''|\"|')", t) and not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
-        if not is_comment and not is_doc and t[-1] not in "\"'`":
+    never_closed = lang not in ("python", "ruby", "rust") and -1 < (k := text.rfind("/*")) and k + 2 > text.rfind("*/")
+    for m in _literals(lexer, behind, text) if never_closed else lexer.finditer(text):
+        t = m[1]
+        if t is None:
+            continue
+        is_comment = t[0] == "#" or t.startswith("=begin") if hashes else t[:2] == "//" or t[:2] == "/*" and len(t) > 2
+        if not is_comment and t[-1] not in "\"'`":
             continue
-        bare.append(text[at : m.start()])
-        at = m.end()
+        start, end = m.span(1)
+        # a line that holds an earlier literal is not blank before this one, so no line is looked at twice
+        is_doc = False
+        if lang == "python" and not is_comment and t[-1] != "`" and _DOCSTRING.match(t):
+            k = text.rfind("\n", at, start)
+            is_doc = (k >= 0 or not at) and not text[k + 1 : start].strip()
+        bare.append(text[at:start])
         # line ends are kept, so that lines keep their numbers
-        bare.append(("" if is_comment else '""') + "".join(re.findall(r"\r\n|\n|\r", t)))
+        bare.append(("" if is_comment else '""') + ("".join(_LINE_END.findall(t)) if "\n" in t or "\r" in t else ""))
         if is_comment or is_doc:
-            a, b = bisect_right(breaks, m.start()), bisect_right(breaks, max(m.start(), m.end() - 1))
-            own = not text[(breaks[a - 1] if a else 0) : m.start()].strip()
-            if found and found[-1][0] == "c" and is_comment and own and found[-1][2] == a - 1 and found[-1][4] and not t.startswith("/*") and not found[-1][3].startswith("/*"):
+            a, b = bisect_right(breaks, start), bisect_right(breaks, max(start, end - 1))
+            begins = breaks[a - 1] if a else 0
+            own = at <= begins and not text[begins:start].strip()
+            if found and found[-1][0] == "c" and is_comment and own and found[-1][2] == a - 1 and found[-1][4] and not t.startswith("/*") and not found[-1][3][0].startswith("/*"):
                 found[-1][2] = b
-                found[-1][3] += "\n" + t
+                found[-1][3].append(t)
             else:
-                found.append(["d" if is_doc else "c", a, b, t, own])
+                found.append(["d" if is_doc else "c", a, b, [t], own])
+        at = end
     bare.append(text[at:])
-    code = "".join(bare)
-    lines = re.split(r"\r\n|\n|\r", code)
+    lines = _LINE_END.split("".join(bare))
     before = [0]
-    for x in lines:
-        before.append(before[-1] + (1 if x.strip() and not _BETWEEN.match(x) else 0))
     functions = []
-    plain = "\n".join(lines)
-    starts = [m.end() for m in re.finditer("\n", plain)]
-    for m in define.finditer(plain):
-        line = bisect_right(starts, m.start())
-        name = next((g for g in m.groups() if g), None)
-        functions.append(line)
-        yield "f", line, line, before[line], name, None
+    needed = _NEEDED[lang]
+    for line, x in enumerate(lines):
+        y = x.strip()
+        before.append(before[-1] + (1 if y and (y[-1] in ";{},(:" or not _BETWEEN.match(x)) else 0))
+        if y and any(n in x for n in needed) and (m := define.match(x)):
+            functions.append(line)
+            yield "f", line, line, before[line], next((g for g in m.groups() if g), None), None
     heads, begun = {}, set(functions)
     for f in functions if lang == "python" else ():  # the line on which a Python header ends
         depth, k = 0, f
@@ -93,7 +130,8 @@ def spans(path: str, text: str) -> Iterator[tuple[str, int, int, int, str | None
             if depth <= 0 and not lines[k].rstrip().endswith("\\") or k + 1 in begun:  # a head of one line, or one never closed
                 break
             k += 1
-    for what, a, b, t, own in found:
+    for what, a, b, parts, own in found:
+        t = "\n".join(parts)
         if what == "d":
             k = a - 1
             while k >= 0 and not lines[k].strip():
@@ -166,11 +204,13 @@ def attached_comments(found: DataFrame, symbols: DataFrame | None = None) -> Dat
         whole = F.struct(*[F.col(c) for c in symbols.columns]).cast(symbols.schema.simpleString())
         rows = rows.unionAll(symbols.select("file_id", F.lit("s").alias("what"), "line", *map(null, ("last", "code", "name", "text", "at")), whole.alias("_s")))
     place = F.when(F.col("what") == "d", 3).when(F.col("what") == "s", 2).when(F.col("what") == "f", 1).otherwise(0)
-    order = Window.partitionBy("file_id").orderBy("line", place, "last", "at", "text", "name")
-    upto, before, after = (order.rowsBetween(*x) for x in ((Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
+    order = Window.partitionBy("file_id").orderBy("line", "_place", "last", "at", "text", "name")
+    upto, before = (order.rowsBetween(Window.unboundedPreceding, x) for x in (0, -1))
     comment = F.when(F.col("what") == "c", F.struct("line", "last", "code", "text"))
     docstring = F.when(F.col("what") == "d", F.struct("line", "last", "code", "text"))
-    placed = rows.withColumns({"_a": F.last(comment, True).over(before), "_b": F.first(docstring, True).over(after)})
+    # the next docstring by lead: a frame that ends with the file would be gone through again for each row
+    below = F.expr("lead(_d) ignore nulls over (partition by file_id order by line, _place, last, at, text, name)")
+    placed = rows.withColumns({"_place": place, "_d": docstring}).withColumns({"_a": F.last(comment, True).over(before), "_b": below})
     a, b = F.col("_a"), F.col("_b")
     pick = F.when(b["code"] == F.col("code"), b).when((a["code"] == F.col("code")) & (a["last"] < F.col("line")), a)
     function = F.when(F.col("what") == "f", F.struct("line", "name", pick.alias("d")))

@@ -7,9 +7,10 @@ import unicodedata
 from functools import lru_cache
 
 _LEAD = re.compile(r"^[ \t]*(?:/\*[*!]?|\*/|\*(?!\*)|//[/!]?|#(?![A-Za-z!\[])!?|--(?=\s)|\"\"\"|'''|;+(?=\s)|%+(?=\s)|<!--)?[ \t]*")
-_TRAIL = re.compile(r"[ \t]*(?:\*/|\"\"\"|'''|-->)[ \t]*$")
+_TRAIL = ("*/", '"""', "'''", "-->")
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _PART = re.compile(r"\w+")
+_NAME_PART = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|(?<=[。！？])")
 
@@ -28,6 +29,11 @@ _LAW = re.compile(
     r"(?i)licen[sc]e[sd]?\b|licen[sc]ing|\bcopyright\b|©|\(c\)\s*(?:\d{4}|$|[A-Z])|^\(c\)|\bspdx\b|rights? reserved|redistribut|\bwarrant(?:y|ies)\b|permission is (?:hereby )?granted|this notice|\bas[- ]is\b.*(?:basis|warrant)|liabilit|\bpatent\b|"
     r"\bproprietary\b|confidential\b.*(?:property|information)|trade ?marks?\b|alle rechte vorbehalten|urheberrecht|tous droits r|derechos reservados|droits d'auteur|derechos de autor|provided that (?:this|the|these)|in compliance with (?:the|them)"
 )
+#: One of these is in ASCII text, in lower case, that `_LAW` finds something in.
+_LAW_PARTS = (
+    "licen", "copyright", "(c)", "spdx", "reserved", "redistribut", "warrant", "permission is ", "this notice", "as is", "as-is", "liabilit", "patent", "proprietary", "confidential", "trademark", "trade mark",
+    "alle rechte", "urheberrecht", "tous droits", "derechos ", "droits d'", "provided that ", "in compliance ",
+)
 #: Sentences that say only that here is code, or that there is no documentation.
 _EMPTY = re.compile(
     r"(?ix)^(?:"
@@ -47,11 +53,11 @@ _SILENT_TAG = {"author", "authors", "version", "since", "date", "file", "fn", "n
 _HEADING = re.compile(
     r"(?i)^(?:#+\s*)?(?:\**)(?:args?|arguments?|params?|parameters?|other parameters|returns?|return value|raises?|yields?|throws?|errors?|panics|safety|examples?|usage|notes?|see also|references?|attributes?|warnings?|warns|receives|todo|methods|input|inputs|output|outputs|result|results|precondition|postcondition|since|deprecated|complexity|parameter|rückgabe|beispiel|argumente|fehler|param[èe]tres|retour|exemples?|erreurs|par[áa]metros|devuelve|retorna|ejemplos?|errores)(?:\**)\s*:?\s*(?:\**)$"
 )
+_ONE_TAG = re.compile(r"\{?@\w+\}?")
 _TYPE = re.compile(
     r"^(?:(?:const|unsigned|signed|struct|enum|union|class|static|volatile|mut|dyn|ref|readonly)\s+)*(?:&\s*)?(?:'\w+\s+)?(?:mut\s+)?"
     r"(?:void|int|char|short|long|float|double|bool|boolean|byte|string|str|size_t|ssize_t|u?int\d+(?:_t)?|[iuf]\d+|usize|isize|object|any|unknown|never|number|bigint|symbol|None|null|nil|error|rune|uint|uintptr|float\d+|String|Integer|Boolean|Object|List|Map|Vec|dict|list|tuple|set|bytes|self|Self|auto|(?:(?:struct|enum|union|class)\s+\w+))(?:\s+(?:int|long|char|double))*\s*(?:<[^>]*>|\[[^\]]*\])*\s*[*&?\[\]]*(?:\s*const)?\s*$"
 )
-_CODE_END = re.compile(r"(?:[;{}]|\)\s*[;{:]|\]\s*;|=>|->)\s*$")
 _CODE = re.compile(
     r"^(?:"
     r"(?:return|throw|goto|delete|assert|await|yield)\b[^.!?]*;\s*$"
@@ -66,11 +72,11 @@ _CODE = re.compile(
     r"|[A-Za-z_][\w.]*(?:(?:::|->|\.)\w+)*!?\s*\((?:[^()]|\([^()]*\))*\)\s*[;{]?\s*$"
     r"|[A-Za-z_]\w*(?:(?:::|->|\.)\w+)+\s*;?$"
     r"|[\w.]+(?:\+\+|--)\s*;?$|(?:break|continue|pass|return|end|fi|done|self|super|true|false|nil)\s*;?$"
-    r"|return\s+[\w.()\[\]+*/%<>=!&|\"'-]+(?:\s*[-+*/%<>=!&|?:]+\s*[\w.()\[\]\"'-]+)*\s*;?$"
     r"|puts\s+.*|print\s+[\"'].*|echo\s+[\"'$].*|(?:System|console|fmt|std|os|sys)\s*(?:\.|::)\s*\w+.*[)(;].*$"
     r"|</?\w+[^>]*>\s*$"
     r")"
 )
+_RETURN = re.compile(r"return\s+[\w.()\[\]+*/%<>=!&|\"'-]")
 #: Words that add nothing to a name.
 _FILLERS = frozenset(
     """the a an this that these it its is are be of for to in on by with from and or as at function functions func fn method methods routine procedure
@@ -95,7 +101,7 @@ def _forms(word: str) -> set[str]:
 
 def name_parts(name: str) -> list[str]:
     """The words of an identifier."""
-    return [w.lower() for w in re.findall(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+", name)]
+    return [w.lower() for w in _NAME_PART.findall(name)]
 
 
 @lru_cache(50_000)
@@ -107,7 +113,8 @@ def says_name_again(text: str, name: str | None) -> bool:
     """Whether every word of the text is the name, a form of its parts, or a filler."""
     words = again = 0
     known = _known(name) if name else frozenset()
-    for part in _PART.findall(text):
+    for m in _PART.finditer(text):
+        part = m[0]
         for w in (part,) if part.islower() and part.isalpha() else name_parts(part) or (part,):
             w = w.lower()
             if w.isdigit():
@@ -120,11 +127,60 @@ def says_name_again(text: str, name: str | None) -> bool:
     return not words or again > 0
 
 
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_RULES = "-*=~_#|" + _BLANKS
+_BULLETS = _RULES + "+•>"
+
+
+def _of_law(text: str) -> bool:
+    if text.isascii():
+        low = text.lower()
+        for part in _LAW_PARTS:
+            if part in low:
+                return bool(_LAW.search(text))
+        return False
+    return bool(_LAW.search(text))
+
+
+def _bare(raw: str) -> str:
+    """A line without the signs that make it a comment."""
+    line = raw[_LEAD.match(raw).end() :].rstrip(" \t")
+    if line.endswith(_TRAIL):
+        line = line[: -2 if line.endswith("*/") else -3]
+    return line.strip()
+
+
+def _returns(line: str) -> bool:
+    r"""Whether `return\s+H+(?:\s*O+\s*T+)*\s*;?$` matches, H being [\w.()\[\]+*/%<>=!&|"'-], O [-+*/%<>=!&|?:] and T
+    [\w.()\[\]"'-]. A minus may stand in each of them, so all ways to read the line are followed at once."""
+    m = _RETURN.match(line)
+    if not m:
+        return False
+    head, operator, operand, before_operator, before_operand = 1, 2, 4, 8, 16
+    at = head
+    for c in line[m.end() :].removesuffix(";").rstrip():
+        if c.isspace():
+            at = (before_operator if at & (head | operand | before_operator) else 0) | (before_operand if at & (operator | before_operand) else 0)
+        else:
+            operates, stands = c in "-+*/%<>=!&|?:", c.isalnum() or c in "_.()[]\"'-"
+            at = (
+                (head if at & head and (stands or operates and c not in "?:") else 0)
+                | (operator if operates and at & (head | operator | operand | before_operator) else 0)
+                | (operand if stands and at & (operator | operand | before_operand) else 0)
+            )
+        if not at:
+            return False
+    return bool(at & (head | operand))
+
+
 def _is_code(line: str) -> bool:
-    if _CODE.match(line):
+    if _CODE.match(line) or _returns(line):
         return True
+    end = line.rstrip()
+    if not end.endswith((";", "{", "}", "=>", "->")) and not (end.endswith(":") and end[:-1].rstrip().endswith(")")):
+        return False
     words = _WORD.findall(line)
-    return bool(_CODE_END.search(line)) and (len(words) <= 2 or bool(re.search(r"[=(\[{]", line)) and not re.search(r"[^\W\d_]{2,} [^\W\d_]{2,} [^\W\d_]{2,}", line))
+    return (len(words) <= 2 or bool(re.search(r"[=(\[{]", line)) and not re.search(r"[^\W\d_]{2,} [^\W\d_]{2,} [^\W\d_]{2,}", line))
 
 
 def description(doc: str | None, name: str | None = None) -> str:
@@ -133,7 +189,7 @@ def description(doc: str | None, name: str | None = None) -> str:
     kept: list[str] = []
     fenced = in_law = False
     for raw in _BREAK.split(doc or ""):
-        line = _TRAIL.sub("", _LEAD.sub("", raw)).strip()
+        line = _bare(raw)
         if not line.isascii() or not line.isprintable():
             line = "".join(c for c in line if unicodedata.category(c) not in ("Cf", "Cc", "Co", "Cs")).strip()
         if line.startswith("```"):
@@ -145,7 +201,7 @@ def description(doc: str | None, name: str | None = None) -> str:
         if _NOTE.match(line) or _TOOL.match(line) or _HEADING.match(line):
             in_law = False
             continue
-        if _LAW.search(line):
+        if _of_law(line):
             # beside legal text only other sentences count; a legal sentence may run on in the next line
             sentences = [s for s in _SENTENCE.split(line) if not _LAW.search(s)]
             in_law = not line.rstrip().endswith((".", "!", ")")) and bool(re.search(r"(?i)redistrib|licen[sc]e[ds]?\b.*\b(?:under|and|the|in|of|to|not)$|,$|permi|warrant", line))
@@ -161,7 +217,7 @@ def description(doc: str | None, name: str | None = None) -> str:
         elif _is_code(line) or _TYPE.match(line):
             continue
         for s in _SENTENCE.split(line):
-            s = re.sub(r"^[\-*+•>|=~_#\s]+|[\-*=~_#|\s]+$", "", s)
+            s = s.lstrip(_BULLETS).rstrip(_RULES)
             if _WORD.search(s) and not _NOTE.match(s) and not _filler(s, name):
                 kept.append(s)
     text = " ".join(kept)
@@ -183,8 +239,13 @@ def _tag_text(tag: re.Match) -> str:
 
 
 def _filler(sentence: str, name: str | None) -> bool:
-    plain = re.sub(r"^[\W_]+|[\W_]+$", "", sentence)
-    return not plain or bool(_EMPTY.match(plain)) or bool(re.fullmatch(r"\{?@\w+\}?", sentence.strip())) or says_name_again(plain, name)
+    first, end = 0, len(sentence)
+    while first < end and not sentence[first].isalnum():
+        first += 1
+    while end > first and not sentence[end - 1].isalnum():
+        end -= 1
+    plain = sentence[first:end]
+    return not plain or bool(_EMPTY.match(plain)) or "@" in sentence and bool(_ONE_TAG.fullmatch(sentence.strip())) or says_name_again(plain, name)
 
 
 def tells_something(doc: str | None, name: str | None = None) -> bool:

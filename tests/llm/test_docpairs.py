@@ -1,3 +1,6 @@
+import signal
+from contextlib import contextmanager
+
 import pytest
 
 from symloom.llm import docpairs as D
@@ -72,3 +75,63 @@ def test_a_docstring_comes_before_what_stands_above(spark):
 def test_heads_of_any_length():
     head = "def f(\n" + "".join(f"    a{k},\n" for k in range(250)) + '):\n    """Told below."""\n    return 1\n'
     assert [x[1] for x in D.spans("a.py", head) if x[0] == "d"] == [252]
+
+
+@contextmanager
+def within(seconds):
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(seconds)
+    try:
+        yield
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
+@pytest.mark.parametrize(
+    "path,line",
+    [
+        ("a.c", "    " + " && ".join(["abc"] * 60) + ";"), ("a.c", "char " + ", ".join(["*abc"] * 60) + ";"), ("a.c", "x " + "*" * 60 + ";"), ("a.cc", "x = 1'000; printf(\"" + "%d\\n" * 40 + '", x);'),
+        ("a.c", "int g(" + "a," * 60_000 + "b) = 3;"), ("a.java", "g(" + "a," * 40_000 + "b); x;"), ("a.cs", "g(" + "a," * 40_000 + "b) = 3;"), ("a.js", "g(" + "a):b," * 40_000 + "b);"), ("a.go", "/* " * 60_000),
+    ],
+)
+def test_a_line_takes_time_in_proportion(path, line):
+    with within(10):
+        assert [x for x in D.spans(path, line + "\n") if x[0] == "f"] == []
+
+
+@pytest.mark.parametrize(
+    "path,line,name",
+    [
+        ("a.c", "static int *f(int a,", "f"), ("a.cc", "std::map<a, b> A::B::~g (c) const {", "A::B::~g"), ("a.c", "char **argv(void)", "argv"), ("a.c", "f(a)", None), ("a.c", "int f(a);", None), ("a.java", "public List<A> f(B b) throws C {", "f"), ("a.java", "f(b); {", None),
+        ("a.js", "async f(a = {b: 1}): Promise<c> {", "f"), ("a.js", "f(a): {b: c} {", None), ("a.js", "f({a: b}) {", "f"), ("a.js", "f(a):{", None), ("a.ts", "f(a): b {", "f"),
+    ],
+)
+def test_definitions(path, line, name):
+    assert [x[4] for x in D.spans(path, line + "\n") if x[0] == "f"] == ([name] if name else [])
+
+
+def test_literals_with_prefixes_and_conflicts():
+    comments = lambda path, text: [x[5] for x in D.spans(path, text) if x[0] in "cd"]
+    assert comments("a.c", 'x = R"(\n// in\n)";\ny = u8"//";\nz = L\'"\';\n// out\n') == ["// out"]
+    assert comments("a.py", 'def f():\n    Rb"""no"""\n    x = rb"#" + f\'#\'\n# out\n') == ["# out"]
+    assert comments("a.rs", 'let x = r#"\n// in\n"#;\nlet y = br"//";\n// out\n') == ["// out"]
+    assert comments("a.rb", "x == y\n=begin\nOut.\n=end\n") == ["=begin\nOut.\n=end"]
+    assert comments("a.js", "<<<<<<< don't\n// out\n") == ["// out"]
+    assert comments("a.go", "/* in */\nx /* never closed\n// out\n") == ["/* in */", "// out"]
+
+
+def test_a_comment_takes_time_in_proportion():
+    with within(10):
+        assert tells_something("return a " + "-" * 80 + " or what is left, without waiting.", "f")
+        assert tells_something("Waits" + " " * 100_000 + "=" * 100_000 + " for the lock.", "f")
+    assert not tells_something("return a - -b[1] + c.d(e);", "f")
+
+
+def test_no_window_looks_ahead_from_each_row_anew(spark):
+    files = spark.createDataFrame([(1, "a.py", 5, PY)], "file_id long, rel_path string, mtime_ns long, content string")
+    plan = D.attached_comments(D.newest_spans(D.extract_spans(files), files))._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
