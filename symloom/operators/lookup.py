@@ -10,9 +10,11 @@ from symloom.operators.corpus import few, is_local, newest, runs, same_delivery
 from symloom.operators.intervals import innermost
 from symloom.schema import VISIBILITY_RANK, lookup
 from symloom.session import scratch
-from symloom.sources.spread import spread
+from symloom.sources.spread import spread, tasks
 
 LOOK_BACK = 30
+#: Definitions of a name, and files that ask for it, meet in blocks of so many of each; matches of a block are bits in words of `_WORD`.
+BLOCK, _WORD = 512, 32
 
 
 def visibility_rank(visibility: Column) -> Column:
@@ -87,6 +89,78 @@ def rank(defs: DataFrame, from_source: DataFrame | None = None, extra: Column |
     return defs.withColumn("score", score).withColumn("rank", F.row_number().over(order)).drop("_src")
 
 
+def rank_all(asked: DataFrame, index: DataFrame, opened: DataFrame) -> DataFrame:
+    """(here, name, file_id, symbol_idx, score, rank): all definitions of each asked (here, name, qualifier), one per (here, name),
+    with score and rank as by `rank` and `qualifier_in_source`; a null place comes last.
+
+    These are as many rows as definitions times files that ask, so nothing of that size is sorted or shuffled. Without the
+    asking file, the order of a name's definitions is the same for all; a rank follows from the place there, how many
+    that match the qualifier stand before, and how many the file itself has. All of these are counted beside, in rows that grow with the
+    tables, and meet in blocks that give their rows as they are.
+    """
+    spark = index.sparkSession
+
+    def once(rows: DataFrame, purpose: str) -> DataFrame:
+        place = scratch(spark, purpose)
+        rows.write.parquet(place)
+        return spark.read.parquet(place)
+
+    order = Window.partitionBy("name").orderBy(*[F.col(c).asc_nulls_last() for c in ("file_id", "line", "col", "symbol_idx")])
+    asked = asked.select("here", "name", "qualifier")
+    defs = index.join(asked.select("name").distinct(), "name", "left_semi").select("file_id", "symbol_idx", "name", "line", "col", "container")
+    defs = once(defs.withColumn("_p", (F.row_number().over(order) - 1).cast("long")), "places")
+
+    # what matches a qualifier: the container, or without one a line above that opens it
+    near = opened.select("file_id", "_line", "qualifier", F.floor(F.col("_line") / LOOK_BACK).alias("_part"))
+    part = F.floor(F.col("line") / LOOK_BACK)
+    bare = defs.where(F.col("container").isNull()).select("name", "file_id", "line", "_p", F.explode(F.array(part, part - 1)).alias("_part"))
+    bare = bare.join(near, ["file_id", "_part"]).where((F.col("_line") < F.col("line")) & (F.col("_line") >= F.col("line") - LOOK_BACK))
+    both = defs.select("name", F.col("container").alias("qualifier"), "file_id", "_p").unionByName(bare.select("name", "qualifier", "file_id", "_p").distinct())
+    both = both.join(asked.select("name", "qualifier").distinct(), ["name", "qualifier"], "left_semi")
+    before = Window.partitionBy("name", "qualifier").orderBy("_p")
+    matches = once(both.withColumn("_c", (F.row_number().over(before) - 1).cast("long")), "matches")
+
+    # of each block of places: matches before it, and as bits those within, with how many stand before each word
+    words = matches.groupBy("name", "qualifier", F.floor(F.col("_p") / BLOCK).alias("_d"), F.floor(F.col("_p") % BLOCK / _WORD).cast("int").alias("_w"))
+    words = words.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(_p % {_WORD} as int))")).alias("_bits"), F.min("_c").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    held = words.groupBy("name", "qualifier", "_d").agg(F.sort_array(F.collect_list(F.struct("_w", "_bits", "_n"))).alias("_l"), F.min("_first").alias("_first"), F.sum("_n").alias("_n"))
+    sizes = defs.groupBy("name").agg(F.floor((F.max("_p")) / BLOCK).alias("_ds")).join(asked.groupBy("name").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).alias("_qs")), "name")
+    blocks = lambda c, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c))).alias(name)
+    grid = held.select("name", "qualifier").distinct().join(sizes, "name").select("name", "qualifier", blocks("_ds", "_d")).join(held.drop("_first"), ["name", "qualifier", "_d"], "left")
+    of_all = Window.partitionBy("name", "qualifier")
+    earlier = of_all.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.select(
+        "name", "qualifier", "_d", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_c0"), F.sum("_n").over(of_all).alias("_m"),
+        F.expr(f"transform(sequence(0, {BLOCK // _WORD - 1}), w -> coalesce(get(filter(_l, x -> x._w = w), 0)._bits, 0L))").alias("_bits"),
+        F.expr(f"transform(sequence(0, {BLOCK // _WORD - 1}), w -> aggregate(_l, 0L, (n, x) -> n + if(x._w < w, x._n, 0L)))").alias("_before"),
+    )
+
+    # of each asking file: where its own definitions begin, how many it has, and how many of them match
+    own = asked.join(defs.withColumnRenamed("file_id", "here").select("here", "name", "_p"), ["here", "name"], "left").groupBy("here", "name").agg(F.min("_p").alias("_from"), F.count("_p").alias("_own"))
+    own_m = asked.join(matches.withColumnRenamed("file_id", "here"), ["here", "name", "qualifier"]).groupBy("here", "name").agg(F.count(F.lit(1)).alias("_own_m"), F.min("_c").alias("_from_m"))
+    number = F.floor((F.row_number().over(Window.partitionBy("name").orderBy("here")) - 1) / BLOCK).alias("_q")
+    left = asked.join(own, ["here", "name"]).join(own_m, ["here", "name"], "left").select("*", number).join(sizes, "name").withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ds"))))
+    left = left.join(grid, ["name", "qualifier", "_d"], "left").drop("qualifier", "_ds", "_qs")
+    right = defs.join(sizes, "name").select("name", "file_id", "symbol_idx", "_p", F.floor(F.col("_p") / BLOCK).alias("_d"), blocks("_qs", "_q"))
+    # the blocks are few bytes but many rows when joined, so their number is given and not merged
+    n, keys = 4 * tasks(spark), ["name", "_d", "_q"]
+    pairs = left.repartition(n, *keys).join(right.repartition(n, *keys), keys)
+    w, bit = (F.col("_p") % BLOCK / _WORD).cast("int"), F.expr(f"shiftleft(1L, cast(_p % {_WORD} as int))")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    here, bits = F.coalesce(F.col("file_id") == F.col("here"), F.lit(False)), F.get("_bits", w)
+    pairs = pairs.select(
+        "here", "name", "file_id", "symbol_idx", "_p", "_from", "_from_m", here.alias("_here"), zero(F.col("_m")).alias("_m"), zero(F.col("_own_m")).alias("_own_m"), F.col("_own"),
+        (zero(bits.bitwiseAND(bit)) != 0).alias("_match"), (zero(F.col("_c0")) + zero(F.get("_before", w) + F.bit_count(bits.bitwiseAND(bit - 1)))).alias("_c"),
+    )
+    c, first = F.col("_c"), F.coalesce(F.col("_p") < F.col("_from"), F.lit(False))
+    matching = F.when(F.col("_here"), c - F.col("_from_m")).otherwise(c + F.when(first, F.col("_own_m")).otherwise(0))
+    # where the file has no match of its own, as many stand before each of its definitions
+    other = F.when(F.col("_here"), F.col("_p") - F.col("_from") - zero(c - F.col("_from_m"))).otherwise(F.col("_p") - c + F.when(first, F.col("_own") - F.col("_own_m")).otherwise(0))
+    place = F.when(F.col("_match"), matching).otherwise(F.col("_m") + other) + 1
+    score = F.when(F.col("_here"), 2).otherwise(0) + F.when(F.col("_match"), 4).otherwise(0)
+    return pairs.select("here", "name", "file_id", "symbol_idx", score.alias("score"), place.alias("rank"))
+
+
 def by_precedence(candidates: list[DataFrame]) -> DataFrame:
     """The candidates of the first list that has any for a query: (query_id, ..., priority)."""
     out = None

@@ -497,9 +497,13 @@ def _openers(spark: SparkSession, d: str) -> DataFrame:
     return _once(lookup.openers(table(spark, d, "source_files")), "openers")
 
 
+def _rank_asked(g: DataFrame) -> DataFrame:
+    return g.where(F.col("file_id") % STEP == 0).groupBy(F.col("file_id").alias("here"), "name").agg(F.max("container").alias("qualifier"))
+
+
 def _ranked(spark: SparkSession, d: str, extra=None) -> DataFrame:
     g = corpus.global_symbols(_symbols(spark, d)).select("file_id", "symbol_idx", "name", "line", "col", "container", "visibility")
-    q = g.where(F.col("file_id") % STEP == 0).groupBy(F.col("file_id").alias("here"), "name").agg(F.max("container").alias("qualifier"))
+    q = _rank_asked(g)
     defs = q.join(g, "name").withColumn("query_id", F.struct("here", "name")).withColumn("current_file", F.col("here"))
     if extra is not None:
         lang = _files(spark, d).select("file_id", corpus.family(F.col("ext")).alias("lang"))
@@ -510,7 +514,8 @@ def _ranked(spark: SparkSession, d: str, extra=None) -> DataFrame:
 @query(_w(_F, _S, _G, _L, _RANKQ, _OPEN, *_RANK) + "select here, name, file_id, symbol_idx, score, rank from ranked")
 def rank_definitions(spark, d):
     """Definitions of a name in the order of the asking file and the qualifier."""
-    return _ranked(spark, d).select("here", "name", "file_id", "symbol_idx", "score", F.col("rank").cast("long").alias("rank"))
+    g = _once(corpus.global_symbols(_symbols(spark, d)).select("file_id", "symbol_idx", "name", "line", "col", "container"), "globals")
+    return lookup.rank_all(_once(_rank_asked(g), "asked"), g, _openers(spark, d))
 
 
 #: Cursors in each twentieth file: in the name of each symbol, and in the last word of the line after it; with what stands around.

@@ -170,6 +170,33 @@ def test_ranking_prefers_qualifier_to_own_file(spark):
     assert {r["file_id"]: r["score"] for r in lookup.rank(d, src).collect()} == {1: 6, 2: 0, 3: 4}
 
 
+def test_all_ranks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BLOCK", 64)
+    rng = random.Random(3)
+    defs = [(rng.randint(1, 40), k, rng.choice(["a", "a", "a", "b", "c"]), rng.randint(0, 90), 4, rng.choice([None, None, "T", "U", "V"])) for k in range(700)] + [(None, 900, "a", 3, 0, "T"), (3, 901, "a", None, 0, None)]
+    asked = sorted({(f, n) for f, _, n, *_ in defs if f is not None and f % 2 == 0}) + [(1000 + k, "a") for k in range(70)] + [(5, "none")]
+    asked = [(h, n, rng.choice([None, "T", "U", "W"])) for h, n in asked]
+    opened = [(rng.randint(1, 40), rng.randint(0, 90), rng.choice(["T", "U", "W"])) for _ in range(60)]
+    got = lookup.rank_all(
+        spark.createDataFrame(asked, "here long, name string, qualifier string"),
+        spark.createDataFrame(defs, "file_id long, symbol_idx int, name string, line int, col int, container string"),
+        spark.createDataFrame(opened, "file_id long, _line int, qualifier string"),
+    )
+    want = set()
+    for here, name, q in asked:
+        rows = []
+        for f, idx, n, line, col, box in defs:
+            if n == name:
+                match = q is not None and (box == q if box is not None else any(o[0] == f and o[2] == q and line is not None and line - 30 <= o[1] < line for o in opened))
+                rows.append((-(2 * (f == here) + 4 * match), f is None, f or 0, line is None, line or 0, col, idx, f))
+        want |= {(here, name, r[7], r[6], -r[0], k) for k, r in enumerate(sorted(rows), 1)}
+    rows = [tuple(r) for r in got.select("here", "name", "file_id", "symbol_idx", "score", "rank").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    # definitions times files that ask are given by the join itself: nothing sorts, counts or shuffles them after it
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")] and "Repartition" not in plan[: plan.index("Join")]
+
+
 def test_same_position(spark):
     s = spark.createDataFrame([(1, 1, 1, 0, None), (1, 1, 1, 1, "C"), (1, 1, 1, 2, None), (1, 2, 1, 3, None), (1, 2, 1, 4, None)], "file_id long, line int, col int, symbol_idx int, container string")
     assert sorted(r["symbol_idx"] for r in lookup.same_position_once(s, "symbol_idx").collect()) == [1, 4]
