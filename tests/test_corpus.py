@@ -123,6 +123,30 @@ def test_fuzzy(spark):
     assert match(spark, "", "ab", "abc") == {"ab"}
 
 
+def test_candidates_in_blocks_against_brute_force(spark, monkeypatch):
+    for k, v in (("BLOCK_NAMES", 40), ("BLOCK_QUERIES", 30), ("_BATCH_BYTES", 200)):
+        monkeypatch.setattr(fuzzy, k, v)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aAbBcdeé名\0\2") for _ in range(rng.randint(0, 9)))
+    names, queries = {word() for _ in range(150)} | {"", "xy", "long" * 90}, {word() for _ in range(100)} | {"", "zz", "qqqqqqqq", "\0\0\2", "LONGL"}
+
+    def grams(x):
+        b = x.encode().lower()  # of bytes, only A to Z change
+        return {b[k : k + 3] for k in range(len(b) - 2)} if len(b) >= 3 else {bytes([0, 0, len(b)])}
+
+    shared = {(q, n) for q in queries for n in names if len(q.encode()) >= 3 and grams(q) & grams(n)}
+    some = {q for q, _ in shared}
+    want = shared | {(q, n) for q in queries - some for n in names if abs(len(q.encode()) - len(n.encode())) <= 2}
+    q, n = (spark.createDataFrame([(x,) for x in [*xs, None]], f"{c} string") for xs, c in ((queries, "query"), (names, "name")))
+    found = fuzzy.candidates(q, n)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # as many pairs as these come from several tasks of a number that is not merged, and are not counted or shuffled
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and found.rdd.getNumPartitions() > 4
+    assert fuzzy.candidates(q, n.where("false")).collect() == [] == fuzzy.candidates(q.where("false"), n).collect()
+
+
 def test_rarest_trigrams_lose_no_match(spark):
     rng = random.Random(8)
     names = {"".join(rng.choice("aabcdeé" if rng.random() < 0.1 else "aabcde") for _ in range(rng.randint(1, 16))) for _ in range(150)}
